@@ -128,3 +128,29 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         return np.empty(0, dtype=np.int64)
     first = np.cumsum(lens) - lens
     return np.repeat(np.asarray(starts, dtype=np.int64) - first, lens) + np.arange(total, dtype=np.int64)
+
+
+def positioned(values: np.ndarray) -> np.ndarray:
+    """The values with their low bits replaced by the position, so that of values equal in the others the first is least."""
+    bits = U64(len(values).bit_length())
+    return (values >> bits << bits) | np.arange(len(values), dtype=U64)
+
+
+def least_at(values: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least value, the first of equal ones, in each window of ``width`` values, given by its start."""
+    n = len(values)
+    if n < width or not len(start):
+        return np.empty(0, dtype=np.int64)
+    rows = np.concatenate([positioned(values), np.full(-n % width, np.iinfo(np.uint64).max, dtype=U64)]).reshape(-1, width)
+    tail = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    head = np.minimum.accumulate(rows, axis=1).ravel()
+    least = np.minimum(tail[start], head[start + width - 1])
+    return (least & ((U64(1) << U64(n.bit_length())) - U64(1))).astype(np.int64)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the JVM collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

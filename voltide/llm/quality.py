@@ -161,6 +161,13 @@ def _spread_chunks(text):
     return F.when(F.length(text) <= room, text).otherwise(F.array_join(at, "\n"))
 
 
+def _scores(model: Model, sizes: Sizes, column: list[str | None]) -> np.ndarray:
+    if not model.weights or not column:
+        return np.full(len(column), model.prior)
+    z = (np.array([sizes.of(t) for t in column]) - np.array(model.mean)) / np.array(model.scale) @ np.array(model.weights)
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) of every whole text; a null text counts as an empty one, repeated rows stay.
 
@@ -171,12 +178,20 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model.good, model.bad)
         for batch in batches:
-            column = batch.column("text").to_pylist()
-            if model.weights and column:
-                z = (np.array([sizes.of(t) for t in column]) - np.array(model.mean)) / np.array(model.scale) @ np.array(model.weights)
-                s = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
-            else:
-                s = np.full(len(column), model.prior)
+            s = _scores(model, sizes, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows whose text scores ``threshold`` or more, all columns kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(model.good, model.bad)
+        at = docs_columns.index("text")
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, sizes, batch.column(at).to_pylist()) >= threshold))
+
+    docs_columns = docs.columns
+    return spread(docs).mapInArrow(run, docs.schema)

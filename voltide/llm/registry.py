@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bands, chat, decontaminate, langid, pieces, quality
+from . import bands, chat, dart, decontaminate, langid, passages, pieces, quality, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates that each document is in."""
+    return dart.classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +48,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents nearly repeat."""
+    return passages.passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_counts(_table(spark, sf_dir, "documents"), pieces.model_bytes(pieces.MODEL))
 
@@ -51,7 +61,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.rules(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.removed(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_quality_classifier, op5_decontaminate, op6_language_id, op8_token_counts, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_chat_format,
+        op3_quality_classifier,
+        op4_minhash_dedup,
+        op5_decontaminate,
+        op6_language_id,
+        op7_substring_dedup,
+        op8_token_counts,
+        op9_quality_rules,
+        op10_suffix_array_dedup,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.SQL}
