@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
 #: Texts are worked on in blocks of about this many bytes, whatever the size of an Arrow batch.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -149,8 +149,14 @@ def least_at(values: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the JVM collects garbage."""
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the JVM collects garbage.
+
+    Twice, as plans that Python still held the first time are let go in between.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -76,8 +76,21 @@ def _unpack(pack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pack >> 32, pack >> 16 & 0xFFFF, pack & 0xFFFF
 
 
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping ranges as one; they come in the order of text and start."""
+    if not len(doc):
+        return doc, start, end
+    shift = doc * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(shift + end)
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (shift + start)[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(doc)) - 1
+    return doc[at], start[at], reach[last] - shift[at]
+
+
 def _ranked(docs: DataFrame, length: int) -> DataFrame:
-    """(name, ctx, doc_id, pack) of all anchors; a text's own repeats of the same surroundings come as (null, null, doc_id, start and end)."""
+    """(name, ctx, doc_id, pack) of all anchors; runs of a text's own repeats of the same surroundings come with a negative pack."""
     reach = length - length // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +105,12 @@ def _ranked(docs: DataFrame, length: int) -> DataFrame:
             order = np.argsort(key, kind="stable")
             again = np.zeros(len(key), dtype=bool)
             again[order[1:]] = key[order[1:]] == key[order[:-1]]
-            new = ~again
-            pack = np.where(new, _pack(own, left, right), _pack(own - left, np.zeros_like(own), left + right))
-            ids = block.column("doc_id").take(pa.array(b.doc))
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64), mask=again), pa.array(ctx.view(np.int64), mask=again), ids, pa.array(pack)], names=["name", "ctx", "doc_id", "pack"])
+            doc, start, end = _merged(b.doc[again], (own - left)[again], (own + right)[again])
+            alone = mix(mix(doc.astype(U64) + U64(b.off[-1])) ^ start.astype(U64))  # any name: spreads them
+            ids = block.column("doc_id").take(pa.array(np.concatenate([b.doc[~again], doc])))
+            packs = np.concatenate([_pack(own, left, right)[~again], -_pack(start, np.zeros_like(start), end - start) - 1])
+            names, surroundings = np.concatenate([name[~again], alone]), np.concatenate([ctx[~again], alone])
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(surroundings.view(np.int64)), ids, pa.array(packs)], names=["name", "ctx", "doc_id", "pack"])
 
     df = spread(docs)
     return df.mapInArrow(run, f"name bigint, ctx bigint, doc_id {df.schema['doc_id'].dataType.simpleString()}, pack bigint")
@@ -118,6 +133,8 @@ def _scan(ranked: DataFrame) -> DataFrame:
             new_name, first = np.ones(len(name), dtype=bool), np.ones(len(name), dtype=bool)
             new_name[1:] = name[1:] != name[:-1]
             first[1:] = new_name[1:] | (ctx[1:] != ctx[:-1])
+            pack = batch.column("pack").to_numpy()
+            own = pack < 0  # ranges that are repeats already
             group = np.cumsum(new_name) - 1
             several = np.bincount(group, weights=first)[group] > 1
             if carry is not None and told:
@@ -125,9 +142,13 @@ def _scan(ranked: DataFrame) -> DataFrame:
             out = first & several
             if carry is not None and told:
                 out[0] = False
-            take = np.flatnonzero(out | ~first)
+            if carry is not None:
+                own[0] = False  # given out with its own batch
+            take = np.flatnonzero(out | ~first | own)
             if len(take):
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(take)).columns, pa.array(first[take])], names=[*batch.schema.names, "open"])
+                given = batch.take(pa.array(take))
+                given = given.set_column(batch.schema.get_field_index("pack"), "pack", pa.array(np.where(own, -pack - 1, pack)[take]))
+                yield pa.RecordBatch.from_arrays([*given.columns, pa.array((first & ~own)[take])], names=[*batch.schema.names, "open"])
             last = int(np.flatnonzero(first)[-1])
             told = bool(several[last])
             carry = batch.slice(last, 1)
@@ -218,22 +239,20 @@ def _span(rows: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, end): byte ranges, which may overlap, that together are all bytes to remove. ``docs`` has unique ids."""
-    ranked = _ranked(docs, length)
-    ranked = written(ranked)
-    found = [_span(ranked.where("name is null"))]
-    seen = written(_scan(ranked.where("name is not null")))
-    release(docs.sparkSession)
+    found: list[DataFrame] = []
+    seen = written(_scan(_ranked(docs, length)))
     found.append(_span(seen.where("not open")))
-    rows = written(_ends(docs, seen.where("open").select("doc_id", "pack"), length))
-    span = _split(0, length - length // 4)[0]
+    release(docs.sparkSession)
+    rows = _ends(docs, seen.where("open").select("doc_id", "pack"), length)
+    low, high = _split(0, length - length // 4)[0]
     while True:
         seen = written(_scan(rows))
-        release(docs.sparkSession)
         found.append(_span(seen.where("not open")))
-        if span[0] == span[1]:
+        release(docs.sparkSession)
+        if low == high:
             break
-        rows = written(_refined(seen.where("open"), docs, length))
-        span = _split(*span)[0]
+        rows = _refined(seen.where("open"), docs, length)
+        low, high = _split(low, high)[0]
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
