@@ -25,11 +25,11 @@ def query(name: str, sql: str | None = None, r: str = "", digits: int = 6, base:
     def add(f: Query) -> Query:
         QUERIES[name] = (lambda s, d: rounded(f(s, d), columns, digits)) if columns else f
         if sql is not None:
-            body = sql.strip()
+            body = f"{BASE}\n{sql.strip()}" if base else sql.strip()
             if columns:
                 swap = ", ".join(f"round(cast({c} as double), {digits}) + 0E0 as {c}" for c in columns)
                 body = f"select * replace ({swap}) from ({body})"
-            ORACLE_SQL[name] = f"{BASE}\n{body}" if base else body
+            ORACLE_SQL[name] = body
         return f
 
     return add
