@@ -18,16 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(view):
+    """Persists a view, once for each application and folder, as most queries start from it; what is lost is computed again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, view.__name__)
+        if key not in _KEPT:
+            _KEPT[key] = view(spark, sf_dir).persist()
+        return _KEPT[key]
+
+    return run
+
+
 def _month(c: str) -> Column:
     return F.to_date(F.date_trunc("month", F.col(c)))
 
 
+@kept
 def underlying(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(_month("o_orderdate").alias("date"), F.round(F.col("o_totalprice") * 100.0).cast("bigint").alias("cents"))
     close = F.floor(F.sum("cents").cast("double") / F.count("*").cast("double") / 1e3) / 1e2
     return o.groupBy("date").agg(close.alias("close"))
 
 
+@kept
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes with the underlying's close already looked up for the strike; ``close`` is left out again."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax", "l_quantity", "l_discount", "l_linestatus", "l_returnflag")
@@ -57,10 +74,12 @@ def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@kept
 def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.strict_subset(S.derive(S.join_underlying(raw_quotes(spark, sf_dir), underlying(spark, sf_dir))))
+    return S.strict_subset(S.hard_clean(S.derive(S.join_underlying(raw_quotes(spark, sf_dir), underlying(spark, sf_dir)))))
 
 
+@kept
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = surface(spark, sf_dir).withColumn("iv_clean", F.col("implied_volatility"))
     u = lambda name: key_uniform("row_key", name)
@@ -122,7 +141,7 @@ SURFACE_SQL = """derived as (
   from quotes q join underlying u on q.date = u.date
 ), surface as (
   select * from derived
-  where bid > 0 and ask > 0 and mid > 0 and implied_volatility between 1E-2 and 3E0 and tau between 1E0 / 365E0 and 2E0 and log_moneyness between -1E0 and 1E0
+  where bid > 0 and ask >= bid and mid > 0 and implied_volatility between 1E-2 and 3E0 and tau between 1E0 / 365E0 and 2E0 and log_moneyness between -1E0 and 1E0
 )"""
 SPLIT_SQL = """split_map as (
   select date, case when rn <= floor(n * 7E-1) then 'train' when rn <= floor(n * 7E-1) + floor(n * 15E-2) then 'val' else 'test' end as split

@@ -453,8 +453,11 @@ def _(s, d):
     return explore.null_rates(A.raw_quotes(s, d))
 
 
-@query("strict_summary", f"""select (select count(*) from surface s join derived x using (row_key) where {' and '.join('x.' + p if not p.startswith('x.') else p for p in CLEAN.split(' and '))}) / cast(count(*) as double) as strict_share, (select min(date) from surface) as min_date, (select max(date) from surface) as max_date,
-  (select count(distinct date) from surface) as n_dates, min(implied_volatility) filter (row_key in (select row_key from surface)) as iv_min, max(implied_volatility) filter (row_key in (select row_key from surface)) as iv_max, min(tau) filter (row_key in (select row_key from surface)) as tau_min, max(tau) filter (row_key in (select row_key from surface)) as tau_max from derived where {CLEAN}""", "strict_share iv_min iv_max tau_min tau_max")
+INSIDE = "row_key in (select row_key from surface)"
+
+
+@query("strict_summary", f"""select avg(cast({INSIDE} as int)) as strict_share, min(date) filter ({INSIDE}) as min_date, max(date) filter ({INSIDE}) as max_date, count(distinct date) filter ({INSIDE}) as n_dates,
+  min(implied_volatility) filter ({INSIDE}) as iv_min, max(implied_volatility) filter ({INSIDE}) as iv_max, min(tau) filter ({INSIDE}) as tau_min, max(tau) filter ({INSIDE}) as tau_max from derived where {CLEAN}""", "strict_share iv_min iv_max tau_min tau_max")
 def _(s, d):
     return explore.strict_summary(clean(s, d))
 

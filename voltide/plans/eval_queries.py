@@ -619,7 +619,7 @@ def _(s, d):
 
 
 KEYS = "round(log_moneyness, 10) + 0E0 as lm_key, round(tau, 10) + 0E0 as tau_key"
-TWINS = f", at as (select date, {KEYS}, avg(implied_volatility) filter (observed) as twin_iv, count(*) filter (observed) as n_twins, max(iv_clean) - min(iv_clean) as iv_range from predictions group by 1, 2, 3), twins as (select h.*, twin_iv, coalesce(n_twins, 0) as n_twins, iv_range, abs(twin_iv - iv_clean) as twin_error from (select *, {KEYS} from predictions where not observed) h left join at using (date, lm_key, tau_key))"
+TWINS = f", twin_at as (select date, {KEYS}, avg(implied_volatility) filter (observed) as twin_iv, count(*) filter (observed) as n_twins, max(iv_clean) - min(iv_clean) as iv_range from predictions group by 1, 2, 3), twins as (select h.*, twin_iv, coalesce(n_twins, 0) as n_twins, iv_range, abs(twin_iv - iv_clean) as twin_error from (select *, {KEYS} from predictions where not observed) h left join twin_at using (date, lm_key, tau_key))"
 
 
 @query("twin_join", f"{TWINS} select row_key, twin_iv, twin_error from twins", "twin_iv twin_error")
@@ -732,10 +732,9 @@ def _(s, d):
 
 
 SWEEP = f""", rungs as (select p.*, cast(i as int) as rung_index, x as intensity from predictions p, (select unnest([0, 1, 2, 3, 4]) as i, unnest([0E0, 2E-1, 4E-1, 6E-1, 8E-1]) as x)),
-limits as (select date, rung_index, quantile_cont(abs(log_moneyness), 1E0) as unused from rungs where observed group by 1, 2),
 mats as (select *, row_number() over (partition by date, rung_index order by (cast('0x' || substr(md5(concat(cast(date as varchar), '|', cast(cast(round(tau * 365E0) as int) as varchar), '|maturity11')), 1, 8) as bigint) / 4294967296E0), tau) as r, round_even(intensity * count(*) over (partition by date, rung_index), 0) as n_drop from (select distinct date, rung_index, intensity, tau from rungs where observed)),
-sorted as (select date, rung_index, abs(log_moneyness) as a, row_number() over (partition by date, rung_index order by abs(log_moneyness), row_key) - 1 as r, (count(*) over (partition by date, rung_index) - 1) * (1E0 - intensity) as at from rungs where observed),
-wings as (select date, rung_index, max(a) filter (r = floor(at)) + (max(a) filter (r = ceil(at)) - max(a) filter (r = floor(at))) * any_value(at - floor(at)) as lim from sorted group by 1, 2),
+sorted as (select date, rung_index, abs(log_moneyness) as a, row_number() over (partition by date, rung_index order by abs(log_moneyness), row_key) - 1 as r, (count(*) over (partition by date, rung_index) - 1) * (1E0 - intensity) as pos from rungs where observed),
+wings as (select date, rung_index, max(a) filter (r = floor(pos)) + (max(a) filter (r = ceil(pos)) - max(a) filter (r = floor(pos))) * any_value(pos - floor(pos)) as lim from sorted group by 1, 2),
 kept as (select r.row_key, r.date, r.rung_index, intensity, observed, iv_clean, iv_pred, {sql_uniform('quotes11').replace('row_key', 'r.row_key')} < 1E0 - intensity as kq, coalesce(abs(log_moneyness) <= lim, false) as kw, m.tau is null as km
   from rungs r left join wings w on w.date = r.date and w.rung_index = r.rung_index left join (select date, rung_index, tau from mats where r <= n_drop) m on m.date = r.date and m.rung_index = r.rung_index and m.tau = r.tau),
 swept as (select 'fewer_quotes' as regime, *, observed and kq as retained from kept union all select 'thin_wings', *, observed and kw from kept union all select 'missing_maturities', *, observed and km from kept union all select 'combined_quotes_wings', *, observed and kq and kw from kept)"""
