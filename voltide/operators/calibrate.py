@@ -86,6 +86,11 @@ def confidence(u: Column, centre: Column, scale: Column) -> Column:
     return F.when(z >= 0, 1.0 / (1.0 + F.exp(-z))).otherwise(F.exp(z) / (1.0 + F.exp(z)))
 
 
+def _fixed(one: DataFrame) -> DataFrame:
+    """A one-row table as a literal, so that plans which use it don't hold the fit."""
+    return one.sparkSession.createDataFrame(one.collect(), one.schema)
+
+
 def fit(df: DataFrame, alpha: float = 0.9, head: str = "gaussian", disagreement: str = "disagreement_std") -> DataFrame:
     """The calibrator as a one-row table, fitted on the rows given (with iv_pred, sigma or lower and upper, iv_clean, disagreement)."""
     z = gaussian_z(alpha)
@@ -98,9 +103,10 @@ def fit(df: DataFrame, alpha: float = 0.9, head: str = "gaussian", disagreement:
     else:
         raise ValueError(f"unknown head: {head}")
     rows = df.withColumn("abs_error", F.abs(F.col("iv_pred") - F.col("iv_clean")))
-    params = main.crossJoin(fit_scaling(rows, disagreement))
+    params = _fixed(main.crossJoin(fit_scaling(rows, disagreement)))
     fused = rows.crossJoin(F.broadcast(params)).withColumn("u", fuse(sigma, scaled(F.col(disagreement), F.col("slope"), F.col("intercept"))))
-    return params.crossJoin(fit_confidence(fused, "u")).withColumns({"alpha": F.lit(alpha), "head": F.lit(head), "version": F.lit(VERSION)})
+    done = params.crossJoin(_fixed(fit_confidence(fused, "u")))
+    return done.withColumns({"alpha": F.lit(alpha), "head": F.lit(head), "version": F.lit(VERSION)})
 
 
 def apply(df: DataFrame, params: DataFrame, disagreement: str = "disagreement_std") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,56 +19,38 @@ def reconstruct_mean(df: DataFrame, by: Sequence[str] = ("date",), out: str = "i
     return df.drop(out).join(mean, list(by))
 
 
-def _sites(df: DataFrame, by: Sequence[str], mode: str) -> DataFrame:
-    """Observed points as one array for each group, sorted by log_moneyness."""
-    obs = df.where("observed")
-    if mode == "dedup":
-        obs = obs.groupBy(*by, "log_moneyness", "tau").agg(F.min("row_key").alias("row_key"), F.min_by("implied_volatility", "row_key").alias("implied_volatility"))
-    return obs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("log_moneyness", "tau", "row_key", "implied_volatility"))).alias("_sites"))
-
-
 def nearest_observed(df: DataFrame, mode: str = "naive", by: Sequence[str] = ("date",)) -> DataFrame:
     """Adds distance and nearest_iv: the nearest observed point of the same date, by Euclidean distance in (log_moneyness, tau).
 
     Ties go to the least row_key. Modes: naive; dedup (one observed point for each exact coordinate); exclude_same_key (points at the row's own
-    rounded coordinates don't count). Infinite distance and null without a point. A date's observed points meet as one sorted array
-    (a date holds thousands); rows probe it in batches with vectorised distances, so no pairs are made.
+    rounded coordinates don't count). Infinite distance and null without a point. One group is one date's points, a few thousand, compared in
+    blocks of vectorised distances; groups are spread over the cluster by their keys.
     """
     if mode not in ("naive", "dedup", "exclude_same_key"):
         raise ValueError(f"unknown mode: {mode}")
-    keep = df.columns
-    rows = df.join(_sites(df, by, mode), list(by), "left").select(*keep, "_sites")
-    exclude = mode == "exclude_same_key"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", distance double, nearest_iv double"
-
-    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in groups:
-            dist, iv = np.full(len(pdf), np.inf), np.full(len(pdf), np.nan)
-            codes = pdf.groupby(list(by), sort=False, dropna=False).indices if len(pdf) else {}
-            for _, idx in codes.items():
-                sites = pdf["_sites"].iloc[idx[0]]
-                if sites is None or not len(sites):
-                    continue
-                x = np.array([s["log_moneyness"] for s in sites])
-                y = np.array([s["tau"] for s in sites])
-                v = np.array([s["implied_volatility"] for s in sites], dtype=float)
-                keys = np.array([s["row_key"] for s in sites])
-                rank = np.argsort(np.argsort(keys, kind="stable"), kind="stable")
-                a, b = pdf["log_moneyness"].to_numpy()[idx], pdf["tau"].to_numpy()[idx]
-                for lo in range(0, len(idx), 2048):
-                    d = np.sqrt((a[lo : lo + 2048, None] - x[None, :]) ** 2 + (b[lo : lo + 2048, None] - y[None, :]) ** 2)
-                    if exclude:
-                        same = (np.round(a[lo : lo + 2048, None], 10) == np.round(x[None, :], 10)) & (np.round(b[lo : lo + 2048, None], 10) == np.round(y[None, :], 10))
-                        d = np.where(same, np.inf, d)
-                    least = d.min(axis=1)
-                    pick = np.argmin(np.where(d == least[:, None], rank[None, :], len(rank)), axis=1)
-                    dist[idx[lo : lo + 2048]] = least
-                    iv[idx[lo : lo + 2048]] = np.where(np.isfinite(least), v[pick], np.nan)
-            out = pdf.drop(columns="_sites")
-            out["distance"], out["nearest_iv"] = dist, iv
-            yield out
-
-    return rows.mapInPandas(run, schema).withColumn("nearest_iv", F.nanvl("nearest_iv", F.lit(None).cast("double")))
+    cols = list(dict.fromkeys([*by, "row_key", "log_moneyness", "tau", "observed", "implied_volatility"]))
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*by, "row_key"]) + ", distance double, nearest_iv double"
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        dist, iv = np.full(len(pdf), np.inf), np.full(len(pdf), np.nan)
+        seen = pdf[pdf["observed"].astype(bool)].sort_values("row_key", kind="stable")
+        if mode == "dedup":
+            seen = seen.drop_duplicates(["log_moneyness", "tau"])
+        if len(seen):
+            x, y, v = (seen[c].to_numpy(float) for c in ("log_moneyness", "tau", "implied_volatility"))
+            a, b = pdf["log_moneyness"].to_numpy(float), pdf["tau"].to_numpy(float)
+            for lo in range(0, len(pdf), 2048):
+                p, q = a[lo : lo + 2048, None], b[lo : lo + 2048, None]
+                d = np.sqrt((p - x) * (p - x) + (q - y) * (q - y))
+                if mode == "exclude_same_key":
+                    d[(np.round(p, 10) == np.round(x, 10)) & (np.round(q, 10) == np.round(y, 10))] = np.inf
+                pick = d.argmin(axis=1)  # the first of equal ones: the least row_key
+                dist[lo : lo + 2048] = d[np.arange(len(d)), pick]
+                iv[lo : lo + 2048] = np.where(np.isfinite(dist[lo : lo + 2048]), v[pick], np.nan)
+        return pdf[[*by, "row_key"]].assign(distance=dist, nearest_iv=iv)
+
+    found = df.select(*cols).groupBy(*by).applyInPandas(fit, schema).withColumn("nearest_iv", F.nanvl("nearest_iv", F.lit(None).cast("double")))
+    return df.join(found, [*by, "row_key"])
 
 
 def reconstruct_nearest(df: DataFrame, by: Sequence[str] = ("date",), out: str = "iv_pred") -> DataFrame:
