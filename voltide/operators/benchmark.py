@@ -127,14 +127,14 @@ def paired(df: DataFrame, decimals: int = 10) -> DataFrame:
 
 
 def gaussian(iv: Column, sigma: float, seed: int = 42) -> Column:
-    return iv if sigma <= 0 else F.greatest(iv + F.lit(sigma) * key_normal("row_key", f"noise{seed}"), F.lit(1e-4))
+    return iv if sigma <= 0 else F.when(iv.isNotNull(), F.greatest(iv + F.lit(sigma) * key_normal("row_key", f"noise{seed}"), F.lit(1e-4)))
 
 
 def heteroscedastic(iv: Column, sigma: float, seed: int = 42) -> Column:
     if sigma <= 0:
         return iv
     scale = (1.0 + 2.0 * F.abs("log_moneyness") / 0.3) * (1.0 + 0.5 / F.greatest(F.col("tau") * 365.0, F.lit(1.0)))
-    return F.greatest(iv + F.lit(sigma) * scale * key_normal("row_key", f"noise{seed}"), F.lit(1e-4))
+    return F.when(iv.isNotNull(), F.greatest(iv + F.lit(sigma) * scale * key_normal("row_key", f"noise{seed}"), F.lit(1e-4)))
 
 
 def inject_noise(df: DataFrame, regime: str, hetero: bool = False, seed: int = 42) -> DataFrame:

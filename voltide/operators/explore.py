@@ -107,7 +107,7 @@ def sample_dates(df: DataFrame, n: int, seed: int = 3) -> DataFrame:
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, clip: bool = False) -> DataFrame:
     """Counts in ``bins`` equal bins of [low, high], the last one closed; values outside are left out, or moved to the ends with ``clip``."""
     x = F.col(column).cast("double")
-    x = F.least(F.greatest(x, F.lit(low)), F.lit(high)) if clip else x
+    x = F.when(finite(x), F.least(F.greatest(x, F.lit(low)), F.lit(high))) if clip else x  # greatest would take a null for low
     rows = df.select(x.alias("x")).where(finite(F.col("x")) & F.col("x").between(low, high))
     b = F.least(F.floor((F.col("x") - low) / (high - low) * bins), F.lit(bins - 1))
     return rows.groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))

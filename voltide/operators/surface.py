@@ -76,7 +76,7 @@ def hard_clean_counts(df: DataFrame) -> DataFrame:
 
 def relative_spread(eps: float = SMALL, mid: Column | None = None) -> Column:
     mid = F.col("mid") if mid is None else mid
-    return (F.col("ask") - F.col("bid")) / F.greatest(mid, F.lit(eps))
+    return F.when(mid.isNotNull(), (F.col("ask") - F.col("bid")) / F.greatest(mid, F.lit(eps)))
 
 
 def quality_flags(df: DataFrame) -> DataFrame:
