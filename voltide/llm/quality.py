@@ -138,7 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = 4000, held_out_
     uniform = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("quality") == 1, min(1.0, max_per_label / n_good)).otherwise(min(1.0, max_per_label / n_bad))
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(3))
-    taken = known.where(uniform < share).withColumn("fold", fold)
+    sample = known.where(uniform < share).withColumn("fold", fold)
+    # About 2 * max_per_label ids: so few that they are sent to the texts, which then need no shuffle.
+    taken = F.broadcast(docs.sparkSession.createDataFrame(sample.collect(), sample.schema))
     rows = texts(docs).join(taken, "doc_id")
     lines = {1: [], 0: []}
     for r in rows.where("fold = 0").select("doc_id", "quality", _spread_chunks(F.col("text")).alias("text")).orderBy("doc_id").toLocalIterator():
