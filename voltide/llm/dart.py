@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,10 @@ BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 #: Share of agreeing coordinates (a byte of each) from which a pair is compared exactly: 4.5 standard deviations below 0.8.
 ESTIMATE = 0.6
+#: Texts of a bucket that are held against each other at once; larger buckets are cut into blocks, and every two blocks meet.
+BLOCK = 512
+#: Pairs of signatures compared at once, and pairs of texts that are compared before classes are made anew (or the number of texts).
+_CHUNK, _SLICE = 1 << 16, 1 << 16
 #: Rank up to which the first darts are thrown; each later throw doubles it.
 _FIRST = 2.0**-7
 _GOLD = 0x9E3779B97F4A7C15
@@ -92,14 +97,15 @@ def signatures(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, bands, sig): key names the exact text, bands are null for a text without a word."""
+    """(doc_id, key, bands, sig, n): key names the exact text, bands are null for a text without a word, n is its number of elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for block in blocks(batches):
             batch = block.column("text").to_pylist()
-            sig, some = signatures(*elements(batch))
+            h, of = elements(batch)
+            sig, some = signatures(h, of)
             band = np.zeros((len(batch), BANDS), dtype=U64)
             for r in range(ROWS):
                 band = mix(band + sig[:, r::ROWS])
@@ -109,10 +115,10 @@ def _signed(docs: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(null, False)), pa.array(band[some].reshape(-1).view(np.int64)))
             keys = pa.array([hashlib.md5((t or "").encode()).digest() for t in batch], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), keys, lists, pa.array([s.tobytes() for s in small], type=pa.binary())], names=["doc_id", "key", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), keys, lists, pa.array([s.tobytes() for s in small], type=pa.binary()), pa.array(np.diff(of).astype(np.int64))], names=["doc_id", "key", "bands", "sig", "n"])
 
     df = spread(texts(docs).where("doc_id is not null"))
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, key binary, bands array<bigint>, sig binary")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, key binary, bands array<bigint>, sig binary, n bigint")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -129,6 +135,69 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return rows.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _across(placed: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), once each: all pairs of a bucket of ``placed`` (bucket, id, label) with different labels whose signatures agree in ESTIMATE or more.
+
+    A bucket of several labels is cut into blocks of about BLOCK texts, and each two of its blocks are a group of their own, whatever
+    task they are in. Pairs whose sizes alone keep them below ``similarity`` are left out.
+    """
+    split = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y")
+    rows = placed.join(split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.join(sigs.select(F.col("doc_id").alias("id"), "bands", "sig", "n"), "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("late"), "id", "label", "n", "sig", "bands")
+    rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "late")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def met(batch: pa.RecordBatch, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket, low, high, late, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "low", "high", "late", "n"))
+        group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        at, end = np.arange(len(bucket)), edge[1:][group]
+        early = np.bincount(group, weights=~late, minlength=len(edge) - 1).astype(np.int64)  # rows of a group's first block
+        first = np.where(low == high, at + 1, np.where(late, end, edge[:-1][group] + early[group]))
+        many = np.maximum(end - first, 0)
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, K)
+        bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        ids, label = batch.column("id"), batch.column("label")
+        ends = np.cumsum(many)
+        lo = 0
+        while lo < len(many):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _CHUNK, side="right")))
+            a, b = np.repeat(at[lo:hi], many[lo:hi]), ragged(first[lo:hi], many[lo:hi])
+            lo = hi
+            for keep in (
+                lambda a, b: pc.not_equal(label.take(pa.array(a)), label.take(pa.array(b))).to_numpy(zero_copy_only=False),
+                lambda a, b: np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9,
+                lambda a, b: (sig[a] == sig[b]).sum(axis=1) >= ESTIMATE * K,
+                lambda a, b: bands[a, (bands[a] == bands[b]).argmax(axis=1)] == bucket[a],  # the first bucket that both are in
+            ):
+                if len(a):
+                    ok = keep(a, b)
+                    a, b = a[ok], b[ok]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.RecordBatch | None = None  # the group that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if carry is not None:
+                batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            new[0] = True
+            for c in ("bucket", "low", "high"):
+                v = batch.column(c).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            edge = np.flatnonzero(new)
+            carry = batch.slice(edge[-1])
+            if len(edge) > 1:
+                yield from met(batch.slice(0, edge[-1]), edge)
+        if carry is not None:
+            yield from met(carry, np.array([0, carry.num_rows]))
+
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, similarity): exact weighted Jaccard similarity of the whole texts' shingles."""
     t = texts(docs)
@@ -160,13 +229,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Links: a bucket's hub is the text in it that shares most buckets with others. Every text is compared with the best hub of its buckets;
     then, in buckets whose texts are not in one class yet, with the hubs of the others and with the text before it in the order of
-    the next band. So each text of a bucket makes two pairs at most, whatever the bucket's size, and no bucket is cut; two similar texts
-    that meet in no such pair, in any of their common buckets, are linked by way of others or not at all.
+    the next band. These rounds are cheap and join most; at last, in buckets whose texts are still not in one class, all pairs across
+    classes that were not tried are compared if their signatures agree. These are taken in slices of about as many pairs as there are
+    texts, after each of which pairs that have come into one class drop out; so no similar pair of a common bucket is left.
     """
     signed = written(_signed(docs))
     firsts = signed.groupBy("key").agg(F.min("doc_id").alias("rep"))
     members = written(signed.select("doc_id", "key").distinct().join(firsts, "key").select("doc_id", "rep"))
-    sigs = written(signed.join(firsts.select(F.col("rep").alias("doc_id"), F.col("key").alias("rep_key")), "doc_id").where("key = rep_key and bands is not null").select("doc_id", "bands", "sig"))
+    sigs = written(signed.join(firsts.select(F.col("rep").alias("doc_id"), F.col("key").alias("rep_key")), "doc_id").where("key = rep_key and bands is not null").select("doc_id", "bands", "sig", "n"))
     rows = sigs.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"), "bands")
     rows = rows.select("id", "bucket", F.col("bands")[(F.col("band") + 1) % BANDS].alias("next"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -178,22 +248,37 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nearest = held.select("bucket", "id").join(hubs, "bucket").where("id <> hub").groupBy("id").agg(F.max_by("hub", "o").alias("hub"))
     stars = nearest.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     release(docs.sparkSession)
-    first = written(similarities(_agreeing(stars, sigs), docs).where(F.col("similarity") >= similarity).select("a", "b"))
+    tried = written(similarities(_agreeing(stars, sigs), docs))
+    alike = F.col("similarity") >= similarity
+    first = tried.where(alike).select("a", "b")
     release(docs.sparkSession)
     label = components(first)
     named = label.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-    held = held.join(label, "id", "left").select("bucket", "id", "next", F.coalesce("label", "id").alias("label"))
-    split = held.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    rest = held.join(split, "bucket").join(hubs.select("bucket", "hub"), "bucket").join(named, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
+    placed = held.join(label, "id", "left").select("bucket", "id", "next", F.coalesce("label", "id").alias("label"))
+    split = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    rest = placed.join(split, "bucket").join(hubs.select("bucket", "hub"), "bucket").join(named, "hub", "left").withColumn("hub_label", F.coalesce("hub_label", "hub"))
     w = Window.partitionBy("bucket").orderBy("next", "id")
     rest = rest.withColumns({"before": F.lag("id").over(w), "before_label": F.lag("label").over(w)})
     tries = F.explode(F.array(F.struct(F.col("hub").alias("o"), F.col("hub_label").alias("l")), F.struct(F.col("before").alias("o"), F.col("before_label").alias("l")))).alias("t")
     across = rest.select("id", "label", tries).where("t.o is not null and t.l <> label").select(F.least("id", "t.o").alias("a"), F.greatest("id", "t.o").alias("b")).distinct()
     across = across.join(stars, ["a", "b"], "left_anti")
     release(docs.sparkSession)
-    second = written(similarities(_agreeing(across, sigs), docs).where(F.col("similarity") >= similarity).select("a", "b"))
+    second = written(similarities(_agreeing(across, sigs), docs))
+    release(docs.sparkSession)
+    tried, links = tried.union(second), first.union(second.where(alike).select("a", "b"))
+    label = components(links)
+    placed = held.select("bucket", "id").join(label, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    todo = written(_across(placed, sigs, similarity).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     release(docs.sparkSession)
-    links = first.union(second)
+    slices = -(-todo.count() // max(sigs.count(), _SLICE))
+    for k in range(slices):
+        part = todo.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
+        if k:
+            label = components(links)
+            of = [label.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
+            part = part.join(of[0], "a", "left").join(of[1], "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        links = links.union(written(similarities(part, docs).where(alike).select("a", "b")))
+        release(docs.sparkSession)
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     label = components(links.union(several))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
