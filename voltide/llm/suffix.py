@@ -29,6 +29,8 @@ from .common import U64, Rolling, blocks, least_at, mix, ragged, release, spread
 LENGTH = 100
 #: Runs of strings that one which is still open is split into for the next round.
 PARTS = 5
+#: A packed length has 16 bits; longer ranges are cut in pieces.
+_LONGEST = 0xFFFF
 _ROLLING = Rolling()
 
 
@@ -89,6 +91,13 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[at], start[at], reach[last] - shift[at]
 
 
+def _pieces(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges in pieces that a pack has room for."""
+    many = -(-(end - start) // _LONGEST)
+    start = np.repeat(start, many) + ragged(np.zeros(len(many), dtype=np.int64), many) * _LONGEST
+    return np.repeat(doc, many), start, np.minimum(start + _LONGEST, np.repeat(end, many))
+
+
 def _ranked(docs: DataFrame, length: int) -> DataFrame:
     """(name, ctx, doc_id, pack) of all anchors; runs of a text's own repeats of the same surroundings come with a negative pack."""
     reach = length - length // 4
@@ -106,6 +115,7 @@ def _ranked(docs: DataFrame, length: int) -> DataFrame:
             again = np.zeros(len(key), dtype=bool)
             again[order[1:]] = key[order[1:]] == key[order[:-1]]
             doc, start, end = _merged(b.doc[again], (own - left)[again], (own + right)[again])
+            doc, start, end = _pieces(doc, start, end)
             alone = mix(mix(doc.astype(U64) + U64(b.off[-1])) ^ start.astype(U64))  # any name: spreads them
             ids = block.column("doc_id").take(pa.array(np.concatenate([b.doc[~again], doc])))
             packs = np.concatenate([_pack(own, left, right)[~again], -_pack(start, np.zeros_like(start), end - start) - 1])
