@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by distributed prefix doubling over sampled positions.
+"""Removal of repeated byte strings by minimiser anchors and hashes of growing surroundings, in place of prefix doubling.
 
 A string of LENGTH bytes is removed where it also starts earlier. Sorting all suffixes of all texts would shuffle a row for each byte,
 so the first rank is made at sampled positions: of the grams of LENGTH // 4 bytes inside a string, the one of least hash is its
