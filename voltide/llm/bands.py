@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, Rolling, mix, spread, texts
+from .common import U64, Rolling, blocks, mix, spread, texts
 
 #: Bytes from which a band holds, least and greatest ratio of plain to compressed size; texts outside are rejected.
 BANDS = ((0, 0.4, 4.0), (128, 0.8, 4.0), (512, 1.15, 4.5), (2048, 1.4, 5.0), (8192, 1.5, 5.5), (32768, 1.5, 6.0))
@@ -78,13 +78,13 @@ def rules(docs: DataFrame) -> DataFrame:
 
     (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, odd_chunks, kept).
     Words are runs of bytes other than space and \\t to \\r. base_failed: under 10 words, or over a fifth of the words in
-    five-word windows that are there twice. kept: not base_failed, and the compression bands hold.
+    five-word windows that are there twice. kept: not base_failed, and the compression bands hold. An empty table gives an empty one.
     """
     df = spread(texts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = Ratios()
-        for batch in batches:
+        for batch in blocks(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 c = counts(text)

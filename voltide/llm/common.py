@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-MASK64 = (1 << 64) - 1
 #: Texts are worked on in blocks of about this many bytes, whatever the size of an Arrow batch.
 BLOCK_BYTES = 1 << 20
 
@@ -64,6 +63,17 @@ def blocks(batches: Iterator[pa.RecordBatch], sized: str = "text") -> Iterator[p
             at = to
 
 
+#: Rows that one task sees beside one host text; a host of more rows is put beside several groups of them.
+GROUP_ROWS = 4096
+
+
+def dealt(pairs: DataFrame, host: str, guest: str) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with a column ``salt``, and (host, salt) once for each group: a host's rows are dealt over groups of about GROUP_ROWS by guest."""
+    groups = pairs.groupBy(host).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups"))
+    salted = pairs.join(groups, host).withColumn("salt", F.pmod(F.xxhash64(guest), F.col("groups")).cast("int")).drop("groups")
+    return salted, groups.select(host, F.explode(F.expr("sequence(0, groups - 1)")).alias("salt"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over an array of unsigned 64-bit integers."""
     x = x.astype(U64, copy=True)
@@ -75,49 +85,88 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_P = U64((1 << 31) - 1)
+#: Values worked on at once, so that they stay in the processor's cache.
+_STEP = 1 << 14
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x``, which is below 2**62 and may be overwritten, modulo the prime 2**31 - 1."""
+    for _ in range(2):
+        high = x >> U64(31)
+        x &= _P
+        x += high
+    x += (x + U64(1)) >> U64(31)  # the prime itself becomes 0
+    x &= _P
+    return x
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
-    out = np.full(n, base & MASK64, dtype=U64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**0 ... base**(n-1) modulo 2**31 - 1."""
+    out = np.ones(max(n, 1), dtype=U64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = _reduced(out[:more] * U64(pow(base, done, int(_P))))
+        done += more
+    return out[:n].astype(np.uint32)
 
 
 class Rolling:
-    """Polynomial hashes modulo 2**64 of windows of an integer array, by prefix sums of inverse powers."""
+    """Hashes of windows of an integer array: two polynomials modulo the prime 2**31 - 1, each over its own half of the values' bits.
 
-    BASE = 0x9E3779B97F4A7C15 | 5
+    Sums of values over powers of the base are kept, from which the hash of any window follows. Different windows of n values have the
+    same hash with a chance of about (n / 2**31)**2. (Modulo 2**64 some strings would collide whatever the base.)
+    """
+
+    BASES = (1_283_946_071, 718_281_829)
 
     def __init__(self) -> None:
-        self._inverse = pow(self.BASE, -1, 1 << 64)
-        self._up = self._down = np.empty(0, dtype=U64)
+        self._up: list[np.ndarray] = [np.empty(0, dtype=np.uint32)] * 2
+        self._down = self._up
 
     def _grow(self, n: int) -> None:
-        if len(self._up) < n:
-            n = max(n, 2 * len(self._up), 1 << 16)
-            self._up, self._down = powers(self.BASE, n), powers(self._inverse, n)
+        if len(self._up[0]) < n:
+            n = max(n, 2 * len(self._up[0]), 1 << 16)
+            self._up = [powers(b, n) for b in self.BASES]
+            self._down = [powers(pow(b, -1, int(_P)), n) for b in self.BASES]
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums from which ``window`` makes hashes; ``values`` are well mixed unsigned 64-bit integers."""
-        self._grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, dtype=U64)
-        np.cumsum(values * self._down[: len(values)], out=out[1:])
+        """Sums from which ``window`` makes hashes; ``values`` are well mixed unsigned 64-bit integers."""
+        n = len(values)
+        self._grow(n + 1)
+        out = np.zeros((2, n + 1), dtype=U64)
+        for at in range(0, n, _STEP):
+            to = min(at + _STEP, n)
+            for k, half in enumerate((values[at:to] & _P, values[at:to] >> U64(33))):
+                half *= self._down[k][at:to]
+                np.cumsum(_reduced(half), out=out[k, at + 1 : to + 1])
+                out[k, at + 1 : to + 1] += out[k, at]
         return out
 
     def window(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of [start, end), equal for equal content wherever it stands."""
-        return (prefix[end] - prefix[start]) * self._up[end]  # the power of an end is right up to a factor that the start fixes
+        """62-bit hashes of [start, end), equal for equal content wherever it stands."""
+        got = []
+        for k in (0, 1):
+            d = _reduced(prefix[k][end] - prefix[k][start])
+            d *= self._up[k][end]
+            got.append(_reduced(d))
+        return got[0] << U64(31) | got[1]
 
     def every(self, prefix: np.ndarray, length: int) -> np.ndarray:
         """Hash of each window of ``length`` values, by start."""
-        n = len(prefix) - length
+        n = prefix.shape[1] - length
         if n <= 0:
             return np.empty(0, dtype=U64)
-        return (prefix[length:] - prefix[:-length]) * self._up_from(length, n)
-
-    def _up_from(self, length: int, n: int) -> np.ndarray:
         self._grow(length + n)
-        return self._up[length : length + n]
+        out = np.zeros(n, dtype=U64)
+        for at in range(0, n, _STEP):
+            to = min(at + _STEP, n)
+            for k in (0, 1):
+                d = _reduced(prefix[k, at + length : to + length] - prefix[k, at:to])
+                d *= self._up[k][at + length : to + length]
+                out[at:to] = out[at:to] << U64(31) | _reduced(d)
+        return out
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

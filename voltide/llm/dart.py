@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, mix, ragged, release, spread, texts, written
+from .common import U64, blocks, dealt, mix, ragged, release, spread, texts, written
 from .components import components
 from .tokens import shingles, tokenise
 
@@ -199,39 +199,50 @@ def _across(placed: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
 
 
 def similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, similarity): exact weighted Jaccard similarity of the whole texts' shingles."""
+    """(a, b, similarity): exact weighted Jaccard similarity of the whole texts' shingles.
+
+    The texts of the a are sent to those of their b, each of which goes before them once for each group of GROUP_ROWS and is cut into
+    shingles once there.
+    """
     t = texts(docs)
-    rows = pairs.select("a", "b").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("doc_id").alias("a"), "text"), "a")
+    salted, hosts = dealt(pairs.select("a", "b"), "b", "a")
+    rows = salted.join(t.select(F.col("doc_id").alias("a"), "text"), "a").select("b", "salt", "a", "text")
+    first = hosts.join(t.select(F.col("doc_id").alias("b"), "text"), "b")
+    kind = rows.schema["a"].dataType.simpleString()
+    faced = first.select("b", "salt", F.lit(None).cast(kind).alias("a"), "text").union(rows).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host = np.empty(0, dtype=U64)
         for block in blocks(batches):
-            got = []
-            for name in ("text", "text_b"):
-                h, ends = elements(block.column(name).to_pylist())
-                pair = np.repeat(np.arange(block.num_rows, dtype=np.int64), np.diff(ends))
-                got.append((mix(h ^ mix(pair.astype(U64) + U64(_GOLD))), pair, np.diff(ends)))
-            (ka, pair, na), (kb, _, nb) = got
-            both = np.bincount(pair[np.isin(ka, kb)], minlength=block.num_rows)
-            value = both / np.maximum(na + nb - both, 1)
-            yield pa.RecordBatch.from_arrays([block.column("a"), block.column("b"), pa.array(value)], names=["a", "b", "similarity"])
+            h, ends = elements(block.column("text").to_pylist())
+            value = np.zeros(block.num_rows)
+            is_host = block.column("a").is_null().to_numpy(zero_copy_only=False)
+            for k in range(block.num_rows):
+                mine = np.sort(h[ends[k] : ends[k + 1]])
+                if is_host[k]:
+                    host = mine
+                    continue
+                both = int((host[np.minimum(np.searchsorted(host, mine), len(host) - 1)] == mine).sum()) if len(host) else 0
+                value[k] = both / max(len(mine) + len(host) - both, 1)
+            yield pa.RecordBatch.from_arrays([block.column("a"), block.column("b"), pa.array(value)], names=["a", "b", "similarity"]).filter(pa.array(~is_host))
 
-    kind = rows.schema["a"].dataType.simpleString()
-    return rows.select("a", "b", "text", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return faced.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_links): one row for each doc_id; class_id is the least doc_id of its class.
+    """(doc_id, class_id): one row for each doc_id; class_id is the least doc_id of its class.
 
     Classes are the connected components of links between texts whose similarity is ``similarity`` or more; equal texts are one.
-    n_links counts the links between different texts that were found at this document's text. A null text counts as an empty one.
-    A text without a word is linked with equal texts only; one of fewer than five words has one shingle, of all of them. Rows
-    without a doc_id are left out; a doc_id with several texts joins their classes.
+    A null text counts as an empty one. A text without a word is linked with equal texts only; one of fewer than five words has one
+    shingle, of all of them. Rows without a doc_id are left out; a doc_id with several texts joins their classes. doc_id may be of any type
+    that has an order.
 
     Links: a bucket's hub is the text in it that shares most buckets with others. Every text is compared with the best hub of its buckets;
     then, in buckets whose texts are not in one class yet, with the hubs of the others and with the text before it in the order of
     the next band. These rounds are cheap and join most; at last, in buckets whose texts are still not in one class, all pairs across
     classes that were not tried are compared if their signatures agree. These are taken in slices of about as many pairs as there are
-    texts, after each of which pairs that have come into one class drop out; so no similar pair of a common bucket is left.
+    texts, after each of which pairs that have come into one class drop out; so no similar pair of a common bucket is left, but for those
+    whose signatures agree in less than ESTIMATE (a chance of 1e-5 at similarity 0.8).
     """
     signed = written(_signed(docs))
     firsts = signed.groupBy("key").agg(F.min("doc_id").alias("rep"))
@@ -242,10 +253,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     held = written(rows.join(sizes, "bucket"))
     fame = held.groupBy("id").agg(F.sum("n").alias("fame"))
-    order = F.struct("fame", (-F.col("id")).alias("minus"))
+    order = F.struct((-F.col("fame")).alias("minus"), "id")
     ranked = held.select("bucket", "id").join(fame, "id")
-    hubs = ranked.groupBy("bucket").agg(F.max_by("id", order).alias("hub"), F.max(order).alias("o"))
-    nearest = held.select("bucket", "id").join(hubs, "bucket").where("id <> hub").groupBy("id").agg(F.max_by("hub", "o").alias("hub"))
+    hubs = ranked.groupBy("bucket").agg(F.min_by("id", order).alias("hub"), F.min(order).alias("o"))
+    nearest = held.select("bucket", "id").join(hubs, "bucket").where("id <> hub").groupBy("id").agg(F.min_by("hub", "o").alias("hub"))
     stars = nearest.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     release(docs.sparkSession)
     tried = written(similarities(_agreeing(stars, sigs), docs))
@@ -281,15 +292,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         release(docs.sparkSession)
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     label = components(links.union(several))
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
-    found = members.join(label.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    return found.groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"), F.max(F.coalesce("n", F.lit(0))).alias("n_links"))
+    found = members.join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    return found.groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents whose doc_id is their class's least one, one row each; rows without a doc_id stay."""
+    """The documents whose doc_id is their class's least one, one row each; rows without a doc_id stay.
+
+    Of several rows with that doc_id the one stays whose text has the least digest, and of equal texts the one whose columns' hash is least.
+    """
     firsts = classes(docs, similarity).where("doc_id = class_id").select("doc_id")
     kept = docs.where("doc_id is not null").join(firsts, "doc_id", "left_semi").select(docs.columns)
-    if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit(""))), F.xxhash64(*docs.columns))).alias("first_row_of_id")
+    return kept.select("*", first).where("first_row_of_id = 1").select(docs.columns).unionByName(docs.where("doc_id is null"))

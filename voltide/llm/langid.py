@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A trigram binds its letters: the product of the first one's vector
+Every letter has a random vector of +1 and -1, drawn by hash from its code point. A trigram binds its letters: the product of the first one's vector
 permuted twice, the second one's permuted once and the third one's. A text bundles (sums) its trigrams; a language's
 prototype is the sum of its texts' vectors at unit length. A text gets the language of the greatest cosine.
 """
@@ -15,86 +15,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, texts
+from .common import U64, blocks, mix, spread, texts
 
 DIM = 512
 SEED = 20240229
-#: Symbols: 0 for runs of other characters, a-z, the letters of Latin-1, and 69 shared by the letters beyond.
-SYMBOLS, _OWN, _SHARED = 128, 26, 69
-#: Texts are bundled in groups of about this many characters, over this many distinct trigrams at a time.
-GROUP_CHARS, SLICE = 1 << 20, 4096
+#: Texts are bundled in groups of at most this many characters and rows, over this many distinct trigrams at a time.
+GROUP_CHARS, GROUP_ROWS, SLICE = 1 << 20, 512, 4096
+#: Numbers of trigrams up to which they are counted in a table in place of being sorted.
+_TABLE = 1 << 22
 #: Scale of the cosines in the score's softmax.
 SHARPNESS = 20.0
 
 
 @lru_cache(maxsize=1)
-def _symbols() -> np.ndarray:
-    """Symbol of every code point of the basic plane; characters past it are letters by their number."""
-    table = np.zeros(0x10000, dtype=np.int32)
-    for cp in range(0x10000):
-        if chr(cp).isalpha():
-            if 97 <= cp <= 122:
-                table[cp] = cp - 96
-            elif 0xDF <= cp <= 0xFF:
-                table[cp] = 1 + _OWN + cp - 0xDF - (cp > 0xF7)
-            else:
-                table[cp] = SYMBOLS - _SHARED + cp // 64 % _SHARED
-    return table
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), dtype=bool, count=0x110000)
 
 
-@lru_cache(maxsize=1)
-def letters() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, DIM))
+def letters(cps: np.ndarray) -> np.ndarray:
+    """The vectors of characters: DIM signs that follow from the code point, so that every letter of every script has its own."""
+    word = mix(cps.astype(U64)[:, None] * U64(DIM // 64) + np.arange(DIM // 64, dtype=U64)[None, :] + U64(SEED << 32))
+    return np.unpackbits(word.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
-def bind(codes: np.ndarray) -> np.ndarray:
-    """Vectors of trigrams given as numbers of base SYMBOLS."""
-    v = letters()
-    return np.roll(v, 2, axis=1)[codes // (SYMBOLS * SYMBOLS)] * np.roll(v, 1, axis=1)[codes // SYMBOLS % SYMBOLS] * v[codes % SYMBOLS]
+def bind(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Vectors of trigrams from those of their letters."""
+    return np.roll(first, 2, axis=1) * np.roll(second, 1, axis=1) * third
 
 
 def bundle(batch: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' sums of trigram vectors, and whether each has a letter."""
-    table = _symbols()
+    """The texts' sums of trigram vectors, and whether each has a letter. Character 0 stands for a run of what is no letter."""
     out, has = np.zeros((len(batch), DIM), dtype=np.float32), np.zeros(len(batch), dtype=bool)
     at = 0
     while at < len(batch):
         group, size = [], 0
-        while at + len(group) < len(batch) and (not group or size < GROUP_CHARS):
+        while at + len(group) < len(batch) and len(group) < GROUP_ROWS and (not group or size < GROUP_CHARS):
             group.append((batch[at + len(group)] or "").lower())
             size += len(group[-1])
         cps = np.frombuffer(" ".join(["", *group, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        sym = np.where(cps < 0x10000, table[np.minimum(cps, 0xFFFF)], np.int32(0))
-        beyond = np.flatnonzero(cps >= 0x10000)
-        sym[beyond] = [SYMBOLS - _SHARED + int(c) // 64 % _SHARED if chr(c).isalpha() else 0 for c in cps[beyond]]
+        letter = _is_letter()[cps]
         lens = np.fromiter(map(len, group), dtype=np.int64, count=len(group)) + 1  # with the space after it
-        doc = np.repeat(np.arange(len(group)), lens)
-        doc = np.concatenate([[0], doc])
-        letter = sym > 0
+        doc = np.concatenate([[0], np.repeat(np.arange(len(group)), lens)])
         has[at : at + len(group)] = np.bincount(doc, weights=letter, minlength=len(group)) > 0
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # one boundary after each run of letters
         keep[0] = True
-        sym, doc = sym[keep], doc[keep]
+        seen = np.zeros(0x110000, dtype=bool)
+        seen[cps[letter]] = True
+        alphabet = np.concatenate([[0], np.flatnonzero(seen)])
+        place = np.zeros(0x110000, dtype=np.int32)
+        place[alphabet] = np.arange(len(alphabet))
+        sym, doc = np.where(letter, place[cps], 0)[keep].astype(np.int64), doc[keep]
         if len(sym) > 2:
-            codes = (sym[:-2] * SYMBOLS + sym[1:-1]) * SYMBOLS + sym[2:]
+            n = len(alphabet)
+            codes = (sym[:-2] * n + sym[1:-1]) * n + sym[2:]
             of, whole = doc[1:-1], doc[1:-1] == doc[2:]  # the boundary before a text may stand for its start
-            codes, of = codes[whole], of[whole]
-            present = np.zeros(SYMBOLS**3, dtype=bool)
-            present[codes] = True
-            distinct = np.flatnonzero(present)
-            place = np.zeros(SYMBOLS**3, dtype=np.int32)
-            place[distinct] = np.arange(len(distinct))
-            slot = place[codes]
+            distinct, slot = _numbered(codes[whole], n**3)
+            of, vectors = of[whole], letters(alphabet)
             for lo in range(0, len(distinct), SLICE):
                 some = distinct[lo : lo + SLICE]
                 inside = (slot >= lo) & (slot < lo + len(some)) if len(distinct) > SLICE else slice(None)
-                n = np.bincount(of[inside] * len(some) + slot[inside] - lo, minlength=len(group) * len(some)).reshape(len(group), len(some))
-                out[at : at + len(group)] += n.astype(np.float32) @ bind(some).astype(np.float32)
+                counts = np.bincount(of[inside] * len(some) + slot[inside] - lo, minlength=len(group) * len(some)).reshape(len(group), len(some))
+                bound = bind(vectors[some // (n * n)], vectors[some // n % n], vectors[some % n])
+                out[at : at + len(group)] += counts.astype(np.float32) @ bound.astype(np.float32)
         at += len(group)
     return out, has
 
 
+def _numbered(codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, and each one's number among them."""
+    if limit > _TABLE:
+        return np.unique(codes, return_inverse=True)
+    seen = np.zeros(limit, dtype=bool)
+    seen[codes] = True
+    distinct, place = np.flatnonzero(seen), np.zeros(limit, dtype=np.int32)
+    place[distinct] = np.arange(len(distinct))
+    return distinct, place[codes]
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
 
@@ -113,7 +111,7 @@ def fit(docs: DataFrame, max_rows: int = 20_000, held_out_mod: int = 4, held_out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in blocks(batches):
             v, _ = bundle(batch.column("text").to_pylist())
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             for lang in set(langs):
@@ -140,7 +138,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
     df = spread(texts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches):
             v, has = bundle(batch.column("text").to_pylist())
             if names:
                 z = SHARPNESS * (_unit(v.astype(np.float64)) @ protos.T)

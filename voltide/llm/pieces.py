@@ -21,6 +21,11 @@ from .common import U64, Rolling, blocks, mix, ragged, spread, texts
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct words kept between the blocks of a task; at more, the table starts anew (only speed depends on it).
 CACHE_WORDS = 400_000
+#: Their characters, at more of which the table starts anew as well.
+CACHE_CHARS = 8_000_000
+#: Words of more characters are walked through one by one, in time linear in their length; the others advance together.
+LONG = 96
+_WALK = 1 << 16
 #: Distinct words are worked on in groups of about this many characters.
 GROUP_CHARS = 200_000
 _UNKNOWN_COST = 10.0
@@ -95,7 +100,12 @@ class Pieces:
         by_length = np.argsort(np.diff(off), kind="stable")  # so that a group has few lengths
         codes, off = _taken(codes, off, by_length)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word, order in the word, id
-        for lo, hi in _groups(off):
+        short = int(np.searchsorted(np.diff(off), LONG, side="right"))
+        for word in range(short, words):
+            c = codes[off[word] : off[word + 1]]
+            ids, ends = self.walk(c)
+            parts.append((np.full(len(ids), word), np.arange(len(ids)), np.where(ids == -2, -2 - c[ends - 1].astype(np.int64), ids)))
+        for lo, hi in _groups(off[: short + 1]):
             c, o = codes[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             if not len(c):
                 continue
@@ -149,15 +159,63 @@ class Pieces:
             back[:, e] = lengths[pick]
         return back
 
+    def walk(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of one long word (-2: a character without a piece), and where each ends: the same segmentation, over the pieces that occur."""
+        n = len(codes)
+        prefix = self.rolling.prefix(mix(codes.astype(U64) + U64(1)))
+        best, back, ident = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for lo in range(0, n, _WALK):
+            hi = min(lo + _WALK, n)
+            found: list[tuple[np.ndarray, ...]] = []
+            for length in range(1, min(self.longest, hi) + 1):
+                start = np.arange(max(lo + 1 - length, 0), hi - length + 1)
+                where, at = self.find(mix(self.rolling.window(prefix, start, start + length)))
+                found.append((start[where] + length, np.full(len(at), length), self.scores[at], self.ids[at]))
+            end, size, score, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((-size, end))  # the longest piece first, which wins among equal scores
+            edge = np.searchsorted(end[order], np.arange(lo + 1, hi + 2)).tolist()
+            sizes, scores, ids = size[order].tolist(), score[order].tolist(), piece[order].tolist()
+            for e in range(lo + 1, hi + 1):
+                top, took, name, single = -np.inf, 1, -2, False
+                for k in range(edge[e - lo - 1], edge[e - lo]):
+                    value = best[e - sizes[k]] + scores[k]
+                    if value > top:
+                        top, took, name = value, sizes[k], ids[k]
+                    single = sizes[k] == 1
+                if not single and best[e - 1] + self.unknown > top:
+                    top, took, name = best[e - 1] + self.unknown, 1, -2
+                best[e], back[e], ident[e] = top, took, name
+        ends, at = [], n
+        while at:
+            ends.append(at)
+            at -= back[at]
+        ends.reverse()
+        return np.array([ident[e] for e in ends], dtype=np.int64), np.array(ends, dtype=np.int64)
+
     def count_words(self, codes: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Number of ids of each word: the words go into a trie, whose every node gets one forward score.
 
-        A node is a distinct prefix, found by its hash, level by level; words that share it share its score.
+        A node is a distinct prefix, found by its hash, level by level; words that share it share its score. Words of more than LONG
+        characters are walked through alone.
         """
+        lens = np.diff(off)
+        long = np.flatnonzero(lens > LONG)
+        if not len(long):
+            return self._count_in_trie(codes, off)
+        out = np.zeros(len(lens), dtype=np.int64)
+        short = np.flatnonzero(lens <= LONG)
+        out[short] = self._count_in_trie(*_taken(codes, off, short))
+        for w in long.tolist():
+            c = codes[off[w] : off[w + 1]]
+            ids, ends = self.walk(c)
+            out[w] = len(ids) + int((_utf8_size(c[ends[ids == -2] - 1]) - 1).sum())
+        return out
+
+    def _count_in_trie(self, codes: np.ndarray, off: np.ndarray) -> np.ndarray:
         words, lens = len(off) - 1, np.diff(off)
         deepest = int(lens.max(initial=0))
         prefix = self.rolling.prefix(mix(codes.astype(U64) + U64(1)))
-        utf8 = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
+        utf8 = _utf8_size(codes)
         by_length = np.argsort(lens, kind="stable")
         first = np.searchsorted(lens[by_length], np.arange(deepest + 2))
         terminal = np.zeros(words, dtype=np.int64)
@@ -193,6 +251,10 @@ class Pieces:
         return terminal
 
 
+def _utf8_size(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     return codes, np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))]).astype(np.int64)
@@ -231,7 +293,8 @@ class Words:
     """Cuts texts into chunks that no piece crosses, and keeps what was found for each distinct one.
 
     A chunk starts at a text's start, at a space (at the first of several, if pieces have several) and on both
-    sides of a line feed, which is in no piece. Chunks are known by 64-bit hashes.
+    sides of a line feed, which is in no piece. Chunks are found by their hashes; each one's characters are then compared with those of
+    the chunk that was found, so that a collision costs time only.
     """
 
     def __init__(self, pieces: Pieces):
@@ -241,13 +304,15 @@ class Words:
     def _clear(self) -> None:
         self.keys, self.rows = np.empty(0, dtype=U64), np.empty(0, dtype=np.int64)
         self.done = 0
+        #: Characters of all chunks by number, and those whose hash another chunk has.
+        self.chars, self.off = np.empty(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.odd: dict[bytes, int] = {}
 
     def number(self, batch: list[str | None]) -> tuple[np.ndarray, np.ndarray, bool, np.ndarray, np.ndarray]:
         """Chunk numbers of all texts, how many each has, whether numbering began anew, and the new chunks' characters and offsets."""
-        rolling = self.pieces.rolling
         given = [" " + t if t else "" for t in batch]
         codes, ends = _codes(given)
-        anew = len(self.keys) > CACHE_WORDS
+        anew = len(self.keys) > CACHE_WORDS or len(self.chars) > CACHE_CHARS
         if anew:
             self._clear()
         space, line = codes == 32, codes == 10
@@ -259,7 +324,7 @@ class Words:
         start = np.flatnonzero(begin)
         stop = np.append(start[1:], len(codes)) if len(start) else start
         lens = np.diff(np.searchsorted(start, ends))
-        hashes = mix(rolling.window(rolling.prefix(mix(codes.astype(U64) + U64(1))), start, stop))
+        hashes = self.hashes(codes, start, stop)
         uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, uniq)
         known = np.zeros(len(uniq), dtype=bool)
@@ -269,10 +334,40 @@ class Words:
         number[known] = self.rows[at[known]]
         fresh = np.flatnonzero(~known)
         number[fresh] = self.done + np.arange(len(fresh))
-        self.done += len(fresh)
         self.keys, self.rows = np.insert(self.keys, at[fresh], uniq[fresh]), np.insert(self.rows, at[fresh], number[fresh])
-        size = (stop - start)[first[fresh]]
-        return number[inverse], lens, anew, codes[ragged(start[first[fresh]], size)], np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        size, before = stop - start, self.done
+        self._add(codes[ragged(start[first[fresh]], size[first[fresh]])], size[first[fresh]])
+        flat = number[inverse]
+        for k in self._unequal(codes, start, size, flat).tolist():
+            raw = codes[start[k] : stop[k]].tobytes()
+            if raw not in self.odd:
+                self.odd[raw] = self.done
+                self._add(codes[start[k] : stop[k]], size[k : k + 1])
+            flat[k] = self.odd[raw]
+        return flat, lens, anew, self.chars[self.off[before] :], self.off[before:] - self.off[before]
+
+    def hashes(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        rolling = self.pieces.rolling
+        return mix(rolling.window(rolling.prefix(mix(codes.astype(U64) + U64(1))), start, stop))
+
+    def _add(self, chars: np.ndarray, size: np.ndarray) -> None:
+        self.chars = np.concatenate([self.chars, chars])
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(size)])
+        self.done += len(size)
+
+    def _unequal(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Which chunks, which follow each other in ``codes``, differ from those of their numbers."""
+        if not len(flat):
+            return flat
+        bad = self.off[flat + 1] - self.off[flat] != size
+        if bad.any():
+            return np.flatnonzero(bad | self._differs(codes, start, np.where(bad, 0, size), flat))
+        differs = np.flatnonzero(self.chars[ragged(self.off[flat], size)] != codes)
+        return np.unique(np.searchsorted(start, differs, side="right") - 1)
+
+    def _differs(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        of = np.repeat(np.arange(len(flat)), size)
+        return np.bincount(of, weights=self.chars[ragged(self.off[flat], size)] != codes[ragged(start, size)], minlength=len(flat)) > 0
 
 
 def _encoded(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

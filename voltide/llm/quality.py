@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, texts
+from .common import blocks, spread, texts
 
 CHUNK = 1024
 LEVEL = 3
@@ -83,14 +83,15 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 
 def _samples(rows: list[str | None]) -> list[bytes]:
-    """Chunks of the texts without lines seen before, so that lines common to many texts don't fill a dictionary."""
+    """At most CHUNKS_PER_TEXT chunks of each text, spread evenly over its bytes, without lines seen before, so that lines common to many
+    texts don't fill a dictionary."""
     seen: set[str] = set()
     out: list[bytes] = []
     for text in rows:
         fresh = [line for line in (text or "").split("\n") if not (line in seen or seen.add(line))]
         cut = _chunks("\n".join(fresh).encode())
-        step = max(1, len(cut) // CHUNKS_PER_TEXT)
-        out += [x for x in cut[::step][:CHUNKS_PER_TEXT] if len(x) > 64]
+        taken = np.unique(np.linspace(0, len(cut) - 1, min(len(cut), CHUNKS_PER_TEXT)).round().astype(int))
+        out += [cut[i] for i in taken if cut[i]]
     return out
 
 
@@ -126,7 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = 4000, held_out_
 
     Rows whose crc32(doc_id as text) modulo ``held_out_mod`` is 0 are never learnt from. A third of the sample builds the
     dictionaries (only their chunks, 6 KB a text at most, reach the driver), the rest calibrates (only six numbers a text
-    reach the driver). Without labels of both kinds the score is the share of good labels (0.5 without any).
+    reach the driver). Without labels of both kinds the score is the share of good labels (0.5 without any). A document that is labelled
+    both good and bad counts as good; one labelled several times counts once. Labels without a doc_id, other labels than 0 and 1, and those of
+    documents that are not there teach nothing. Where documents repeat a doc_id, its label holds for each of their texts.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(F.crc32(F.col("doc_id").cast("string")) % held_out_mod != 0)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -173,13 +176,13 @@ def _scores(model: Model, sizes: Sizes, column: list[str | None]) -> np.ndarray:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) of every whole text; a null text counts as an empty one, repeated rows stay.
 
-    score is the chance of a good label, predicted 1 where it is ``threshold`` or more.
+    score is the chance of a good label, predicted 1 where it is ``threshold`` or more. An empty table gives an empty one.
     """
     df = spread(texts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model.good, model.bad)
-        for batch in batches:
+        for batch in blocks(batches):
             s = _scores(model, sizes, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 

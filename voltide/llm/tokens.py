@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import U64, Rolling, mix
+from .common import U64, Rolling, mix, ragged
 
 ROLLING = Rolling()
 
@@ -30,13 +30,15 @@ def tokenise(batch: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.concatenate([[0], np.searchsorted(start, ends)]).astype(np.int64)
 
 
+def runs(hashes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``length`` words from ``start`` on."""
+    return mix(ROLLING.window(ROLLING.prefix(hashes), start, start + length))
+
+
 def shingles(hashes: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's runs of ``width`` words, and their offsets; a shorter text with a word gives one, of all its words."""
     n = np.diff(off)
-    prefix = ROLLING.prefix(hashes)
     size = np.where(n >= width, n - width + 1, np.minimum(n, 1))
-    from .common import ragged
-
     start = ragged(off[:-1], size)
     span = np.repeat(np.minimum(n, width), size)
-    return mix(ROLLING.window(prefix, start, start + span)), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return runs(hashes, start, span), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
