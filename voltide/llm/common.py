@@ -67,10 +67,20 @@ def blocks(batches: Iterator[pa.RecordBatch], sized: str = "text") -> Iterator[p
 GROUP_ROWS = 4096
 
 
+#: Rows up to which a table of a few numbers a row is broadcast.
+SMALL_ROWS = 100_000
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it has SMALL_ROWS rows or fewer; for tables of a few numbers a row."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def dealt(pairs: DataFrame, host: str, guest: str) -> tuple[DataFrame, DataFrame]:
     """``pairs`` with a column ``salt``, and (host, salt) once for each group: a host's rows are dealt over groups of about GROUP_ROWS by guest."""
     groups = pairs.groupBy(host).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("groups"))
-    salted = pairs.join(groups, host).withColumn("salt", F.pmod(F.xxhash64(guest), F.col("groups")).cast("int")).drop("groups")
+    many = checked(groups.where("groups > 1"))
+    salted = pairs.join(many, host, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(guest), F.col("groups")).cast("int"), F.lit(0))).drop("groups")
     return salted, groups.select(host, F.explode(F.expr("sequence(0, groups - 1)")).alias("salt"))
 
 

@@ -205,7 +205,7 @@ def similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     shingles once there.
     """
     t = texts(docs)
-    salted, hosts = dealt(pairs.select("a", "b"), "b", "a")
+    salted, hosts = dealt(written(pairs.select("a", "b")), "b", "a")
     rows = salted.join(t.select(F.col("doc_id").alias("a"), "text"), "a").select("b", "salt", "a", "text")
     first = hosts.join(t.select(F.col("doc_id").alias("b"), "text"), "b")
     kind = rows.schema["a"].dataType.simpleString()
