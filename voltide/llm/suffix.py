@@ -1,17 +1,21 @@
-"""Removal of repeated byte strings by minimiser anchors and hashes of growing surroundings, in place of prefix doubling.
+"""Removal of repeated byte strings by distributed prefix doubling.
 
-A string of LENGTH bytes is removed where it also starts earlier. Sorting all suffixes of all texts would shuffle a row for each byte,
-so the first rank is made at sampled positions: of the grams of LENGTH // 4 bytes inside a string, the one of least hash is its
-anchor, and equal strings have their anchor at the same place. Rounds then rank what the strings around an anchor have in common:
+A string of LENGTH bytes is removed where it also starts earlier. Its start, a position, is ranked on its first LENGTH // 2 bytes and then on
+all of them: in each round Spark sorts pairs of ranks, those of a position and of the position at the round's offset, and numbers the
+pairs in their order; positions whose pair no other has drop out, and the numbers are the ranks of the next round, at twice the offset. The
+first ranks are hashes of LENGTH // 4 bytes.
 
-* round 0 ranks the gram itself, the next ones longer and longer prefixes of the strings that are still undecided, until
-  the whole string is ranked (25, 85, 97, 100 bytes for LENGTH 100);
-* in each round Spark sorts (rank, rank of the whole surroundings, document, position). A rank that is alone is unique and drops out. Where
-  the whole surroundings are equal, all but the first position are repeats throughout and drop out as well. What is left, the
-  first position of each of several surroundings, is split in five and goes on to the next round.
+A row for each byte of all texts would be shuffled so. So the positions that can matter are found first, at sampled ones: of the grams of
+LENGTH // 4 bytes inside a string, the one of least hash is its anchor, and equal strings have their anchor at the same place.
 
-So a long copy is decided in round 0, and later rounds see the ends of repeats only. Ranks are 64-bit hashes; two positions count
-as equal where both ranks are.
+* Spark sorts all anchors by (hash of the gram, hash of all bytes that strings around it may have). Anchors whose gram is alone drop out
+  with their strings. Where all the bytes around are equal, all but the first anchor are repeats throughout and decided; what
+  is left is the first one of each of several surroundings.
+* These anchors' strings are cut in PARTS runs by their distance from the anchor, and the same is done once more with what a run's strings
+  have in common in place of the gram.
+* Every position that is still undecided goes through the rounds of rank pairs.
+
+So long copies are decided at their anchors, and the rounds see the ends of repeats only.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, blocks, least_at, mix, ragged, release, spread, texts, written
+from .common import U64, Rolling, blocks, checked, least_at, mix, ragged, release, spread, texts, written
 
 LENGTH = 100
-#: Runs of strings that one which is still open is split into for the next round.
+#: Runs of strings that an open anchor's are cut into.
 PARTS = 5
 #: A packed length has 16 bits; longer ranges are cut in pieces.
 _LONGEST = 0xFFFF
@@ -99,7 +103,7 @@ def _pieces(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _ranked(docs: DataFrame, length: int) -> DataFrame:
-    """(name, ctx, doc_id, pack) of all anchors; runs of a text's own repeats of the same surroundings come with a negative pack."""
+    """(name, ctx, doc_id, alt, pack) of all anchors; runs of a text's own repeats of the same surroundings come with a negative pack."""
     reach = length - length // 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,19 +121,19 @@ def _ranked(docs: DataFrame, length: int) -> DataFrame:
             doc, start, end = _merged(b.doc[again], (own - left)[again], (own + right)[again])
             doc, start, end = _pieces(doc, start, end)
             alone = mix(mix(doc.astype(U64) + U64(b.off[-1])) ^ start.astype(U64))  # any name: spreads them
-            ids = block.column("doc_id").take(pa.array(np.concatenate([b.doc[~again], doc])))
+            of = pa.array(np.concatenate([b.doc[~again], doc]))
             packs = np.concatenate([_pack(own, left, right)[~again], -_pack(start, np.zeros_like(start), end - start) - 1])
             names, surroundings = np.concatenate([name[~again], alone]), np.concatenate([ctx[~again], alone])
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(surroundings.view(np.int64)), ids, pa.array(packs)], names=["name", "ctx", "doc_id", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(surroundings.view(np.int64)), block.column("doc_id").take(of), block.column("alt").take(of), pa.array(packs)], names=["name", "ctx", "doc_id", "alt", "pack"])
 
     df = spread(docs)
-    return df.mapInArrow(run, f"name bigint, ctx bigint, doc_id {df.schema['doc_id'].dataType.simpleString()}, pack bigint")
+    return df.mapInArrow(run, f"name bigint, ctx bigint, doc_id {df.schema['doc_id'].dataType.simpleString()}, alt int, pack bigint")
 
 
 def _scan(ranked: DataFrame) -> DataFrame:
-    """Sorts (name, ctx, doc_id, pack, ...) and walks through it: the column ``open`` is false where a position has an earlier one with equal
+    """Sorts (name, ctx, doc_id, alt, pack, ...) and walks through it: the column ``open`` is false where a position has an earlier one with equal
     surroundings, true for the first position of each of a name's several surroundings; other rows drop out."""
-    rows = ranked.repartition("name").sortWithinPartitions("name", "ctx", "doc_id", "pack")
+    rows = ranked.repartition("name").sortWithinPartitions("name", "ctx", "doc_id", "alt", "pack")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.RecordBatch | None = None  # the first row of the surroundings that the last batch ended in
@@ -174,117 +178,152 @@ def _split(low: int, high: int) -> list[tuple[int, int]]:
 
 
 def _ends(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """Rows of round 1: for each open anchor, the runs of strings that belong to it, with the bytes around them."""
-    at = opened.groupBy("doc_id").agg(F.collect_list("pack").alias("packs"))
-    rows = docs.join(at, "doc_id").select("doc_id", "text", "packs")
+    """For each open anchor, the runs of strings that belong to it, ranked on what those have in common, with the bytes around them.
+
+    A text goes before its anchors, of which there may be any number.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "alt", "text", F.lit(None).cast("bigint").alias("pack")).union(opened.select("doc_id", "alt", F.lit(None).cast("string"), "pack"))
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "alt", F.col("pack").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: str | None = None  # the text that the last block ended in
         for block in blocks(batches):
-            b = Block(block.column("text").to_pylist(), length)
-            packs = block.column("packs")
-            of = np.repeat(np.arange(block.num_rows), packs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            pos, _, _ = _unpack(packs.flatten().to_numpy())
+            at = block.column("pack").is_valid().to_numpy(zero_copy_only=False)
+            used = np.append(at[1:], True) & ~at
+            given = [last, *(t if u else None for t, u in zip(block.column("text").to_pylist(), used, strict=True))]
+            if not at[0]:
+                given[0] = None
+            own = np.flatnonzero(~at)
+            # Row of ``given`` that holds the text of each anchor.
+            of = np.maximum.accumulate(np.where(at, 0, np.arange(len(at)) + 1))[at]
+            last = given[own[-1] + 1] if len(own) else last
+            if not len(of):
+                continue
+            b = Block(given, length)
+            anchors = np.flatnonzero(at)
+            pos, _, _ = _unpack(block.column("pack").filter(pa.array(at)).to_numpy())
             k = np.searchsorted(b.pos, pos + b.off[of])
             where = b.pos[k]
             # Strings that start a bytes before the anchor, for a from low to high.
             low, high = where - b.last[k], where - b.first[k]
             for g_low, g_high in _split(0, length - length // 4):
                 some = np.flatnonzero((low <= g_high) & (high >= g_low))
-                p, d = where[some], b.doc[k[some]]
+                p, d = where[some], of[some]
                 start, end = np.maximum(p - g_high, b.off[d]), np.minimum(p - g_low + length, b.off[d + 1])
                 name = mix(b.window(p - g_low, p - g_high + length) + b.hash[p] + U64(g_low))
                 ctx = mix(b.window(start, end) + ((p - start) * 65536 + end - p).astype(U64))
                 data = pa.array([b.raw[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)], type=pa.binary())
-                g = np.full(len(some), g_low, dtype=np.int32), np.full(len(some), g_high, dtype=np.int32)
+                take = pa.array(anchors[some])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), pa.array(ctx.view(np.int64)), block.column("doc_id").take(pa.array(of[some])), pa.array(_pack(p - b.off[d], p - start, end - p)),
-                     pa.array(low[some].astype(np.int32)), pa.array(high[some].astype(np.int32)), pa.array(g[0]), pa.array(g[1]), data], names=_NAMES)
-
-    return rows.mapInArrow(run, _schema(docs))
+                    [pa.array(name.view(np.int64)), pa.array(ctx.view(np.int64)), block.column("doc_id").take(take), block.column("alt").take(take), pa.array(_pack(p - b.off[d], p - start, end - p)),
+                     pa.array(np.maximum(low[some], g_low).astype(np.int32)), pa.array(np.minimum(high[some], g_high).astype(np.int32)), data], names=_NAMES)
 
+    return rows.mapInArrow(run, f"name bigint, ctx bigint, doc_id {kind}, alt int, pack bigint, low int, high int, data binary")
 
-_NAMES = ["name", "ctx", "doc_id", "pack", "low", "high", "g_low", "g_high", "data"]
 
+_NAMES = ["name", "ctx", "doc_id", "alt", "pack", "low", "high", "data"]
 
-def _schema(docs: DataFrame) -> str:
-    return f"name bigint, ctx bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, pack bigint, low int, high int, g_low int, g_high int, data binary"
 
-
-def _refined(opened: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Rows of the next round: each open run of strings split in PARTS, ranked on what those have in common."""
+def _positions(opened: DataFrame, length: int) -> DataFrame:
+    """(doc_id, alt, pos, a, b, c, d): every undecided string's start with the ranks of its four quarters, hashes of length // 4 bytes (rounded up)."""
+    quarter = -(-length // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data = batch.column("data").to_pylist()
+        for block in blocks(batches, "data"):
+            data = block.column("data").to_pylist()
             flat = np.frombuffer(b"".join(data), dtype=np.uint8)
             off = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
             prefix = _ROLLING.prefix(_bytes_table()[flat])
-            name, pack, low, high, g_low, g_high = (batch.column(c).to_numpy().astype(np.int64) for c in ("name", "pack", "low", "high", "g_low", "g_high"))
-            pos, left, right = _unpack(pack)
-            anchor = off[:-1] + left  # in the flat bytes; may lie outside the row's own
-            for part in range(PARTS):
-                step = np.maximum(1, -(-(g_high - g_low + 1) // PARTS))
-                lo = g_low + part * step
-                hi = np.minimum(lo + step - 1, g_high)
-                some = np.flatnonzero((lo <= hi) & (low <= hi) & (high >= lo))
-                a, l, h = anchor[some], lo[some], hi[some]
-                start, end = np.maximum(a - h, off[some]), np.minimum(a - l + length, off[some + 1])
-                new = mix(mix(_ROLLING.window(prefix, a - l, a - h + length)) + name[some].view(U64) + l.astype(U64))
-                ctx = mix(mix(_ROLLING.window(prefix, start, end)) + ((a - start) * 65536 + end - a + (1 << 40)).astype(U64))
-                cut = pa.array([flat[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)], type=pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(new.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column("doc_id").take(pa.array(some)), pa.array(_pack(pos[some], a - start, end - a)),
-                     pa.array(low[some].astype(np.int32)), pa.array(high[some].astype(np.int32)), pa.array(l.astype(np.int32)), pa.array(h.astype(np.int32)), cut], names=_NAMES)
+            pack, low, high = (block.column(c).to_numpy().astype(np.int64) for c in ("pack", "low", "high"))
+            pos, left, _ = _unpack(pack)
+            of = np.repeat(np.arange(len(pos)), high - low + 1)
+            before = ragged(low, high - low + 1)  # bytes from the string's start to the anchor
+            start = (off[:-1] + left)[of] - before
+            ranks = [_ROLLING.window(prefix, start + x, start + x + quarter) for x in (0, quarter, length - 2 * quarter, length - quarter)]
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id").take(take), block.column("alt").take(take), pa.array((pos[of] - before).astype(np.int32)), *(pa.array(r.view(np.int64)) for r in ranks)],
+                names=["doc_id", "alt", "pos", "a", "b", "c", "d"],
+            )
+
+    kind = opened.schema["doc_id"].dataType.simpleString()
+    return opened.select("doc_id", "alt", "pack", "low", "high", "data").mapInArrow(run, f"doc_id {kind}, alt int, pos int, a bigint, b bigint, c bigint, d bigint")
+
+
+def _reranked(pairs: DataFrame) -> DataFrame:
+    """(x, y, rank): the pairs of ranks that occur twice or more, sorted and numbered in that order.
+
+    Equal pairs are counted before they are shuffled, so the sort sees each once, however many positions have it.
+    """
+    several = pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
+    return written(several.repartitionByRange("x", "y").sortWithinPartitions("x", "y").withColumn("rank", F.monotonically_increasing_id()))
+
 
-    return opened.select(*_NAMES).mapInArrow(run, _schema(docs))
+def _doubled(positions: DataFrame, length: int) -> DataFrame:
+    """(doc_id, start, end) of the strings at ``positions`` that also start earlier, by two rounds of rank pairs."""
+    halves = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("c").alias("x"), F.col("d").alias("y")))).alias("h")
+    ranks = _reranked(positions.select(halves).select("h.x", "h.y"))
+    for x, y, name in (("a", "b", "first"), ("c", "d", "second")):
+        positions = positions.join(ranks.select(F.col("x").alias(x), F.col("y").alias(y), F.col("rank").alias(name)), [x, y]).drop(x, y)
+    positions = written(positions.select("doc_id", "alt", "pos", F.col("first").alias("x"), F.col("second").alias("y")))
+    release(positions.sparkSession)
+    here = F.struct("doc_id", "alt", "pos")
+    earliest = positions.groupBy("x", "y").agg(F.min(here).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = positions.join(earliest, ["x", "y"]).where(here != F.col("earliest"))
+    return again.select("doc_id", "alt", F.col("pos").alias("start"), (F.col("pos") + length).alias("end"))
 
 
 def _span(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, end) of the bytes around positions."""
+    """(doc_id, alt, start, end) of the bytes around positions."""
     pos, left, right = F.shiftright("pack", 32), F.shiftright("pack", 16).bitwiseAND(0xFFFF), F.col("pack").bitwiseAND(0xFFFF)
-    return rows.select("doc_id", (pos - left).cast("int").alias("start"), (pos + right).cast("int").alias("end"))
+    return rows.select("doc_id", "alt", (pos - left).cast("int").alias("start"), (pos + right).cast("int").alias("end"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, end): byte ranges, which may overlap, that together are all bytes to remove. ``docs`` has unique ids."""
-    found: list[DataFrame] = []
+    """(doc_id, alt, start, end): byte ranges, which may overlap, that together are all bytes to remove. ``docs`` has doc_id, alt and text."""
     seen = written(_scan(_ranked(docs, length)))
-    found.append(_span(seen.where("not open")))
     release(docs.sparkSession)
-    rows = _ends(docs, seen.where("open").select("doc_id", "pack"), length)
-    low, high = _split(0, length - length // 4)[0]
-    while True:
-        seen = written(_scan(rows))
-        found.append(_span(seen.where("not open")))
-        release(docs.sparkSession)
-        if low == high:
-            break
-        rows = _refined(seen.where("open"), docs, length)
-        low, high = _split(low, high)[0]
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
-
-
-def _unique(docs: DataFrame) -> DataFrame:
-    t = texts(docs).where("doc_id is not null")
-    if t.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        t = t.groupBy("doc_id").agg(F.max("text").alias("text"))
-    return t
+    rest = written(_scan(_ends(docs, seen.where("open"), length)))
+    release(docs.sparkSession)
+    decided = _span(seen.where("not open")).union(_span(rest.where("not open")))
+    return decided.union(_doubled(written(_positions(rest.where("open"), length)), length))
+
+
+def _repeated(docs: DataFrame) -> DataFrame | None:
+    """The doc_ids of several rows, or None where there are none."""
+    found = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("_repeated"))
+    return checked(found) if found.limit(1).count() else None
+
+
+def _told_apart(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``docs`` with a column _alt: a hash of the text where a doc_id has several rows, else 0."""
+    if repeated is None:
+        return docs.withColumn("_alt", F.lit(0))
+    alt = F.when(F.col("_repeated"), F.hash(F.coalesce("text", F.lit("")))).otherwise(0)
+    return docs.join(repeated, "doc_id", "left").withColumn("_alt", alt).drop("_repeated")
+
+
+def _once(docs: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """(doc_id, alt, text): every document once."""
+    told = _told_apart(texts(docs).where("doc_id is not null"), repeated).select("doc_id", F.col("_alt").alias("alt"), "text")
+    return told if repeated is None else told.dropDuplicates(["doc_id", "alt"])
 
 
 def removed(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept): one row for each doc_id; spans are the maximal removed runs, kept the other bytes.
+    """(doc_id, alt, n_bytes, n_removed, spans, kept): one row for each document; spans are the maximal removed runs, kept the other bytes.
 
-    A null or empty text has no bytes; one of fewer than ``length`` bytes loses none. Rows without a doc_id are left out; of rows that
-    repeat a doc_id the greatest text counts. With ``as_text`` kept is a string, without the bytes of characters cut in two.
+    A null or empty text has no bytes; one of fewer than ``length`` bytes loses none. Rows without a doc_id are left out. Rows that
+    repeat a doc_id with different texts are documents of their own, in the order of alt, a hash of the text (0 where a doc_id has one
+    row); rows that repeat both are one document. With ``as_text`` kept is a string, without the bytes of characters cut in two.
     """
-    unique = _unique(docs)
-    spans = repeats(unique, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = unique.join(spans, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    once = _once(docs, _repeated(docs))
+    return _without(once, repeats(once, length), as_text)
+
+
+def _without(once: DataFrame, spans: DataFrame, as_text: bool) -> DataFrame:
+    found = spans.groupBy("doc_id", "alt").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows = once.join(found, ["doc_id", "alt"], "left").select("doc_id", "alt", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -310,10 +349,10 @@ def removed(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> Dat
                 merged.append([{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
                 kept.append(np.frombuffer(raw, dtype=np.uint8)[~out].tobytes())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(size, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(merged, type=kind), pa.array([k.decode("utf-8", "ignore") for k in kept], type=pa.string()) if as_text else pa.array(kept, type=pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("alt"), pa.array(size, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(merged, type=kind), pa.array([k.decode("utf-8", "ignore") for k in kept], type=pa.string()) if as_text else pa.array(kept, type=pa.binary())], names=["doc_id", "alt", "n_bytes", "n_removed", "spans", "kept"])
 
-    kind = unique.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}")
+    kind = once.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, alt int, n_bytes bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -323,9 +362,10 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with repeated strings taken out of their texts; bytes of characters cut in two go as well.
 
-    A null text stays null and rows without a doc_id stay as they are; columns other than text stay as they are.
+    Each row loses what its own text repeats: of rows that repeat a doc_id with different texts each is judged by itself, those that repeat
+    both get the same text. A null text stays null and rows without a doc_id stay as they are; so do all columns other than text.
     """
-    found = removed(docs, length, as_text=True).where("n_removed > 0").select("doc_id", F.col("kept").alias("new_text"))
-    rows = docs.join(found, "doc_id", "left")
-    text = F.when(F.col("text").isNotNull() & F.col("new_text").isNotNull(), F.col("new_text")).otherwise(F.col("text"))
+    found = removed(docs, length, as_text=True).where("n_removed > 0").select("doc_id", F.col("alt").alias("_alt"), F.col("kept").alias("_kept"))
+    rows = _told_apart(docs, _repeated(docs)).join(found, ["doc_id", "_alt"], "left")
+    text = F.when(F.col("text").isNotNull() & F.col("_kept").isNotNull(), F.col("_kept")).otherwise(F.col("text"))
     return rows.withColumn("text", text).select(docs.columns)
