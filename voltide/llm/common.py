@@ -64,7 +64,7 @@ def blocks(batches: Iterator[pa.RecordBatch], sized: str = "text") -> Iterator[p
 
 
 #: Rows that one task sees beside one host text; a host of more rows is put beside several groups of them.
-GROUP_ROWS = 4096
+GROUP_ROWS = 512
 
 
 #: Rows up to which a table of a few numbers a row is broadcast.
