@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles, sketch
 from .surface import finite
 
 
@@ -15,32 +16,35 @@ def _known(df: DataFrame, error: str, confidence: str) -> DataFrame:
 
 
 #: Ranges of confidence that the global order is cut into; ranks in a range come from a window, those before it from sums.
-RANGES = 256
+RANGES = 64
 
 
 def ranked(df: DataFrame, by: Sequence[str] = (), error: str = "abs_error", confidence: str = "confidence", key: str = "row_key") -> DataFrame:
     """(by, k, n, cum_error): rows from the most confident on, ties by key, with the running sum of the error.
 
-    In two phases, so that no group's rows have to meet in one task: rows are dealt into ranges of confidence, each range
-    is summed, and ranks and sums within a range start from those of the ranges above it.
+    In two phases, so that no group's rows have to meet in one task: rows are dealt into ranges of confidence with about as many rows
+    each, each range is summed, and ranks and sums within a range start from those of the ranges above it. A confidence
+    at which a range ends is a range of its own, which the first characters of the key cut further, as most rows may have it.
     """
     rows = _known(df, error, confidence).select(*by, F.col(error).cast("double").alias("e"), F.col(confidence).cast("double").alias("c"), F.col(key).alias("key"))
-    ends = rows.groupBy(*by).agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    joined = rows.join(F.broadcast(ends), list(by)) if by else rows.crossJoin(F.broadcast(ends))
-    cut = joined.withColumn("cell", F.coalesce(F.least(F.floor((F.col("hi") - F.col("c")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * RANGES), F.lit(RANGES - 1)), F.lit(0))).drop("lo", "hi")
-    cells = cut.groupBy(*by, "cell").agg(F.count("*").alias("m"), F.sum("e").alias("s"))
-    above = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = rows.groupBy(*by).agg(sketch("c", [i / RANGES for i in range(1, RANGES)], 10000).alias("cuts"))
+    joined = rows.join(F.broadcast(cuts), list(by)) if by else rows.crossJoin(F.broadcast(cuts))  # one row a group
+    at = F.array_contains("cuts", F.col("c"))
+    cell = F.size(F.filter("cuts", lambda x: x > F.col("c"))) * 2 + at.cast("int")
+    cut = joined.withColumns({"cell": cell, "sub": F.when(at, F.substring(F.col("key").cast("string"), 1, 2)).otherwise("")}).drop("cuts")
+    cells = cut.groupBy(*by, "cell", "sub").agg(F.count("*").alias("m"), F.sum("e").alias("s"))
+    above = Window.partitionBy(*by).orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    starts = cells.select(*by, "cell", F.coalesce(F.sum("m").over(above), F.lit(0)).alias("k0"), F.coalesce(F.sum("s").over(above), F.lit(0.0)).alias("s0"), F.sum("m").over(whole).alias("n"))
-    inside = Window.partitionBy(*by, "cell").orderBy(F.col("c").desc(), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = cut.withColumns({"r": F.count("*").over(inside), "t": F.sum("e").over(inside)}).join(F.broadcast(starts), [*by, "cell"])
+    starts = cells.select(*by, "cell", "sub", F.coalesce(F.sum("m").over(above), F.lit(0)).alias("k0"), F.coalesce(F.sum("s").over(above), F.lit(0.0)).alias("s0"), F.sum("m").over(whole).alias("n"))
+    inside = Window.partitionBy(*by, "cell", "sub").orderBy(F.col("c").desc(), F.col("key").cast("string")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = cut.withColumns({"r": F.count("*").over(inside), "t": F.sum("e").over(inside)}).join(starts, [*by, "cell", "sub"])
     return out.select(*by, "key", "e", "c", (F.col("k0") + F.col("r")).alias("k"), "n", (F.col("s0") + F.col("t")).alias("cum_error"))
 
 
 def risk_coverage(df: DataFrame, by: Sequence[str] = (), n_points: int = 20, **names) -> DataFrame:
     """(by, n_retained, coverage, retained_mae) at up to ``n_points`` evenly spaced numbers of retained rows."""
     if n_points < 1:
-        raise ValueError(f"n_points must be >= 1, got {n_points}")
+        raise ValueError(f"a curve needs at least one point, not {n_points}")
     r = ranked(df, by, **names)
     # k is on the grid round(linspace(1, n, n_points)) if some i gives it; half to even.
     step = F.transform(F.sequence(F.lit(0), F.lit(n_points - 1)), lambda i: F.greatest(F.least(F.bround(F.lit(1.0) + i.cast("double") * (F.col("n") - 1).cast("double") / float(max(n_points - 1, 1))).cast("bigint"), F.col("n")), F.lit(1).cast("bigint")))
@@ -58,9 +62,9 @@ def aurc(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def confidence_buckets(df: DataFrame, n_buckets: int = 10, error: str = "abs_error", confidence: str = "confidence") -> DataFrame:
     """Mean error by quantile bucket of confidence, 0 the lowest; buckets without rows are left out."""
     if n_buckets < 1:
-        raise ValueError(f"n_buckets must be >= 1, got {n_buckets}")
+        raise ValueError(f"at least one bucket is needed, not {n_buckets}")
     rows = _known(df, error, confidence).select(F.col(error).alias("e"), F.col(confidence).alias("c"))
-    edges = rows.agg(F.percentile("c", F.array(*(F.lit(i / n_buckets) for i in range(n_buckets + 1)))).alias("edges"))
+    edges = quantiles(rows, F.col("c"), [i / n_buckets for i in range(n_buckets + 1)]).select(F.col("quantiles").alias("edges"))
     b = F.size(F.filter(F.slice("edges", 2, n_buckets - 1), lambda x: x <= F.col("c"))) if n_buckets > 1 else F.lit(0)
     out = rows.crossJoin(F.broadcast(edges)).withColumn("bucket", b).groupBy("bucket").agg(F.avg("e").alias("mae"), F.count("*").alias("n"), F.first("edges").alias("edges"))
     return out.select("bucket", F.element_at("edges", F.col("bucket") + 1).alias("conf_lo"), F.element_at("edges", F.col("bucket") + 2).alias("conf_hi"), "mae", "n")
@@ -73,7 +77,7 @@ def kept(fraction: float, n: Column) -> Column:
 def high_confidence_mae(df: DataFrame, fraction: float = 0.5, by: Sequence[str] = (), **names) -> DataFrame:
     """Mean error of the most confident ``fraction`` of the rows, one row at least."""
     if not 0.0 < fraction <= 1.0:
-        raise ValueError(f"keep_fraction must be in (0, 1], got {fraction}")
+        raise ValueError(f"the fraction of rows to keep is over 0 and at most 1, not {fraction}")
     r = ranked(df, by, **names).where(F.col("k") == kept(fraction, F.col("n")))
     return r.select(*by, (F.col("cum_error") / F.col("k")).alias("high_conf_mae"), F.col("k").alias("n_kept"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.buckets import MATURITY, WINGS, bucket
-from .reconstruct import nearest_observed
+from .order import quantiles
+from .reconstruct import site_distances
 
 DECIMALS = (8, 10, 12)
 
@@ -47,10 +48,12 @@ def duplicate_summary(df: DataFrame, decimals: Sequence[int] = DECIMALS) -> Data
 
 def duplicate_dispersion(df: DataFrame, exact: bool = True) -> DataFrame:
     """Distribution of the volatility range within duplicate groups; ``exact`` False uses sketches."""
-    levels = F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99)))
-    p = F.percentile("iv_range", levels) if exact else F.percentile_approx("iv_range", levels, 100000)
-    kind = F.when(F.col("mixed"), "mixed").otherwise("same_type").alias("kind")
-    out = duplicate_groups(df).where("size >= 2").groupBy("key_name", kind).agg(F.count("iv_range").alias("n"), F.avg("iv_range").alias("mean"), p.alias("p"), F.max("iv_range").alias("max"))
+    levels, by = (0.5, 0.9, 0.95, 0.99), ["key_name", "kind"]
+    groups = duplicate_groups(df).where("size >= 2").withColumn("kind", F.when(F.col("mixed"), "mixed").otherwise("same_type"))
+    sketch = [] if exact else [F.percentile_approx("iv_range", F.array(*map(F.lit, levels)), 100000).alias("p")]
+    out = groups.groupBy(*by).agg(F.count("iv_range").alias("n"), F.avg("iv_range").alias("mean"), *sketch, F.max("iv_range").alias("max"))
+    if exact:
+        out = out.join(quantiles(groups, F.col("iv_range"), levels, by).select(*by, F.col("quantiles").alias("p")), by, "left")
     return out.select("key_name", "kind", "n", "mean", *(F.col("p")[i].alias(x) for i, x in enumerate(("p50", "p90", "p95", "p99"))), "max")
 
 
@@ -73,14 +76,12 @@ def leakage_table(df: DataFrame, decimals: Sequence[int] = (10,)) -> DataFrame:
 
 def density_table(df: DataFrame) -> DataFrame:
     """For each mode of ``nearest_observed``: hidden rows, share at distance 0 and quartiles of the distance."""
-    out = None
-    for mode in ("naive", "dedup", "exclude_same_key"):
-        n = nearest_observed(df, mode).where("not observed")
-        known = F.when(F.col("distance") < float("inf"), F.col("distance"))
-        t = n.agg(F.count("*").alias("n_hidden"), F.avg((F.col("distance") == 0).cast("double")).alias("zero_share"), F.percentile(known, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-        t = t.select(F.lit(mode).alias("mode"), "n_hidden", "zero_share", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    near = site_distances(df).where("not observed")
+    d = {"naive": "distance", "dedup": "distance", "exclude_same_key": "distance_other"}
+    each = near.select(F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(c).alias("distance")) for m, c in d.items()))).alias("x")).select("x.*")
+    counts = each.groupBy("mode").agg(F.count("*").alias("n_hidden"), F.avg((F.col("distance") == 0).cast("double")).alias("zero_share"))
+    q = quantiles(each, F.when(F.col("distance") < float("inf"), F.col("distance")), (0.25, 0.5, 0.75), ["mode"])
+    return counts.join(q, "mode", "left").select("mode", "n_hidden", "zero_share", *(F.col("quantiles")[i].alias(x) for i, x in enumerate(("q25", "q50", "q75"))))
 
 
 def gate(df: DataFrame, threshold_pct: float = 0.5) -> DataFrame:

@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import correlations, coverage, gaussian_z, width
+from .order import fixed, order_statistics, quantiles
 from .surface import finite
 
 VERSION = 1
 
 
-def _order_statistic(df: DataFrame, value: Column, rank: Column) -> DataFrame:
-    """One row: the value of the given rank (from 1) in ascending order, and the number of rows.
-
-    Counted over ranges of the value first, so that only the range which holds the rank is sorted.
-    """
-    rows = df.select(value.alias("v"))
-    ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).withColumn("rank", rank)
-    cell = F.coalesce(F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 1024), F.lit(1023)), F.lit(0))
-    cut = rows.crossJoin(F.broadcast(ends)).withColumn("cell", cell)
-    w = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = cut.groupBy("cell").agg(F.count("*").alias("m"), F.first("rank").alias("rank"), F.first("n").alias("n")).withColumn("upto", F.sum("m").over(w))
-    held = sums.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("m") < F.col("rank"))).select("cell", (F.col("rank") - F.col("upto") + F.col("m")).cast("int").alias("at"), "n")
-    found = cut.select("v", "cell").join(F.broadcast(held), "cell")
-    r = Window.orderBy("v")
-    return found.withColumn("r", F.row_number().over(r)).where("r = at").select(F.col("v").alias("value"), "n")
-
-
 def gaussian_band(df: DataFrame, alpha: float = 0.9, mu: str = "iv_pred", sigma: str = "sigma") -> DataFrame:
     z = gaussian_z(alpha)
     return df.withColumns({"lower": F.col(mu) - F.lit(z) * F.col(sigma), "upper": F.col(mu) + F.lit(z) * F.col(sigma)})
@@ -36,7 +20,7 @@ def gaussian_band(df: DataFrame, alpha: float = 0.9, mu: str = "iv_pred", sigma:
 def fit_temperature(df: DataFrame, alpha: float = 0.9, mu: str = "iv_pred", sigma: str = "sigma", y: str = "iv_clean") -> DataFrame:
     """One row with ``temperature``: the least factor of sigma at which the band covers ``alpha``, within [1e-3, 1e3]."""
     rows = df.where(finite(F.col(y)) & finite(F.col(mu)) & finite(F.col(sigma)) & (F.col(sigma) > 0))
-    s = _order_statistic(rows, F.abs(F.col(y) - F.col(mu)) / F.col(sigma), F.greatest(F.ceil(F.lit(alpha) * F.col("n")), F.lit(1)))
+    s = order_statistics(rows, F.abs(F.col(y) - F.col(mu)) / F.col(sigma), [F.greatest(F.ceil(F.lit(alpha) * F.col("n")), F.lit(1))]).withColumn("value", F.col("values")[0])
     t = F.least(F.greatest(F.col("value") / gaussian_z(alpha), F.lit(1e-3)), F.lit(1e3))
     return s.select(F.when(F.col("n") >= 2, t).otherwise(F.raise_error(F.lit("temperature fit needs two finite rows")).cast("double")).alias("temperature"), F.col("n").alias("n_fit"))
 
@@ -47,7 +31,7 @@ def fit_conformal(df: DataFrame, alpha: float = 0.9, lower: str = "lower", upper
     n = F.col("n").cast("double")
     level = F.least(F.lit(1.0), F.ceil((n + 1.0) * alpha) / n)
     rank = F.ceil(level * (n - 1.0)) + 1
-    s = _order_statistic(rows, F.greatest(F.col(lower) - F.col(y), F.col(y) - F.col(upper)), rank)
+    s = order_statistics(rows, F.greatest(F.col(lower) - F.col(y), F.col(y) - F.col(upper)), [rank]).withColumn("value", F.col("values")[0])
     return s.select(F.when(F.col("n") >= 2, F.col("value")).otherwise(F.raise_error(F.lit("conformal fit needs two finite rows")).cast("double")).alias("delta"), F.col("n").alias("n_fit"))
 
 
@@ -70,11 +54,16 @@ def fuse(primary: Column, *others: Column) -> Column:
     return F.sqrt(total)
 
 
+def _median(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """One row with the median, null without rows."""
+    return quantiles(df, value, [0.5]).agg(F.first(F.col("quantiles")[0]).alias(name))
+
+
 def fit_confidence(df: DataFrame, u: str) -> DataFrame:
     """One row with ``centre`` and ``scale``: median and scaled median deviation (the deviation where that is 0)."""
     rows = df.where(finite(F.col(u))).select(F.col(u).alias("u"))
-    first = rows.agg(F.percentile("u", F.lit(0.5)).alias("centre"), F.stddev_pop("u").alias("_sd"), F.count("*").alias("_n"))
-    far = rows.crossJoin(F.broadcast(first)).agg(F.percentile(F.abs(F.col("u") - F.col("centre")), F.lit(0.5)).alias("_mad"), F.first("centre").alias("centre"), F.first("_sd").alias("_sd"), F.first("_n").alias("_n"))
+    first = fixed(rows.agg(F.stddev_pop("u").alias("_sd"), F.count("*").alias("_n")).crossJoin(_median(rows, F.col("u"), "centre")))
+    far = first.crossJoin(_median(rows.crossJoin(F.broadcast(first)), F.abs(F.col("u") - F.col("centre")), "_mad"))  # one row each
     sd = F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
     scale = F.greatest(F.when(F.col("_mad") > 0, F.col("_mad") / 0.6745).otherwise(sd), F.lit(1e-12))
     few = F.coalesce(F.col("_n") < 2, F.lit(True))
@@ -86,11 +75,6 @@ def confidence(u: Column, centre: Column, scale: Column) -> Column:
     return F.when(z >= 0, 1.0 / (1.0 + F.exp(-z))).otherwise(F.exp(z) / (1.0 + F.exp(z)))
 
 
-def _fixed(one: DataFrame) -> DataFrame:
-    """A one-row table as a literal, so that plans which use it don't hold the fit."""
-    return one.sparkSession.createDataFrame(one.collect(), one.schema)
-
-
 def fit(df: DataFrame, alpha: float = 0.9, head: str = "gaussian", disagreement: str = "disagreement_std") -> DataFrame:
     """The calibrator as a one-row table, fitted on the rows given (with iv_pred, sigma or lower and upper, iv_clean, disagreement)."""
     z = gaussian_z(alpha)
@@ -103,9 +87,9 @@ def fit(df: DataFrame, alpha: float = 0.9, head: str = "gaussian", disagreement:
     else:
         raise ValueError(f"unknown head: {head}")
     rows = df.withColumn("abs_error", F.abs(F.col("iv_pred") - F.col("iv_clean")))
-    params = _fixed(main.crossJoin(fit_scaling(rows, disagreement)))
+    params = fixed(main.crossJoin(fit_scaling(rows, disagreement)))
     fused = rows.crossJoin(F.broadcast(params)).withColumn("u", fuse(sigma, scaled(F.col(disagreement), F.col("slope"), F.col("intercept"))))
-    done = params.crossJoin(_fixed(fit_confidence(fused, "u")))
+    done = params.crossJoin(fixed(fit_confidence(fused, "u")))
     return done.withColumns({"alpha": F.lit(alpha), "head": F.lit(head), "version": F.lit(VERSION)})
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -39,9 +39,18 @@ def parts(df: DataFrame, config: Decision = Decision()) -> DataFrame:
     return out.withColumns({"low_confidence": F.coalesce(F.col("confidence_score") < config.confidence_threshold, F.lit(False)), "wide_interval": F.coalesce(F.col("relative_width") > config.max_relative_width, F.lit(False))})
 
 
-def decide(df: DataFrame, config: Decision = Decision()) -> DataFrame:
+def flagged(df: DataFrame, flags: Callable[[DataFrame], DataFrame], key: str = "row_key") -> DataFrame:
+    """``df`` with the boolean columns that ``flags`` gives for each key. A key that it leaves out has no flag; one it repeats has those of any."""
+    got = flags(df)
+    names = [c for c in got.columns if c not in df.columns]
+    if key not in got.columns or not names:
+        raise ValueError(f"flags need {key} and a column that the table lacks")
+    return df.join(got.groupBy(key).agg(*(F.bool_or(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in names)), key, "left").fillna(False, names)
+
+
+def decide(df: DataFrame, config: Decision = Decision(), flags: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds abstain_flag, decision_reason (no_arb_violation, then low_confidence, then wide_interval, else ok) and tradability_score."""
-    p = parts(df, config)
+    p = parts(df if flags is None else flagged(df, flags), config)
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
     bounded = 0 < config.max_relative_width < float("inf")
     width = 1.0 - clip(F.col("relative_width") / config.max_relative_width) if bounded else F.lit(1.0)

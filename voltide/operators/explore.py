@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import key_uniform
+from .order import quantiles
 from .surface import clean_condition, finite, strict_condition, true
 
 
@@ -115,8 +116,8 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, cl
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column).cast("double")
-    p = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), p.alias("p"), F.max(x).alias("max"))
+    p = quantiles(df, x, (0.25, 0.5, 0.75)).agg(F.first("quantiles").alias("p"))
+    one = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).crossJoin(p)  # one row each
     return one.select("n", "mean", "std", "min", *(F.col("p")[i].alias(q) for i, q in enumerate(("q25", "q50", "q75"))), "max")
 
 
@@ -152,11 +153,20 @@ def all_known(*columns: str) -> Column:
 
 def attach(df: DataFrame, other: DataFrame, key: str = "row_key") -> DataFrame:
     """Inner join on the key; an error if the two don't hold the same keys once each."""
-    a, b = df.select(key).agg(F.count("*").alias("a")), other.select(key).agg(F.count("*").alias("b"))
-    joined = df.join(other, key)
-    n = joined.agg(F.count("*").alias("j")).crossJoin(a).crossJoin(b).first()  # three counts
-    if not n["j"] == n["a"] == n["b"]:
-        raise ValueError(f"tables don't match on {key}: {n['a']} and {n['b']} rows, {n['j']} joined")
-    return joined
+    sides = df.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).union(other.select(key, F.lit(0), F.lit(1))).groupBy(key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    odd = sides.where(f"a <> 1 or b <> 1 or `{key}` is null").select(key, "a", "b").limit(3).collect()
+    if odd:
+        raise ValueError(f"tables don't hold the same values of {key} once each: " + ", ".join(f"{r[0]} {r['a']} and {r['b']} times" for r in odd))
+    return df.join(other, key)
 
 
+def diff_summary(df: DataFrame, error: str = "abs_error") -> DataFrame:
+    """One row: mean, median and ninth decile of a difference."""
+    q = quantiles(df, F.col(error), (0.5, 0.9)).agg(F.first("quantiles").alias("q"))
+    return df.agg(F.avg(error).alias("mean_diff")).crossJoin(q).select("mean_diff", F.col("q")[0].alias("median_diff"), F.col("q")[1].alias("p90_diff"))  # one row each
+
+
+def call_put_split(df: DataFrame) -> DataFrame:
+    """One row: quotes of calls and of puts, and calls for each put."""
+    n = lambda t: F.count_if(F.lower("type") == t)
+    return df.agg(n("call").alias("n_call"), n("put").alias("n_put"), F.try_divide(n("call"), n("put")).alias("ratio"))

@@ -18,18 +18,25 @@ def bootstrap_delta(df: DataFrame, delta: Column, by: Sequence[str] = (), n_boot
     """Mean of ``delta`` with an interval from resampling whole dates.
 
     Rows are first summed by date, so that a draw costs one row for each date whatever the number of rows. Draws pick
-    dates by hashing, at slots 0 to n_dates - 1.
+    dates by hashing, at slots 0 to n_dates - 1. What is broadcast is a sum and a count for each date of each group.
     """
     dates = df.groupBy(*by, "date").agg(F.sum(delta).alias("s"), F.count(delta).alias("n"))
     w = Window.partitionBy(*by)
     slots = dates.withColumns({"slot": F.row_number().over(w.orderBy("date")) - 1, "n_groups": F.count("*").over(w)})
     # One row a group with its dates' sums in order of slot: thousands of dates at most.
     arrays = slots.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("slot", "s", "n"))).alias("d"), F.first("n_groups").alias("n_groups"), (F.sum("s") / F.sum("n")).alias("mean_delta"))
-    draws = arrays.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    picks = draws.select(*by, "b", "d", "n_groups", "mean_delta", F.explode(F.sequence(F.lit(0), F.col("n_groups").cast("int") - 1)).alias("i"))
-    u = key_uniform(F.concat_ws("|", F.col("b").cast("string"), F.col("i").cast("string")), f"boot{seed}")
-    at = F.element_at("d", F.floor(u * F.col("n_groups")).cast("int") + 1)
-    means = picks.select(*by, "b", "n_groups", "mean_delta", at["s"].alias("s"), at["n"].alias("n")).groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("m"), F.first("n_groups").alias("n_groups"), F.first("mean_delta").alias("mean_delta"))
+    # The draws are spread over the cluster; each task has the groups' arrays once, and sums a draw's picks in place.
+    spark = df.sparkSession
+    draws = spark.range(0, n_boot, 1, max(1, min(n_boot // 16, 4 * spark.sparkContext.defaultParallelism))).withColumnRenamed("id", "b")
+
+    def add(acc: Column, i: Column) -> Column:
+        u = key_uniform(F.concat_ws("|", F.col("b").cast("string"), i.cast("string")), f"boot{seed}")
+        pick = F.element_at("d", F.floor(u * F.col("n_groups")).cast("int") + 1)
+        return F.struct((acc["s"] + F.coalesce(pick["s"], F.lit(0.0))).alias("s"), (acc["n"] + pick["n"]).alias("n"))
+
+    nothing = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n"))
+    total = F.aggregate(F.sequence(F.lit(0), F.col("n_groups").cast("int") - 1), nothing, add, lambda acc: F.try_divide(acc["s"], acc["n"]))
+    means = draws.crossJoin(F.broadcast(arrays)).select(*by, "b", "n_groups", "mean_delta", total.alias("m"))
     tail = (1.0 - level) / 2.0
     out = means.groupBy(*by).agg(F.first("mean_delta").alias("mean_delta"), F.percentile("m", F.lit(tail)).alias("ci_low"), F.percentile("m", F.lit(1.0 - tail)).alias("ci_high"), F.first("n_groups").alias("n_groups"))
     return out.withColumn("significant", F.col("ci_high") < 0)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 LOW, HIGH, EMPTY = 1e-4, 10.0, 0.2
 SMOOTHING = 1e-3
+#: Coordinates of a group that one dense system takes: 5,000 are 200 MB.
+MAX_SITES = 5000
 
 
 def reconstruct_mean(df: DataFrame, by: Sequence[str] = ("date",), out: str = "iv_pred") -> DataFrame:
@@ -19,38 +25,69 @@ def reconstruct_mean(df: DataFrame, by: Sequence[str] = ("date",), out: str = "i
     return df.drop(out).join(mean, list(by))
 
 
+def _sites(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row for each coordinate of a group: n, mean and the first (by row_key) of the observed values there, n 0 where none is observed.
+
+    Whatever the number of quotes, a date has as many coordinates as listed strikes and maturities.
+    """
+    seen = F.col("observed") & F.col("implied_volatility").isNotNull()
+    value, key = F.when(seen, F.col("implied_volatility").cast("double")), F.when(F.col("observed"), F.col("row_key").cast("string"))
+    return df.groupBy(*by, F.col("log_moneyness").cast("double").alias("_x"), F.col("tau").cast("double").alias("_y")).agg(
+        F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.min(key).alias("_key"), F.min_by("implied_volatility", key).cast("double").alias("_first")
+    )
+
+
+def _by_site(df: DataFrame, by: Sequence[str], fit, out: str) -> DataFrame:
+    """``df`` with the columns that ``fit`` finds for each coordinate of its group; ``out`` is their schema. One group is one call."""
+    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    at = _sites(df, by).groupBy(*by).applyInPandas(lambda pdf: pdf[[*by, "_x", "_y"]].assign(**fit(pdf)), f"{keys}, _x double, _y double, {out}")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    same += [F.col("l.log_moneyness").cast("double").eqNullSafe(F.col("r._x")), F.col("l.tau").cast("double").eqNullSafe(F.col("r._y"))]
+    found = [F.col(f"r.{c.split()[0].strip('`')}") for c in out.split(", ")]
+    return df.alias("l").join(at.alias("r"), reduce(and_, same)).select("l.*", *found)
+
+
+def site_distances(df: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
+    """Adds distance and nearest_iv of the nearest observed point of the same group, and distance_other and nearest_iv_other of the nearest
+    one that is not at the row's own coordinates, rounded to ten digits.
+
+    Distances are Euclidean in (log_moneyness, tau); ties go to the least row_key. Infinite distance and null without a point. The points
+    of a group are its distinct coordinates, compared in blocks of vectorised distances.
+    """
+
+    def fit(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        seen = pdf[pdf["_key"].notna()].sort_values("_key", kind="stable")
+        x, y, v = (seen[c].to_numpy(float) for c in ("_x", "_y", "_first"))
+        a, b = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)
+        got = {k: np.full(len(pdf), np.inf if k.startswith("d") else np.nan) for k in ("distance", "nearest_iv", "distance_other", "nearest_iv_other")}
+        block = max(1, (1 << 22) // max(len(seen), 1))
+        for lo in range(0, len(pdf) if len(seen) else 0, block):
+            p, q, at = a[lo : lo + block, None], b[lo : lo + block, None], slice(lo, lo + block)
+            d = np.sqrt((p - x) * (p - x) + (q - y) * (q - y))
+            d = np.where(np.isnan(d), np.inf, d)
+            own = (np.round(p, 10) == np.round(x, 10)) & (np.round(q, 10) == np.round(y, 10))
+            for end, dist in (("", d), ("_other", np.where(own, np.inf, d))):
+                pick = dist.argmin(axis=1)  # the first of equal ones: the least row_key
+                least = dist[np.arange(len(dist)), pick]
+                got[f"distance{end}"][at], got[f"nearest_iv{end}"][at] = least, np.where(np.isfinite(least), v[pick], np.nan)
+        return got
+
+    out = _by_site(df, by, fit, "distance double, nearest_iv double, distance_other double, nearest_iv_other double")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("nearest_iv", "nearest_iv_other")})
+
+
 def nearest_observed(df: DataFrame, mode: str = "naive", by: Sequence[str] = ("date",)) -> DataFrame:
-    """Adds distance and nearest_iv: the nearest observed point of the same date, by Euclidean distance in (log_moneyness, tau).
+    """Adds distance and nearest_iv: the nearest observed point of the same date, as ``site_distances``.
 
-    Ties go to the least row_key. Modes: naive; dedup (one observed point for each exact coordinate); exclude_same_key (points at the row's own
-    rounded coordinates don't count). Infinite distance and null without a point. One group is one date's points, a few thousand, compared in
-    blocks of vectorised distances; groups are spread over the cluster by their keys.
+    Modes: naive; dedup (one observed point for each exact coordinate, which has the same nearest point); exclude_same_key (points at
+    the row's own rounded coordinates don't count).
     """
     if mode not in ("naive", "dedup", "exclude_same_key"):
         raise ValueError(f"unknown mode: {mode}")
-    cols = list(dict.fromkeys([*by, "row_key", "log_moneyness", "tau", "observed", "implied_volatility"]))
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*by, "row_key"]) + ", distance double, nearest_iv double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        dist, iv = np.full(len(pdf), np.inf), np.full(len(pdf), np.nan)
-        seen = pdf[pdf["observed"].astype(bool)].sort_values("row_key", kind="stable")
-        if mode == "dedup":
-            seen = seen.drop_duplicates(["log_moneyness", "tau"])
-        if len(seen):
-            x, y, v = (seen[c].to_numpy(float) for c in ("log_moneyness", "tau", "implied_volatility"))
-            a, b = pdf["log_moneyness"].to_numpy(float), pdf["tau"].to_numpy(float)
-            for lo in range(0, len(pdf), 2048):
-                p, q = a[lo : lo + 2048, None], b[lo : lo + 2048, None]
-                d = np.sqrt((p - x) * (p - x) + (q - y) * (q - y))
-                if mode == "exclude_same_key":
-                    d[(np.round(p, 10) == np.round(x, 10)) & (np.round(q, 10) == np.round(y, 10))] = np.inf
-                pick = d.argmin(axis=1)  # the first of equal ones: the least row_key
-                dist[lo : lo + 2048] = d[np.arange(len(d)), pick]
-                iv[lo : lo + 2048] = np.where(np.isfinite(dist[lo : lo + 2048]), v[pick], np.nan)
-        return pdf[[*by, "row_key"]].assign(distance=dist, nearest_iv=iv)
-
-    found = df.select(*cols).groupBy(*by).applyInPandas(fit, schema).withColumn("nearest_iv", F.nanvl("nearest_iv", F.lit(None).cast("double")))
-    return df.join(found, [*by, "row_key"])
+    out = site_distances(df, by)
+    if mode == "exclude_same_key":
+        out = out.withColumns({"distance": F.col("distance_other"), "nearest_iv": F.col("nearest_iv_other")})
+    return out.drop("distance_other", "nearest_iv_other")
 
 
 def reconstruct_nearest(df: DataFrame, by: Sequence[str] = ("date",), out: str = "iv_pred") -> DataFrame:
@@ -61,14 +98,19 @@ def reconstruct_nearest(df: DataFrame, by: Sequence[str] = ("date",), out: str =
     return near.join(n, list(by)).withColumn(out, F.least(F.greatest(value, F.lit(LOW)), F.lit(HIGH))).drop("_n", "_mean", "distance", "nearest_iv")
 
 
-def thin_plate(x: np.ndarray, v: np.ndarray, q: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Thin-plate spline with a plane, r^2 log r, at the points q; repeated sites are averaged."""
+def thin_plate(x: np.ndarray, v: np.ndarray, q: np.ndarray, smoothing: float = SMOOTHING, weight: np.ndarray | None = None) -> np.ndarray:
+    """Smoothed thin-plate spline with a plane, r^2 log r, at the points q.
+
+    ``weight`` points may stand at one site with v as their mean, and sites may repeat: the same spline as that of all single points, which
+    at a site of n points is a diagonal of smoothing / n.
+    """
+    weight = np.ones(len(x)) if weight is None else np.asarray(weight, dtype=float)
     sites, inverse = np.unique(x, axis=0, return_inverse=True)
-    n = np.bincount(inverse.ravel())
-    v = np.bincount(inverse.ravel(), weights=v) / n
+    n = np.bincount(inverse.ravel(), weights=weight)
+    v = np.bincount(inverse.ravel(), weights=v * weight) / n
     x = sites
     if len(x) < 3:
-        return np.full(len(q), v.mean())
+        return np.full(len(q), (v * n).sum() / n.sum())
     shift, scale = x.mean(axis=0), np.where(np.ptp(x, axis=0) > 0, np.ptp(x, axis=0) / 2, 1.0)
 
     def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,7 +120,7 @@ def thin_plate(x: np.ndarray, v: np.ndarray, q: np.ndarray, smoothing: float = S
     plane = lambda p: np.column_stack([np.ones(len(p)), (p - shift) / scale])
     m = len(x)
     a = np.zeros((m + 3, m + 3))
-    a[:m, :m] = kernel(x, x) + smoothing * np.eye(m)
+    a[:m, :m] = kernel(x, x) + np.diag(smoothing / n)
     a[:m, m:] = plane(x)
     a[m:, :m] = a[:m, m:].T
     right = np.concatenate([v, np.zeros(3)])
@@ -89,32 +131,41 @@ def thin_plate(x: np.ndarray, v: np.ndarray, q: np.ndarray, smoothing: float = S
     except np.linalg.LinAlgError:
         w = np.linalg.lstsq(a, right, rcond=None)[0]
     out = np.empty(len(q))
-    for lo in range(0, len(q), 4096):
-        p = q[lo : lo + 4096]
-        out[lo : lo + 4096] = kernel(p, x) @ w[:m] + plane(p) @ w[m:]
+    for lo in range(0, len(q), 1024):
+        p = q[lo : lo + 1024]
+        out[lo : lo + 1024] = kernel(p, x) @ w[:m] + plane(p) @ w[m:]
+    return out
+
+
+def _local(x: np.ndarray, v: np.ndarray, n: np.ndarray, q: np.ndarray, smoothing: float, neighbors: int) -> np.ndarray:
+    """A spline of its own for each point of q, over the nearest sites."""
+    out = np.full(len(q), np.nan)
+    for i in np.flatnonzero(np.isfinite(q).all(axis=1)):
+        near = np.argpartition(((x - q[i]) ** 2).sum(axis=1), neighbors - 1)[:neighbors]
+        out[i] = thin_plate(x[near], v[near], q[i : i + 1], smoothing, n[near])[0]
     return out
 
 
-def reconstruct_rbf(df: DataFrame, by: Sequence[str] = ("date",), smoothing: float = SMOOTHING, out: str = "iv_pred") -> DataFrame:
+def reconstruct_rbf(df: DataFrame, by: Sequence[str] = ("date",), smoothing: float = SMOOTHING, out: str = "iv_pred", neighbors: int | None = None) -> DataFrame:
     """Thin-plate spline of each date's observed points at all its points, within [1e-4, 10]; the mean under three points, 0.2 without any.
 
-    One group is one solve, of a few thousand points; groups are spread over the cluster by their keys.
+    One group is one solve over its distinct coordinates, MAX_SITES of them at most (the system is dense): more are an error unless
+    ``neighbors`` is given, with which each coordinate has a spline over so many nearest sites where a group has more than that.
     """
-    cols = list(dict.fromkeys([*by, "row_key", "log_moneyness", "tau", "observed", "implied_volatility"]))
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*by, "row_key"]) + f", `{out}` double"
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = pdf[pdf["observed"].astype(bool) & pdf["implied_volatility"].notna() & pdf["log_moneyness"].notna() & pdf["tau"].notna()]
-        xy, values = seen[["log_moneyness", "tau"]].to_numpy(float), seen["implied_volatility"].to_numpy(float)
-        if len(seen) < 3:
-            pred = np.full(len(pdf), values.mean() if len(seen) else EMPTY)
-        else:
-            q = pdf[["log_moneyness", "tau"]].to_numpy(float)
-            pred = np.clip(thin_plate(xy, values, q, smoothing), LOW, HIGH)
-        return pdf[[*by, "row_key"]].assign(**{out: pred})
+    def fit(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        seen = pdf[(pdf["_n"] > 0) & pdf["_x"].notna() & pdf["_y"].notna()]
+        x, v, n = seen[["_x", "_y"]].to_numpy(float), seen["_mean"].to_numpy(float), seen["_n"].to_numpy(float)
+        q = pdf[["_x", "_y"]].to_numpy(float)
+        if n.sum() < 3:
+            return {out: np.full(len(pdf), (v * n).sum() / n.sum() if len(seen) else EMPTY)}
+        if neighbors is not None and len(x) > neighbors:
+            return {out: np.clip(_local(x, v, n, q, smoothing, neighbors), LOW, HIGH)}
+        if len(x) > MAX_SITES:
+            raise ValueError(f"{len(x)} coordinates in one group: give neighbors")
+        return {out: np.clip(thin_plate(x, v, q, smoothing, n), LOW, HIGH)}
 
-    found = df.select(*cols).groupBy(*by).applyInPandas(fit, schema)
-    return df.drop(out).join(found, [*by, "row_key"])
+    return _by_site(df.drop(out), by, fit, f"`{out}` double")
 
 
 def add_prior(df: DataFrame, target: str = "iv_clean") -> DataFrame:
@@ -122,11 +173,11 @@ def add_prior(df: DataFrame, target: str = "iv_clean") -> DataFrame:
     return reconstruct_rbf(df, out="rbf_pred").withColumn("residual", F.col(target) - F.col("rbf_pred"))
 
 
-def query_unquoted(df: DataFrame, queries: DataFrame, how: str = "nearest") -> DataFrame:
+def query_unquoted(df: DataFrame, queries: DataFrame, how: str | Predictor = "nearest") -> DataFrame:
     """Values at coordinates that are not in the table: (date, log_moneyness, tau, row_key) appended as unobserved points."""
     q = queries.select("date", "log_moneyness", "tau", "row_key").withColumns({"observed": F.lit(False), "implied_volatility": F.lit(None).cast("double"), "_q": F.lit(True)})
     both = df.select("date", "log_moneyness", "tau", "row_key", "observed", "implied_volatility").withColumn("_q", F.lit(False)).unionByName(q)
-    done = {"nearest": reconstruct_nearest, "rbf": reconstruct_rbf, "mean": reconstruct_mean}[how](both)
+    done = predicted(both, how)
     return done.where("_q").select("date", "log_moneyness", "tau", "row_key", "iv_pred")
 
 
@@ -159,14 +210,59 @@ def mask_resample(df: DataFrame, draws: int, fraction: float, seed: int = 7) ->
     return copies.withColumn("observed", F.col("observed") & (F.row_number().over(w.orderBy(u, "row_key")) <= k))
 
 
-def masking_sensitivity(df: DataFrame, draws: int = 4, fraction: float = 0.8, seed: int = 7, how: str = "nearest") -> DataFrame:
+#: A table with observed and implied_volatility, and the columns that tell surfaces apart, to one with iv_pred for each row_key of each surface.
+Predictor = Callable[[DataFrame, Sequence[str]], DataFrame]
+#: A table and a column ``draw`` to the same rows with fewer of them observed.
+Masking = Callable[[DataFrame], DataFrame]
+PREDICTORS: dict[str, Predictor] = {"mean": reconstruct_mean, "nearest": reconstruct_nearest, "rbf": reconstruct_rbf}
+NEEDED = ("row_key", "log_moneyness", "tau", "observed", "implied_volatility")
+
+
+def predicted(df: DataFrame, how: str | Predictor, by: Sequence[str] = ("date",)) -> DataFrame:
+    """``df`` with the predictor's iv_pred: one of PREDICTORS by name, or any function of that kind.
+
+    A predictor without the columns it must give is an error at once; a row that it gives no or several predictions for is one when it runs.
+    """
+    if isinstance(how, str):
+        if how not in PREDICTORS:
+            raise ValueError(f"unknown predictor: {how}")
+        return PREDICTORS[how](df, by)
+    keys = [*by, "row_key"]
+    got = how(df.select(*dict.fromkeys([*by, *NEEDED])), by)
+    missing = [c for c in (*keys, "iv_pred") if c not in got.columns]
+    if missing:
+        raise ValueError(f"the predictor gives no {', '.join(missing)}")
+    one = got.groupBy(*keys).agg(F.count("*").alias("_times"), F.first("iv_pred").cast("double").alias("iv_pred"))
+    wrong = F.raise_error(F.concat(F.lit("not one prediction for row "), F.col("row_key").cast("string"))).cast("double")
+    return df.drop("iv_pred").join(one, keys, "left").withColumn("iv_pred", F.when(F.col("_times") == 1, F.col("iv_pred")).otherwise(wrong)).drop("_times")
+
+
+def masked(df: DataFrame, draws: int, fraction: float = 0.8, seed: int = 7, masking: Masking | None = None) -> DataFrame:
+    """``draws`` copies of the table with fewer observed rows: by ``mask_resample``, or by the function given.
+
+    Such a function may only hide what is observed: rows it makes observed stay hidden, rows it leaves out or repeats are an error.
+    """
+    if masking is None:
+        return mask_resample(df, draws, fraction, seed)
+    copies = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    got = masking(copies)
+    missing = [c for c in ("row_key", "draw", "observed") if c not in got.columns]
+    if missing:
+        raise ValueError(f"the masking gives no {', '.join(missing)}")
+    one = got.groupBy("row_key", "draw").agg(F.count("*").alias("_times"), F.bool_and("observed").alias("_seen"))
+    wrong = F.raise_error(F.concat(F.lit("not one mask for row "), F.col("row_key").cast("string"))).cast("boolean")
+    return copies.join(one, ["row_key", "draw"], "left").withColumn("observed", F.when(F.col("_times") == 1, F.col("observed") & F.col("_seen")).otherwise(wrong)).drop("_times", "_seen")
+
+
+def masking_sensitivity(df: DataFrame, draws: int = 4, fraction: float = 0.8, seed: int = 7, how: str | Predictor = "nearest", masking: Masking | None = None) -> DataFrame:
     """For each row the mean, population deviation and number of finite predictions over the draws."""
-    d = mask_resample(df.select("row_key", "date", "log_moneyness", "tau", "observed", "implied_volatility"), draws, fraction, seed)
-    p = {"nearest": reconstruct_nearest, "rbf": reconstruct_rbf, "mean": reconstruct_mean}[how](d, by=("date", "draw"))
+    d = masked(df.select("row_key", "date", "log_moneyness", "tau", "observed", "implied_volatility"), draws, fraction, seed, masking)
+    p = predicted(d, how, ("date", "draw"))
     ok = F.when(F.col("iv_pred").isNotNull() & ~F.isnan("iv_pred"), F.col("iv_pred"))
     return p.groupBy("row_key").agg(F.avg(ok).alias("mean_pred"), F.stddev_pop(ok).alias("std_pred"), F.count(ok).alias("n_finite"))
 
 
 def instability_summary(sensitivity: DataFrame, unobserved_only: bool = False) -> DataFrame:
     rows = sensitivity.where("not observed") if unobserved_only else sensitivity
-    return rows.agg(F.avg("std_pred").alias("mean_std"), F.percentile("std_pred", F.lit(0.5)).alias("median_std"), F.count("*").alias("n"))
+    median = quantiles(rows, F.col("std_pred"), [0.5]).agg(F.first(F.col("quantiles")[0]).alias("median_std"))
+    return rows.agg(F.avg("std_pred").alias("mean_std"), F.count("*").alias("n")).crossJoin(median).select("mean_std", "median_std", "n")  # one row each

@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 MAX_DIM = 1024
 
 
+def _matrix(column, dim: int) -> np.ndarray:
+    """The arrays that are not null as rows; arrays of different lengths, or with nulls in them, are an error."""
+    import pyarrow.compute as pc
+
+    known = column.drop_null()
+    sizes = pc.list_value_length(known).to_numpy(zero_copy_only=False)
+    if (sizes != dim).any():
+        raise ValueError(f"arrays of {int(sizes.min())} and of {dim} numbers in one column")
+    flat = known.flatten()
+    if flat.null_count:
+        raise ValueError("arrays with nulls in them")
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+
+
 def moments(df: DataFrame, column: str = "embedding") -> tuple[int, np.ndarray, np.ndarray]:
     """Number of rows, mean and covariance (population). Each task sends one partial Gram matrix; they are added in Spark by row of the matrix."""
     dim = df.select(F.max(F.size(column))).first()[0] or 0
@@ -19,21 +33,21 @@ def moments(df: DataFrame, column: str = "embedding") -> tuple[int, np.ndarray,
     def run(batches):
         total, gram, n = np.zeros(dim), np.zeros((dim, dim)), 0
         for b in batches:
-            rows = [r for r in b.column(0).to_pylist() if r is not None and len(r) == dim]
-            if rows:
-                x = np.asarray(rows, dtype=float)
+            x = _matrix(b.column(0), dim)
+            if len(x):
                 total, gram, n = total + x.sum(axis=0), gram + x.T @ x, n + len(x)
         import pyarrow as pa
 
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim, dtype=np.int32)), pa.array(np.full(dim, n)), pa.array(total), pa.array(gram.tolist(), type=pa.list_(pa.float64()))], names=["i", "n", "s", "g"])
 
     parts = df.select(column).mapInArrow(run, "i int, n bigint, s double, g array<double>")
-    cells = parts.select("i", "n", "s", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("v").alias("v")).collect()
-    n = cells[0]["n"] if cells else 0
+    cells = parts.select("i", "n", "s", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("v").alias("v"))
+    row = F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"])
+    rows = cells.groupBy("i").agg(F.first("n").alias("n"), F.first("s").alias("s"), row.alias("g")).orderBy("i").toArrow()  # dim rows of dim numbers
+    n = rows.column("n")[0].as_py() if rows.num_rows else 0
     mean, gram = np.zeros(dim), np.zeros((dim, dim))
-    for c in cells:
-        gram[c["i"], c["j"]] = c["v"]
-        mean[c["i"]] = c["s"]
+    if rows.num_rows:
+        mean, gram = rows.column("s").to_numpy(), rows.column("g").combine_chunks().flatten().to_numpy().reshape(dim, dim)
     mean = mean / max(n, 1)
     return n, mean, gram / max(n, 1) - np.outer(mean, mean)
 
@@ -67,17 +81,32 @@ def loadings(df: DataFrame, column: str = "embedding") -> tuple[np.ndarray, np.n
     return mean, v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
 
 
+def _mapped(df: DataFrame, column: str, dim: int, out: str, f) -> DataFrame:
+    """Adds ``out``: the rows' arrays of ``dim`` numbers put through ``f`` as one matrix for each batch; null where the array is."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def run(batches):
+        for b in batches:
+            at = b.column(b.schema.get_field_index(column))
+            y = f(_matrix(at, dim))
+            ends = np.concatenate([[0], np.cumsum(at.is_valid().to_numpy(zero_copy_only=False))]).astype(np.int32) * y.shape[1]
+            null = np.append(at.is_null().to_numpy(zero_copy_only=False), False)
+            offsets = pa.array(ends, mask=null) if null.any() else pa.array(ends)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(y.ravel()))], names=[*b.schema.names, out])
+
+    df = df.drop(out)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
 def pc_project(df: DataFrame, mean: np.ndarray, v: np.ndarray, column: str = "embedding", out: str = "pcs") -> DataFrame:
     """Adds each row's coordinates in the basis of components."""
-    centred = F.transform(column, lambda x, i: x.cast("double") - F.lit(mean.tolist())[i])
-    dots = [F.aggregate(F.zip_with("_c", F.lit(v[:, k].tolist()), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for k in range(v.shape[1])]
-    return df.withColumn("_c", centred).withColumn(out, F.array(*dots)).drop("_c")
+    return _mapped(df, column, len(mean), out, lambda x: (x - mean) @ v)
 
 
 def pc_reconstruct(df: DataFrame, mean: np.ndarray, v: np.ndarray, k: int, pcs: str = "pcs", out: str = "reconstructed") -> DataFrame:
     """Adds the row built from its first k components."""
-    dims = [F.aggregate(F.zip_with(F.slice(pcs, 1, k), F.lit(v[d, :k].tolist()), lambda a, b: a * b), F.lit(float(mean[d])), lambda s, x: s + x) for d in range(v.shape[0])]
-    return df.withColumn(out, F.array(*dims))
+    return _mapped(df, pcs, v.shape[1], out, lambda x: x[:, :k] @ v[:, :k].T + mean)
 
 
 def ablate_dim(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import key_uniform
-from .reconstruct import reconstruct_nearest, reconstruct_rbf
+from .reconstruct import Predictor, predicted
 
 REGIMES = ("fewer_quotes", "thin_wings", "missing_maturities", "combined_quotes_wings")
 INTENSITIES = (0.0, 0.2, 0.4, 0.6, 0.8)
@@ -68,13 +68,12 @@ def manifest(swept: DataFrame) -> DataFrame:
     return swept.groupBy("regime", "rung_index").agg(F.first("intensity").alias("intensity"), F.count_if("retained").alias("n_retained"), F.count_if("observed").alias("n_base"), F.coalesce(F.try_divide(F.count_if("retained"), F.count_if("observed")), F.lit(0.0)).alias("retained_fraction"))
 
 
-def reconstruct(swept: DataFrame, how: str = "rbf") -> DataFrame:
+def reconstruct(swept: DataFrame, how: str | Predictor = "rbf") -> DataFrame:
     """Adds iv_pred for each date, regime and rung; the dense rung is the same in all regimes and is solved once."""
-    solve = {"rbf": reconstruct_rbf, "nearest": reconstruct_nearest}[how]
     rows = swept.withColumnRenamed("observed", "observed_base").withColumn("observed", F.col("retained"))
     first = rows.agg(F.min("regime")).first()[0]  # a name
-    dense = solve(rows.where((F.col("rung_index") == 0) & (F.col("regime") == first)).select("date", "row_key", "log_moneyness", "tau", "observed", "implied_volatility"), by=("date",)).select("row_key", "iv_pred")
-    sparse = solve(rows.where("rung_index > 0"), by=("date", "regime", "rung_index"))
+    dense = predicted(rows.where((F.col("rung_index") == 0) & (F.col("regime") == first)).select("date", "row_key", "log_moneyness", "tau", "observed", "implied_volatility"), how).select("row_key", "iv_pred")
+    sparse = predicted(rows.where("rung_index > 0"), how, ("date", "regime", "rung_index"))
     return rows.where("rung_index = 0").join(dense, "row_key").unionByName(sparse.select(*rows.columns, "iv_pred"))
 
 

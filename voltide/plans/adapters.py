@@ -33,6 +33,12 @@ def kept(view):
     return run
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets go of all persisted views, so that the next query starts from the files."""
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        _KEPT.pop(key).unpersist(blocking=True)
+
+
 def _month(c: str) -> Column:
     return F.to_date(F.date_trunc("month", F.col(c)))
 

@@ -426,8 +426,7 @@ def _(s, d):
 
 @query("call_put_split", "select count(*) filter (type = 'call') as n_call, count(*) filter (type = 'put') as n_put, count(*) filter (type = 'call') / cast(count(*) filter (type = 'put') as double) as ratio from quotes", "ratio")
 def _(s, d):
-    n = lambda t: F.count_if(F.lower("type") == t)
-    return A.raw_quotes(s, d).agg(n("call").alias("n_call"), n("put").alias("n_put"), F.try_divide(n("call"), n("put")).alias("ratio"))
+    return explore.call_put_split(A.raw_quotes(s, d))
 
 
 @query("histogram", "select cast(least(floor((least(greatest(implied_volatility, 0E0), 1E0) - 0E0) / 1E0 * 20), 19) as int) as bin, count(*) as n from quotes where implied_volatility is not null group by 1")
@@ -479,8 +478,7 @@ def _(s, d):
 
 @query("diff_summary", "select avg(abs_error) as mean_diff, quantile_cont(abs_error, 5E-1) as median_diff, quantile_cont(abs_error, 9E-1) as p90_diff from banded", "mean_diff median_diff p90_diff")
 def _(s, d):
-    x = F.col("abs_error")
-    return A.with_bands(A.predictions(s, d)).agg(F.avg(x).alias("mean_diff"), F.percentile(x, F.lit(0.5)).alias("median_diff"), F.percentile(x, F.lit(0.9)).alias("p90_diff"))
+    return explore.diff_summary(A.with_bands(A.predictions(s, d)))
 
 
 @query("rich_cheap_scan", "(select row_key, iv_clean - iv_pred as diff, 'rich' as side from predictions where volume > 0 order by 2 desc, row_key limit 6) union all (select row_key, iv_clean - iv_pred, 'cheap' from predictions where volume > 0 order by 2, row_key limit 6)", "diff")

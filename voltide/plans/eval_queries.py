@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.buckets import MATURITY, MONEYNESS, WINGS, maturity, moneyness, sql_bucket
 from ..functions.normal import sql_cdf, sql_priced
 from ..functions.rng import sql_normal, sql_uniform
-from ..operators import abstain, audit, benchmark as B, calibrate, decide, explore, infer, metrics as M, noarb, reconstruct as R, spectrum, surface as S, sweep as W
+from ..operators import abstain, audit, benchmark as B, calibrate, decide, explore, infer, metrics as M, noarb, predictions as P, reconstruct as R, spectrum, surface as S, sweep as W
 from . import adapters as A
+from .data_queries import _otm
 from .registry import query
 
 MAT, MON = sql_bucket("tau", MATURITY), sql_bucket("log_moneyness", MONEYNESS)
@@ -145,9 +146,10 @@ def _(s, d):
     return preds(s, d).where("split = 'val'").select("row_key")
 
 
-@query("residual_target", "select row_key, iv_clean - iv_pred as residual from predictions", "residual")
+@query("residual_target", "select row_key, iv_clean - iv_pred as residual, iv_clean as absolute from predictions", "residual absolute")
 def _(s, d):
-    return preds(s, d).select("row_key", (F.col("iv_clean") - F.col("iv_pred")).alias("residual"))
+    both = P.residual_target(P.residual_target(preds(s, d), "iv_pred", out="residual"), "iv_pred", mode="absolute", out="absolute")
+    return both.select("row_key", "residual", "absolute")
 
 
 @query("prior_plus_residual", "select row_key, iv_pred + member_0 / 1E1 as hybrid from predictions", "hybrid")
@@ -157,21 +159,29 @@ def _(s, d):
     return explore.attach(p.select("row_key", "iv_pred"), residual).select("row_key", (F.col("iv_pred") + F.col("residual")).alias("hybrid"))
 
 
-@query("nonfinite_gate", "select count(*) as n, 0 as n_nonfinite, false as blocked from predictions")
+#: Predictions of which some are missing or infinite, as a broken model gives them.
+BROKEN = "case when observed then iv_pred when volume = 0 then null when open_interest < 5 then cast('inf' as double) else iv_pred end"
+
+
+@query("nonfinite_gate", f"select split, count(*) as n, count(*) filter (b is null or isinf(b)) as n_nonfinite, count(*) filter (b is null or isinf(b)) > 0 as blocked from (select split, {BROKEN} as b from predictions) group by 1")
 def _(s, d):
-    return preds(s, d).agg(F.count("*").alias("n"), F.count_if(~S.finite(F.col("iv_pred"))).cast("int").alias("n_nonfinite"), (F.count_if(~S.finite(F.col("iv_pred"))) > 0).alias("blocked"))
+    broken = F.when(F.col("observed"), F.col("iv_pred")).when(F.col("volume") == 0, None).when(F.col("open_interest") < 5, F.lit(float("inf"))).otherwise(F.col("iv_pred"))
+    p = preds(s, d).withColumn("iv_pred", broken)
+    each = [P.nonfinite_gate(p.where(F.col("split") == x), ["iv_pred"]).select(F.lit(x).alias("split"), "*") for x in ("train", "val", "test")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query("confidence_inject", "select row_key, iv_pred as lower, iv_pred as upper, 1E0 as confidence_score from predictions", "lower upper confidence_score")
+@query("confidence_inject", "select row_key, case when observed then lower else iv_pred end as lower, case when observed then upper else iv_pred end as upper, case when observed then confidence else 1E0 end as confidence_score from banded", "lower upper confidence_score")
 def _(s, d):
-    p = preds(s, d).withColumns({"lower": F.lit(None).cast("double"), "upper": F.lit(None).cast("double"), "confidence_score": F.lit(None).cast("double")})
-    return p.select("row_key", F.coalesce("lower", "iv_pred").alias("lower"), F.coalesce("upper", "iv_pred").alias("upper"), F.coalesce("confidence_score", F.lit(1.0)).alias("confidence_score"))
+    some = lambda c: F.when(F.col("observed"), F.col(c))
+    p = bands(s, d).withColumns({"lower": some("lower"), "upper": some("upper"), "confidence_score": some("confidence")})
+    return P.confidence_inject(p).select("row_key", "lower", "upper", "confidence_score")
 
 
 @query("confidence_source", "select row_key, case when observed then -sigma else -abs_error end as confidence, case when observed then 'uncertainty' else 'oracle' end as source from banded", "confidence")
 def _(s, d):
-    p = bands(s, d).withColumn("u", F.when(F.col("observed"), F.col("uncertainty")))
-    return p.select("row_key", F.coalesce(-F.col("u"), -F.col("abs_error")).alias("confidence"), F.when(F.col("u").isNotNull(), "uncertainty").otherwise("oracle").alias("source"))
+    p = bands(s, d).withColumn("uncertainty", F.when(F.col("observed"), F.col("uncertainty")))
+    return P.confidence_source(p).select("row_key", "confidence", "source")
 
 
 MEMBERS = [f"member_{k}" for k in range(5)]
@@ -335,8 +345,8 @@ def _(s, d):
 
 @query("validation_errors", "select avg(abs_error * abs_error) filter (observed) as mse_observed, avg(abs_error) filter (observed) as mae_observed, avg(abs_error) filter (not observed) as mae_unobserved, count(*) filter (observed) as n_observed, count(*) filter (not observed) as n_unobserved from banded", "mse_observed mae_observed mae_unobserved")
 def _(s, d):
-    o, e = F.col("observed"), F.col("abs_error")
-    return bands(s, d).agg(F.avg(F.when(o, e * e)).alias("mse_observed"), F.avg(F.when(o, e)).alias("mae_observed"), F.avg(F.when(~o, e)).alias("mae_unobserved"), F.count_if(o).alias("n_observed"), F.count_if(~o).alias("n_unobserved"))
+    return P.validation_errors(bands(s, d))
+
 
 
 for _how, _agg in (("mean", "avg(sigma)"), ("sum", "sum(sigma)"), ("max", "max(sigma)"), ("fraction", "avg(cast(observed as int))")):
@@ -731,6 +741,52 @@ def _(s, d):
     return R.instability_summary(R.masking_sensitivity(preds(s, d), 4, 0.8, how="mean"))
 
 
+DIST = "sqrt((q.log_moneyness - o.log_moneyness) * (q.log_moneyness - o.log_moneyness) + (q.tau - o.tau) * (q.tau - o.tau))"
+#: Nearest kept point of each distinct coordinate in each draw.
+NEARSENS = f"""{DRAWS}, osites as (select date, draw, log_moneyness, tau, min(row_key) as k, arg_min(implied_volatility, row_key) as iv from draws where kept group by 1, 2, 3, 4),
+qsites as (select distinct date, draw, log_moneyness, tau from draws),
+nsites as (select q.date, q.draw, q.log_moneyness, q.tau, arg_min(o.iv, ({DIST}, o.k)) as iv from qsites q join osites o on q.date = o.date and q.draw = o.draw group by 1, 2, 3, 4),
+nmean as (select date, draw, count(*) filter (kept) as n, coalesce(avg(implied_volatility) filter (kept), 2E-1) as mean from draws group by 1, 2),
+npred as (select p.row_key, p.draw, least(greatest(case when n < 3 then mean else coalesce(x.iv, mean) end, 1E-4), 1E1) as pred from draws p join nmean m on p.date = m.date and p.draw = m.draw
+  left join nsites x on p.date = x.date and p.draw = x.draw and p.log_moneyness = x.log_moneyness and p.tau = x.tau),
+nsens as (select row_key, avg(pred) as mean_pred, stddev_pop(pred) as std_pred, count(pred) as n_finite from npred group by 1)"""
+
+
+@query("masking_sensitivity_nearest", f"{NEARSENS} select * from nsens", "mean_pred std_pred", digits=9)
+def _(s, d):
+    return R.masking_sensitivity(preds(s, d), 4, 0.8)
+
+
+@query("instability_summary_nearest", f"{NEARSENS} select avg(std_pred) as mean_std, quantile_cont(std_pred, 5E-1) as median_std, count(*) as n from nsens", "mean_std median_std")
+def _(s, d):
+    return R.instability_summary(R.masking_sensitivity(preds(s, d), 4, 0.8))
+
+
+def _greatest_of_surface(df: DataFrame, by) -> DataFrame:
+    """A predictor as a user may write it: each surface's greatest observed value."""
+    top = df.groupBy(*by).agg(F.max(F.when(F.col("observed"), F.col("implied_volatility"))).alias("iv_pred"))
+    return df.join(top, list(by))
+
+
+@query("predictor_hook", "select row_key, max(implied_volatility) filter (observed) over (partition by date) as iv_pred from predictions", "iv_pred")
+def _(s, d):
+    return R.predicted(preds(s, d), _greatest_of_surface).select("row_key", "iv_pred")
+
+
+@query("masking_hook", "select draw, count(*) filter (observed and (open_interest + draw) % 3 <> 0) as n_kept, count(*) as n from predictions, range(3) t(draw) group by 1")
+def _(s, d):
+    hide = lambda copies: copies.withColumn("observed", (F.col("open_interest") + F.col("draw")) % 3 != 0)
+    m = R.masked(preds(s, d), 3, masking=hide)
+    return m.groupBy(F.col("draw").cast("bigint").alias("draw")).agg(F.count_if("observed").alias("n_kept"), F.count("*").alias("n"))
+
+
+@query("flags_hook", "select case when open_interest < 5 then 'no_arb_violation' when confidence < 5E-1 then 'low_confidence' when (upper - lower) / greatest(uncertainty, 1E-9) > 4E0 then 'wide_interval' else 'ok' end as decision_reason, count(*) as n from banded group by 1")
+def _(s, d):
+    flags = lambda df: df.where("open_interest < 5").select("row_key", F.lit(True).alias("thin"))
+    done = decide.decide(bands(s, d).withColumn("confidence_score", F.col("confidence")), decide.Decision(max_relative_width=4.0, forbid_flags=("thin",)), flags)
+    return done.groupBy("decision_reason").agg(F.count("*").alias("n"))
+
+
 SWEEP = f""", rungs as (select p.*, cast(i as int) as rung_index, x as intensity from predictions p, (select unnest([0, 1, 2, 3, 4]) as i, unnest([0E0, 2E-1, 4E-1, 6E-1, 8E-1]) as x)),
 mats as (select *, row_number() over (partition by date, rung_index order by (cast('0x' || substr(md5(concat(cast(date as varchar), '|', cast(cast(round(tau * 365E0) as int) as varchar), '|maturity11')), 1, 8) as bigint) / 4294967296E0), tau) as r, round_even(intensity * count(*) over (partition by date, rung_index), 0) as n_drop from (select distinct date, rung_index, intensity, tau from rungs where observed)),
 sorted as (select date, rung_index, abs(log_moneyness) as a, row_number() over (partition by date, rung_index order by abs(log_moneyness), row_key) - 1 as r, (count(*) over (partition by date, rung_index) - 1) * (1E0 - intensity) as pos from rungs where observed),
@@ -781,9 +837,13 @@ def _(s, d):
     return W.accumulate(swept(s, d).join(preds(s, d).select("row_key", "iv_pred"), "row_key")).withColumn("n_nonfinite", F.col("n_nonfinite").cast("int"))
 
 
-@query("sweep_monotone", f"{SWEEP} select regime, true as monotone, min(m) as dense_mae from (select regime, rung_index, avg(abs(iv_pred - iv_clean)) as m from swept group by 1, 2) group by 1", "dense_mae")
+MONO_SQL = f"""{SWEEP}, sm as (select regime, rung_index, iv_clean, coalesce(avg(implied_volatility) filter (retained) over (partition by regime, rung_index, date), 2E-1) as pred from (select s.*, p.implied_volatility from swept s join predictions p using (row_key))),
+acc as (select regime, rung_index, avg(abs(pred - iv_clean)) as mae from sm group by 1, 2), st as (select *, mae - lag(mae) over (partition by regime order by rung_index) as step from acc)"""
+
+
+@query("sweep_monotone", f"{MONO_SQL} select regime, coalesce(min(step) >= -1E-6, true) as monotone, arg_min(mae, rung_index) as dense_mae from st group by 1", "dense_mae")
 def _(s, d):
-    return W.monotone(W.accumulate(swept(s, d).join(preds(s, d).select("row_key", "iv_pred"), "row_key")))
+    return W.monotone(W.accumulate(W.reconstruct(swept(s, d), "mean")))
 
 
 @query("diagnose_date")
@@ -939,14 +999,16 @@ def _(s, d):
     return rows.crossJoin(s.read.parquet(f"{top}/out_rejects").agg(F.count("*").alias("n_rejects")))  # one row each
 
 
-@query("stream_date_close")
+@query("stream_date_close", _otm("select date, count(*) as n from built where date < (select max(date) from built) group by 1"), base=False)
 def _(s, d):
     from ..streaming.jobs import stream_date_close
     from .data_queries import _scratch
 
     top = _scratch(s, "stream")
     q = A.surface(s, d)
-    q.repartitionByRange(6, "date").sortWithinPartitions("date").write.parquet(f"{top}/landing")
+    days = q.select("date").distinct().select("date", F.ntile(6).over(Window.orderBy("date")).alias("part"))
+    for k in range(1, 7):  # files land one after another, as days do
+        q.join(F.broadcast(days.where(F.col("part") == k).select("date")), "date").select(*q.columns).coalesce(1).write.mode("append").parquet(f"{top}/landing")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema)
     stream_date_close(s, f"{top}/landing", schema, f"{top}/out", f"{top}/checkpoint", max_files=2)
     return s.read.parquet(f"{top}/out").groupBy("date").agg(F.count("*").alias("n"))

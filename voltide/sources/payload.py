@@ -11,11 +11,13 @@ LONGS = ("bid_size", "ask_size", "volume", "open_interest")
 NAMES = ("contractID", "symbol", "expiration", "type", "date")
 PAYLOAD = "data array<struct<" + ", ".join(f"`{n}`: string" for n in (*NAMES, *DOUBLES, *LONGS)) + ">>"
 CHAIN = ", ".join(["contract_id string", "symbol string", "expiration date", "type string", "date date", *(f"{n} double" for n in DOUBLES), *(f"{n} bigint" for n in LONGS)])
+# The message fields of a payload that holds no data, and what they say where access was refused.
 ERROR_FIELDS = ("Information", "Note", "Error Message")
+REFUSED = "premium|api key|invalid|unauthor"
 
 
 def to_double(c: Column) -> Column:
-    """Null for what is no finite number."""
+    """Null for what is no number; infinities stay."""
     x = c.try_cast("double")
     return F.when(F.isnan(x), None).otherwise(x)
 
@@ -44,7 +46,7 @@ def error_payload(body: Column) -> Column:
     said = [F.lower(F.get_json_object(body, f"$['{f}']")) for f in ERROR_FIELDS]
     out = F.lit(False)
     for s in said:
-        out = out | F.coalesce(s.rlike("premium|api key|invalid|unauthor"), F.lit(False))
+        out = out | F.coalesce(s.rlike(REFUSED), F.lit(False))
     return out
 
 
@@ -61,6 +63,7 @@ def underlying_normalise(df: DataFrame, symbol: str) -> DataFrame:
     return out.withColumns({"date": F.to_date("date"), "symbol": F.lit(symbol)})
 
 
+# Optional columns of an underlying.
 OPTIONAL = ("open", "high", "low", "adjusted_close", "volume", "dividend_amount", "split_coefficient")
 
 

@@ -27,31 +27,17 @@ def stream_chain_ingest(spark: SparkSession, landing: str, out: str, checkpoint:
 
 
 def stream_date_close(spark: SparkSession, landing: str, schema: str, out: str, checkpoint: str, max_files: int = 1000) -> None:
-    """Emits a date's single-valued surface once a later date has been seen; rows for dates already closed go to ``out``_late.
+    """Emits a date's single-valued surface, once, when a later date has been seen.
 
-    Rows wait in ``out``_open, by batch. What has been closed, and what a batch saw, is read back from the written tables, so a batch
-    that is run again gives the same result.
+    The date is the event time and the watermark follows the greatest date seen. Rows of dates that are still open are Spark's state, kept with
+    the checkpoint and dropped when their date is emitted; rows for dates closed already are left out, and counted by the query's progress as
+    dropped by the watermark. May be started again; a batch that is run again writes to the same folder, batch=<id>.
     """
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing)
-
-    def table(path: str, batch_id: int, columns: list[str] | None = None) -> DataFrame | None:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        t = spark.read.option("basePath", path).schema(f"{schema}, batch int").parquet(path).where(F.col("batch") < batch_id)
-        return t.select(*columns) if columns else t
+    rows = source.withColumn("_at", F.col("date").cast("timestamp")).withWatermark("_at", "0 seconds")
+    days = rows.groupBy(F.window("_at", "1 day")).agg(F.collect_list(F.struct(*source.columns)).alias("rows"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        closed = table(out, batch_id, ["date"])
-        late = batch.limit(0) if closed is None else batch.join(closed.distinct(), "date", "left_semi")
-        fresh = batch if closed is None else batch.join(closed.distinct(), "date", "left_anti")
-        late.write.mode("overwrite").parquet(f"{out}_late/batch={batch_id}")
-        fresh.write.mode("overwrite").parquet(f"{out}_open/batch={batch_id}")
-        waiting = table(f"{out}_open", batch_id + 1)
-        if closed is not None:
-            waiting = waiting.join(closed.distinct(), "date", "left_anti")
-        last = waiting.agg(F.max("date").alias("last"))
-        done = waiting.crossJoin(F.broadcast(last)).where("date < last").drop("last", "batch")  # last is one row
-        S.otm_build(done).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        S.otm_build(batch.select(F.inline("rows"))).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    days.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
