@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Texts are worked on in blocks of about this many bytes, whatever the size of an Arrow batch.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of an Arrow batch, which holds whole texts on both sides of the pipe to Python; a session's own smaller number stays.
+BATCH_ROWS = 1024
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again, which cuts its lineage."""
     spark = df.sparkSession
+    _small_batches(spark)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -38,6 +49,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as the session has cores; larger inputs are left as they are."""
+    _small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
