@@ -31,8 +31,12 @@ K = BANDS * ROWS
 ESTIMATE = 0.6
 #: Texts of a bucket that are held against each other at once; larger buckets are cut into blocks, and every two blocks meet.
 BLOCK = 512
-#: Pairs of signatures compared at once, and pairs of texts that are compared before classes are made anew (or the number of texts).
-_CHUNK, _SLICE = 1 << 16, 1 << 16
+#: The same for the texts of a bucket's largest class, of which only signatures are held.
+MAIN_BLOCK = 8 * BLOCK
+#: Shingles of the texts that a task holds to compare others with them.
+HOME_ELEMENTS = 1 << 20
+#: Pairs of signatures compared at once.
+_CHUNK = 1 << 16
 #: Rank up to which the first darts are thrown; each later throw doubles it.
 _FIRST = 2.0**-7
 _GOLD = 0x9E3779B97F4A7C15
@@ -135,21 +139,45 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return rows.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _across(placed: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), once each: all pairs of a bucket of ``placed`` (bucket, id, label) with different labels whose signatures agree in ESTIMATE or more.
+def _homes(placed: DataFrame, hubs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(x, home) for each id of ``placed`` that is outside its bucket's largest class somewhere: ids with one best hub share homes.
 
-    A bucket of several labels is cut into blocks of about BLOCK texts, and each two of its blocks are a group of their own, whatever
-    task they are in. Pairs whose sizes alone keep them below ``similarity`` are left out.
+    A home has about BLOCK texts and HOME_ELEMENTS shingles at most, so that a task can hold it, unless one text has more.
     """
-    split = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y")
-    rows = placed.join(split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rows = rows.join(sigs.select(F.col("doc_id").alias("id"), "bands", "sig", "n"), "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("late"), "id", "label", "n", "sig", "bands")
+    ids = placed.where("label <> main").select("id").distinct().join(sigs.select(F.col("doc_id").alias("id"), "n"), "id")
+    ids = ids.join(hubs, "id", "left").withColumn("hub", F.coalesce("hub", "id"))
+    size = ids.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / HOME_ELEMENTS)).cast("int").alias("parts"))
+    return ids.join(size, "hub").select(F.col("id").alias("x"), F.xxhash64("hub", F.pmod(F.xxhash64("id"), "parts")).alias("home"))
+
+
+def _main(placed: DataFrame) -> DataFrame:
+    """``placed`` (bucket, id, label) in buckets of several labels, with the label that most of the bucket's rows have and both sizes."""
+    sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("size")).where("size > inside")
+    return placed.join(main, "bucket")
+
+
+def _across(placed: DataFrame, homes: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
+    """(y, home, xs): all pairs of a bucket of ``placed`` with different labels whose signatures agree in ESTIMATE or more, each once.
+
+    x is always a text outside the bucket's largest class, and its partners are listed by y and the home of x, so the rows grow with the
+    texts and not with the pairs. Those texts are cut into blocks of about BLOCK, the largest class into blocks of MAIN_BLOCK; each block of
+    the former meets each of either kind in a group of its own, whatever task they are in. Pairs of the largest class never meet. Pairs whose
+    sizes alone keep them below ``similarity`` are left out.
+    """
+    few = F.ceil((F.col("size") - F.col("inside")) / BLOCK).cast("int")
+    many = F.ceil(F.col("inside") / MAIN_BLOCK).cast("int")
+    rows = placed.withColumns({"few": few, "many": many, "out": F.col("label") != F.col("main")})
+    mine = F.when(F.col("out"), F.pmod(F.xxhash64("id"), "few")).otherwise(F.col("few") + F.pmod(F.xxhash64("id"), "many"))
+    rows = rows.withColumns({"mine": mine.cast("int"), "last": F.col("few") - 1 + F.when(F.col("out"), F.col("many")).otherwise(0)})
+    rows = rows.join(sigs.select(F.col("doc_id").alias("id"), "bands", "sig", "n"), "id").join(homes, F.col("id") == F.col("x"), "left")
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, last)")))
+    rows = rows.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("late"), "id", "label", F.coalesce("home", F.lit(0)).alias("home"), "n", "sig", "bands")
     rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "late")
     kind = rows.schema["id"].dataType.simpleString()
 
     def met(batch: pa.RecordBatch, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bucket, low, high, late, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "low", "high", "late", "n"))
+        bucket, low, high, late, n, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "low", "high", "late", "n", "home"))
         group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         at, end = np.arange(len(bucket)), edge[1:][group]
         early = np.bincount(group, weights=~late, minlength=len(edge) - 1).astype(np.int64)  # rows of a group's first block
@@ -174,7 +202,11 @@ def _across(placed: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
                     ok = keep(a, b)
                     a, b = a[ok], b[ok]
             if len(a):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+                order = np.lexsort((home[a], b))
+                a, b = a[order], b[order]
+                cut = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (home[a[1:]] != home[a[:-1]])))
+                xs = pa.ListArray.from_arrays(pa.array(np.append(cut, len(a)).astype(np.int32)), ids.take(pa.array(a)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(b[cut])), pa.array(home[a[cut]]), xs], names=["y", "home", "xs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.RecordBatch | None = None  # the group that the last batch ended in
@@ -195,7 +227,56 @@ def _across(placed: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
         if carry is not None:
             yield from met(carry, np.array([0, carry.num_rows]))
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met_rows = rows.mapInArrow(run, f"y {kind}, home bigint, xs array<{kind}>")
+    return met_rows.groupBy("y", "home").agg(F.flatten(F.collect_list("xs")).alias("xs"))
+
+
+def _linked(met: DataFrame, homes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of ``similarity`` or more among the pairs of ``met`` (y, home, xs), enough to join all that they join.
+
+    A home's texts are sent once to each group of about GROUP_ROWS of its partners, and each partner's text once to each home; whole
+    texts are compared there. A pair that links found in the same group already join is passed over, so a group gives fewer links than it has texts.
+    """
+    t = texts(docs)
+    salted, groups = dealt(met, "home", "y")
+    kind = salted.schema["y"].dataType.simpleString()
+    guests = salted.join(t.withColumnRenamed("doc_id", "y"), "y").select("home", "salt", F.lit(True).alias("guest"), F.col("y").alias("id"), "xs", "text")
+    hosts = homes.join(groups, "home").join(t.withColumnRenamed("doc_id", "x"), "x")
+    hosts = hosts.select("home", "salt", F.lit(False).alias("guest"), F.col("x").alias("id"), F.lit(None).cast(f"array<{kind}>").alias("xs"), "text")
+    faced = hosts.union(guests).repartition("home", "salt").sortWithinPartitions("home", "salt", "guest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, up = None, {}, {}
+
+        def root(v):
+            while up.setdefault(v, v) != v:
+                up[v] = v = up[up[v]]
+            return v
+
+        for block in blocks(batches):
+            h, ends = elements(block.column("text").to_pylist())
+            a, b = [], []
+            for k, (home, salt, guest, doc, xs) in enumerate(zip(*(block.column(c).to_pylist() for c in ("home", "salt", "guest", "id", "xs")))):
+                if (home, salt) != at:
+                    at, held, up = (home, salt), {}, {}
+                mine = np.sort(h[ends[k] : ends[k + 1]])
+                if not guest:
+                    held.setdefault(doc, []).append(mine)
+                    continue
+                for x in xs:
+                    if root(x) == root(doc):
+                        continue
+                    for host in held[x]:
+                        both = int((host[np.minimum(np.searchsorted(host, mine), len(host) - 1)] == mine).sum()) if len(host) else 0
+                        if both >= similarity * max(len(mine) + len(host) - both, 1):
+                            a.append(x)
+                            b.append(doc)
+                            up[root(x)] = root(doc)
+                            break
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, type=block.column("id").type), pa.array(b, type=block.column("id").type)], names=["a", "b"])
+
+    return faced.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def similarities(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -240,9 +321,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Links: a bucket's hub is the text in it that shares most buckets with others. Every text is compared with the best hub of its buckets;
     then, in buckets whose texts are not in one class yet, with the hubs of the others and with the text before it in the order of
     the next band. These rounds are cheap and join most; at last, in buckets whose texts are still not in one class, all pairs across
-    classes that were not tried are compared if their signatures agree. These are taken in slices of about as many pairs as there are
-    texts, after each of which pairs that have come into one class drop out; so no similar pair of a common bucket is left, but for those
-    whose signatures agree in less than ESTIMATE (a chance of 1e-5 at similarity 0.8).
+    classes are compared if their signatures agree, and are never rows of their own: a text and the texts that it is to be held against
+    travel as one row for each home of these. So no similar pair of a common bucket is left, but for those whose signatures agree in less
+    than ESTIMATE (a chance of 1e-5 at similarity 0.8).
     """
     signed = written(_signed(docs))
     firsts = signed.groupBy("key").agg(F.min("doc_id").alias("rep"))
@@ -276,20 +357,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     release(docs.sparkSession)
     second = written(similarities(_agreeing(across, sigs), docs))
     release(docs.sparkSession)
-    tried, links = tried.union(second), first.union(second.where(alike).select("a", "b"))
+    links = first.union(second.where(alike).select("a", "b"))
     label = components(links)
-    placed = held.select("bucket", "id").join(label, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    todo = written(_across(placed, sigs, similarity).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    placed = written(_main(held.select("bucket", "id").join(label, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))))
+    homes = written(_homes(placed, nearest, sigs))
+    met = written(_across(placed, homes, sigs, similarity))
+    release(docs.sparkSession)
+    links = links.union(written(_linked(met, homes, docs, similarity)))
     release(docs.sparkSession)
-    slices = -(-todo.count() // max(sigs.count(), _SLICE))
-    for k in range(slices):
-        part = todo.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
-        if k:
-            label = components(links)
-            of = [label.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
-            part = part.join(of[0], "a", "left").join(of[1], "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        links = links.union(written(similarities(part, docs).where(alike).select("a", "b")))
-        release(docs.sparkSession)
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     label = components(links.union(several))
     found = members.join(label.withColumnRenamed("id", "rep"), "rep", "left")
