@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, dealt, mix, ragged, release, spread, texts, written
+from .common import U64, blocks, checked, dealt, mix, ragged, release, spread, texts, written
 from .components import components
 from .tokens import shingles, tokenise
 
@@ -237,11 +237,13 @@ def _linked(met: DataFrame, homes: DataFrame, docs: DataFrame, similarity: float
     A home's texts are sent once to each group of about GROUP_ROWS of its partners, and each partner's text once to each home; whole
     texts are compared there. A pair that links found in the same group already join is passed over, so a group gives fewer links than it has texts.
     """
-    t = texts(docs)
+    hosts = homes.join(met.select("home").distinct(), "home", "left_semi")
+    needed = written(met.select(F.col("y").alias("doc_id")).union(hosts.select("x")).distinct())
+    t = texts(docs).join(checked(needed), "doc_id", "left_semi")  # before the texts are shuffled, where their ids are few
     salted, groups = dealt(met, "home", "y")
     kind = salted.schema["y"].dataType.simpleString()
     guests = salted.join(t.withColumnRenamed("doc_id", "y"), "y").select("home", "salt", F.lit(True).alias("guest"), F.col("y").alias("id"), "xs", "text")
-    hosts = homes.join(groups, "home").join(t.withColumnRenamed("doc_id", "x"), "x")
+    hosts = hosts.join(groups, "home").join(t.withColumnRenamed("doc_id", "x"), "x")
     hosts = hosts.select("home", "salt", F.lit(False).alias("guest"), F.col("x").alias("id"), F.lit(None).cast(f"array<{kind}>").alias("xs"), "text")
     faced = hosts.union(guests).repartition("home", "salt").sortWithinPartitions("home", "salt", "guest")
 
