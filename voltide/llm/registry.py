@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bands, chat, dart, decontaminate, langid, passages, pieces, quality, suffix
+from . import bands, chat, dart, decontaminate, langid, passages, pieces, quality, search, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.removed(_table(spark, sf_dir, "documents")))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each benchmark item."""
+    return search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
         op8_token_counts,
         op9_quality_rules,
         op10_suffix_array_dedup,
+        op13_ranked_search,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.SQL, "op13_ranked_search": search.SQL}
