@@ -47,6 +47,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_table(df: DataFrame, *by: str) -> str:
+    """Writes ``df`` as Parquet in the shared folder, in a folder for each value of ``by``; gives the path, for ``drop_table``."""
+    spark = df.sparkSession
+    _small_batches(spark)
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ``write_table`` that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as the session has cores; larger inputs are left as they are."""
     _small_batches(df.sparkSession)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bands, chat, dart, decontaminate, langid, mixing, passages, pieces, quality, search, suffix
+from . import bands, chat, collocations, dart, decontaminate, langid, mixing, passages, pieces, quality, search, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.removed(_table(spark, sf_dir, "documents")))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose parts keep together most."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a mix of the sources takes each document, in words."""
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -88,8 +93,9 @@ QUERIES: dict[str, Query] = {
         op8_token_counts,
         op9_quality_rules,
         op10_suffix_array_dedup,
+        op11_phrase_collocations,
         op12_source_mix,
         op13_ranked_search,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.SQL, "op13_ranked_search": search.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.SQL, "op11_phrase_collocations": collocations.SQL, "op13_ranked_search": search.SQL}
