@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.buckets import MATURITY, WINGS, bucket
 from .order import quantiles
 from .reconstruct import site_distances
+from .stage import staged
 
 DECIMALS = (8, 10, 12)
 
@@ -76,7 +77,7 @@ def leakage_table(df: DataFrame, decimals: Sequence[int] = (10,)) -> DataFrame:
 
 def density_table(df: DataFrame) -> DataFrame:
     """For each mode of ``nearest_observed``: hidden rows, share at distance 0 and quartiles of the distance."""
-    near = site_distances(df).where("not observed")
+    near = staged(site_distances(df).where("not observed").select("distance", "distance_other"))
     d = {"naive": "distance", "dedup": "distance", "exclude_same_key": "distance_other"}
     each = near.select(F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.col(c).alias("distance")) for m, c in d.items()))).alias("x")).select("x.*")
     counts = each.groupBy("mode").agg(F.count("*").alias("n_hidden"), F.avg((F.col("distance") == 0).cast("double")).alias("zero_share"))

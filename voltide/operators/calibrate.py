@@ -9,7 +9,7 @@ from .metrics import correlations, coverage, gaussian_z, width
 from .order import fixed, order_statistics, quantiles
 from .surface import finite
 
-VERSION = 1
+VERSION = 2
 
 
 def gaussian_band(df: DataFrame, alpha: float = 0.9, mu: str = "iv_pred", sigma: str = "sigma") -> DataFrame:
@@ -90,13 +90,13 @@ def fit(df: DataFrame, alpha: float = 0.9, head: str = "gaussian", disagreement:
     params = fixed(main.crossJoin(fit_scaling(rows, disagreement)))
     fused = rows.crossJoin(F.broadcast(params)).withColumn("u", fuse(sigma, scaled(F.col(disagreement), F.col("slope"), F.col("intercept"))))
     done = params.crossJoin(fixed(fit_confidence(fused, "u")))
-    return done.withColumns({"alpha": F.lit(alpha), "head": F.lit(head), "version": F.lit(VERSION)})
+    return done.withColumns({"alpha": F.lit(alpha), "z": F.lit(z), "head": F.lit(head), "version": F.lit(VERSION)})
 
 
 def apply(df: DataFrame, params: DataFrame, disagreement: str = "disagreement_std") -> DataFrame:
-    """Adds calibrated lower, upper, uncertainty and confidence_score, and the two components of the uncertainty."""
+    """Adds calibrated lower, upper, uncertainty and confidence_score, and the two components of the uncertainty; bands are for the alpha fitted."""
     p = F.broadcast(params.withColumnsRenamed({c: f"_p_{c}" for c in params.columns}))  # one row
-    z = F.lit(gaussian_z(0.9))
+    z = F.col("_p_z")
     half = F.greatest((F.col("upper") - F.col("lower")) / 2.0 + F.col("_p_delta"), F.lit(0.0)) / z if {"lower", "upper"} <= set(df.columns) else F.col("sigma") * F.col("_p_temperature")
     sigma = F.when(F.col("_p_head") == "gaussian", F.col("sigma") * F.col("_p_temperature")).otherwise(half)
     out = df.crossJoin(p).withColumns({"u_primary": sigma, "u_ensemble": scaled(F.col(disagreement), F.col("_p_slope"), F.col("_p_intercept"))})
@@ -111,7 +111,7 @@ def save(params: DataFrame, path: str) -> None:
 
 def load(spark, path: str) -> DataFrame:
     """The saved parameters; another version is an error."""
-    schema = "temperature double, delta double, n_fit bigint, slope double, intercept double, centre double, scale double, alpha double, head string, version int"
+    schema = "temperature double, delta double, n_fit bigint, slope double, intercept double, centre double, scale double, alpha double, z double, head string, version int"
     p = spark.read.schema(schema).json(path)
     return p.withColumn("version", F.when(F.col("version") == VERSION, F.col("version")).otherwise(F.raise_error(F.lit("calibrator version not supported")).cast("int")))
 

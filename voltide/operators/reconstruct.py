@@ -8,15 +8,22 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grid
 from .order import quantiles
+from .stage import beside, ddl, same, staged
+from .surface import finite, small
 
 LOW, HIGH, EMPTY = 1e-4, 10.0, 0.2
 SMOOTHING = 1e-3
-#: Coordinates of a group that one dense system takes: 5,000 are 200 MB.
-MAX_SITES = 5000
+#: Observed coordinates that one dense system takes: 3,000 are 72 MB.
+MAX_SITES = 3000
+#: Sites of a cell in the search for the nearest one, and places that a task holds against a cell at once.
+CELL_SITES, PLACES = 512, 8192
+#: Splines of large surfaces: sites of a cell, the sides around it from which its patch takes sites, the sites of a patch at most, the overlap in sides.
+PATCH_SITES, PATCH_MARGIN, PATCH_MOST, PATCH_OVERLAP = 256, 1.0, 2048, 0.25
 
 
 def reconstruct_mean(df: DataFrame, by: Sequence[str] = ("date",), out: str = "iv_pred") -> DataFrame:
@@ -37,43 +44,66 @@ def _sites(df: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _by_site(df: DataFrame, by: Sequence[str], fit, out: str) -> DataFrame:
-    """``df`` with the columns that ``fit`` finds for each coordinate of its group; ``out`` is their schema. One group is one call."""
-    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    at = _sites(df, by).groupBy(*by).applyInPandas(lambda pdf: pdf[[*by, "_x", "_y"]].assign(**fit(pdf)), f"{keys}, _x double, _y double, {out}")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
-    same += [F.col("l.log_moneyness").cast("double").eqNullSafe(F.col("r._x")), F.col("l.tau").cast("double").eqNullSafe(F.col("r._y"))]
-    found = [F.col(f"r.{c.split()[0].strip('`')}") for c in out.split(", ")]
-    return df.alias("l").join(at.alias("r"), reduce(and_, same)).select("l.*", *found)
+def _place(df: DataFrame, at: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``df`` with the columns that ``at`` has for its coordinates; null where it has no such row."""
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    on += [F.col("l.log_moneyness").cast("double").eqNullSafe(F.col("r._x")), F.col("l.tau").cast("double").eqNullSafe(F.col("r._y"))]
+    return df.alias("l").join(at.alias("r"), reduce(and_, on), "left").select("l.*", *(F.col(f"r.{c}") for c in columns))
 
 
-def site_distances(df: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
+def _finite() -> Column:
+    return finite(F.col("_x")) & finite(F.col("_y"))
+
+
+def _nearest_of(p: pd.DataFrame, sites: pd.DataFrame, others: bool) -> dict[str, np.ndarray]:
+    """For each place the distance, key and value of the nearest site, and with ``others`` of the nearest that is not at the place itself."""
+    sites = sites.sort_values("_key", kind="stable")
+    x, y, v, key = sites["_x"].to_numpy(float), sites["_y"].to_numpy(float), sites["_first"].to_numpy(float), sites["_key"].to_numpy()
+    a, b = p["_x"].to_numpy(float), p["_y"].to_numpy(float)
+    ends = ("", "_other") if others else ("",)
+    got = {f"{k}{e}": np.full(len(p), np.nan) for k in ("d", "v") for e in ends} | {f"k{e}": np.full(len(p), None, dtype=object) for e in ends}
+    block = max(1, (1 << 20) // max(len(sites), 1))
+    for lo in range(0, len(p) if len(sites) else 0, block):
+        q, r, at = a[lo : lo + block, None], b[lo : lo + block, None], slice(lo, lo + block)
+        d = np.sqrt((q - x) * (q - x) + (r - y) * (r - y))
+        for e in ends:
+            if e:
+                d = np.where((np.round(q, 10) == np.round(x, 10)) & (np.round(r, 10) == np.round(y, 10)), np.inf, d)
+            pick = d.argmin(axis=1)  # the first of equal ones: the least row_key
+            least = d[np.arange(len(d)), pick]
+            fine = np.isfinite(least)
+            got[f"d{e}"][at], got[f"k{e}"][at], got[f"v{e}"][at] = np.where(fine, least, np.nan), np.where(fine, key[pick], None), np.where(fine, v[pick], np.nan)
+    return got
+
+
+def site_distances(df: DataFrame, by: Sequence[str] = ("date",), others: bool = True, most: int = CELL_SITES) -> DataFrame:
     """Adds distance and nearest_iv of the nearest observed point of the same group, and distance_other and nearest_iv_other of the nearest
-    one that is not at the row's own coordinates, rounded to ten digits.
+    one that is not at the row's own coordinates, rounded to ten digits (with ``others``).
 
-    Distances are Euclidean in (log_moneyness, tau); ties go to the least row_key. Infinite distance and null without a point. The points
-    of a group are its distinct coordinates, compared in blocks of vectorised distances.
+    Distances are Euclidean in (log_moneyness, tau); ties go to the least row_key. Infinite distance and null without a point, or without
+    coordinates. Sites are the distinct coordinates with an observed point. A group's square is cut into cells of ``most`` sites; a place is held
+    against the cells that can hold its nearest site only, in tasks of one cell and some thousand places each, so no task holds a group.
     """
-
-    def fit(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        seen = pdf[pdf["_key"].notna()].sort_values("_key", kind="stable")
-        x, y, v = (seen[c].to_numpy(float) for c in ("_x", "_y", "_first"))
-        a, b = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)
-        got = {k: np.full(len(pdf), np.inf if k.startswith("d") else np.nan) for k in ("distance", "nearest_iv", "distance_other", "nearest_iv_other")}
-        block = max(1, (1 << 22) // max(len(seen), 1))
-        for lo in range(0, len(pdf) if len(seen) else 0, block):
-            p, q, at = a[lo : lo + block, None], b[lo : lo + block, None], slice(lo, lo + block)
-            d = np.sqrt((p - x) * (p - x) + (q - y) * (q - y))
-            d = np.where(np.isnan(d), np.inf, d)
-            own = (np.round(p, 10) == np.round(x, 10)) & (np.round(q, 10) == np.round(y, 10))
-            for end, dist in (("", d), ("_other", np.where(own, np.inf, d))):
-                pick = dist.argmin(axis=1)  # the first of equal ones: the least row_key
-                least = dist[np.arange(len(dist)), pick]
-                got[f"distance{end}"][at], got[f"nearest_iv{end}"][at] = least, np.where(np.isfinite(least), v[pick], np.nan)
-        return got
-
-    out = _by_site(df, by, fit, "distance double, nearest_iv double, distance_other double, nearest_iv_other double")
-    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("nearest_iv", "nearest_iv_other")})
+    by = list(by)
+    coords = staged(_sites(df, by).where(_finite()))
+    sites = coords.where("_key is not null").select(*by, "_x", "_y", "_key", "_first")
+    places = coords.select(*by, "_x", "_y")
+    ends = ("", "_other") if others else ("",)
+    found = ", ".join(f"d{e} double, k{e} string, v{e} double" for e in ends)
+    largest = sites.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= most:
+        keys, near = by, lambda p, q: p[[*by, "_x", "_y"]].assign(**_nearest_of(p, q, others))
+        at = beside(places, sites, keys, PLACES, near, f"{ddl(places, by)}, _x double, _y double, {found}")
+    else:
+        placed = grid.cut(sites, by, most)
+        pairs = staged(grid.within_reach(places, staged(grid.cells(placed, by)), by, others))
+        near = lambda p, q: p[[*by, "_x", "_y"]].assign(**_nearest_of(p, q, others))
+        each = beside(pairs, placed.select(*by, *grid.CELL, "_x", "_y", "_key", "_first"), [*by, *grid.CELL], PLACES, near, f"{ddl(places, by)}, _x double, _y double, {found}")
+        best = [F.min(F.when(F.col(f"d{e}").isNotNull(), F.struct(f"d{e}", f"k{e}", f"v{e}"))).alias(f"b{e}") for e in ends]
+        at = each.groupBy(*by, "_x", "_y").agg(*best).select(*by, "_x", "_y", *(F.col(f"b{e}.{k}{e}").alias(f"{k}{e}") for e in ends for k in "dv"))
+    out = _place(df, at, by, [f"{k}{e}" for e in ends for k in "dv"])
+    clean = {f"distance{e}": F.coalesce(F.nanvl(f"d{e}", F.lit(None)), F.lit(float("inf"))) for e in ends} | {f"nearest_iv{e}": F.nanvl(f"v{e}", F.lit(None).cast("double")) for e in ends}
+    return out.select(*df.columns, *(c.alias(n) for n, c in clean.items()))
 
 
 def nearest_observed(df: DataFrame, mode: str = "naive", by: Sequence[str] = ("date",)) -> DataFrame:
@@ -84,10 +114,10 @@ def nearest_observed(df: DataFrame, mode: str = "naive", by: Sequence[str] = ("d
     """
     if mode not in ("naive", "dedup", "exclude_same_key"):
         raise ValueError(f"unknown mode: {mode}")
-    out = site_distances(df, by)
+    out = site_distances(df, by, mode == "exclude_same_key")
     if mode == "exclude_same_key":
-        out = out.withColumns({"distance": F.col("distance_other"), "nearest_iv": F.col("nearest_iv_other")})
-    return out.drop("distance_other", "nearest_iv_other")
+        out = out.withColumns({"distance": F.col("distance_other"), "nearest_iv": F.col("nearest_iv_other")}).drop("distance_other", "nearest_iv_other")
+    return out
 
 
 def reconstruct_nearest(df: DataFrame, by: Sequence[str] = ("date",), out: str = "iv_pred") -> DataFrame:
@@ -98,6 +128,36 @@ def reconstruct_nearest(df: DataFrame, by: Sequence[str] = ("date",), out: str =
     return near.join(n, list(by)).withColumn(out, F.least(F.greatest(value, F.lit(LOW)), F.lit(HIGH))).drop("_n", "_mean", "distance", "nearest_iv")
 
 
+def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    r2 = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+    return 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1.0))
+
+
+def _plane(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    shift, scale = x.mean(axis=0), np.where(np.ptp(x, axis=0) > 0, np.ptp(x, axis=0) / 2, 1.0)
+    return np.column_stack([np.ones(len(p)), (p - shift) / scale])
+
+
+def _system(k: np.ndarray, plane: np.ndarray, smoothing: np.ndarray) -> np.ndarray:
+    m = len(k)
+    a = np.zeros((m + 3, m + 3))
+    a[:m, :m] = k
+    a[np.arange(m), np.arange(m)] += smoothing
+    a[:m, m:] = plane
+    a[m:, :m] = plane.T
+    return a
+
+
+def _solved(a: np.ndarray, right: np.ndarray) -> np.ndarray:
+    try:
+        w = np.linalg.solve(a, right)
+        if np.isfinite(w).all():
+            return w
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(a, right, rcond=None)[0]
+
+
 def thin_plate(x: np.ndarray, v: np.ndarray, q: np.ndarray, smoothing: float = SMOOTHING, weight: np.ndarray | None = None) -> np.ndarray:
     """Smoothed thin-plate spline with a plane, r^2 log r, at the points q.
 
@@ -108,64 +168,145 @@ def thin_plate(x: np.ndarray, v: np.ndarray, q: np.ndarray, smoothing: float = S
     sites, inverse = np.unique(x, axis=0, return_inverse=True)
     n = np.bincount(inverse.ravel(), weights=weight)
     v = np.bincount(inverse.ravel(), weights=v * weight) / n
-    x = sites
-    if len(x) < 3:
+    x, m = sites, len(sites)
+    if m < 3:
         return np.full(len(q), (v * n).sum() / n.sum())
-    shift, scale = x.mean(axis=0), np.where(np.ptp(x, axis=0) > 0, np.ptp(x, axis=0) / 2, 1.0)
-
-    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        r2 = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-        return 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1.0))
-
-    plane = lambda p: np.column_stack([np.ones(len(p)), (p - shift) / scale])
-    m = len(x)
-    a = np.zeros((m + 3, m + 3))
-    a[:m, :m] = kernel(x, x) + np.diag(smoothing / n)
-    a[:m, m:] = plane(x)
-    a[m:, :m] = a[:m, m:].T
-    right = np.concatenate([v, np.zeros(3)])
-    try:
-        w = np.linalg.solve(a, right)
-        if not np.isfinite(w).all():
-            raise np.linalg.LinAlgError
-    except np.linalg.LinAlgError:
-        w = np.linalg.lstsq(a, right, rcond=None)[0]
+    w = _solved(_system(_kernel(x, x), _plane(x, x), smoothing / n), np.concatenate([v, np.zeros(3)]))
     out = np.empty(len(q))
     for lo in range(0, len(q), 1024):
         p = q[lo : lo + 1024]
-        out[lo : lo + 1024] = kernel(p, x) @ w[:m] + plane(p) @ w[m:]
+        out[lo : lo + 1024] = _kernel(p, x) @ w[:m] + _plane(p, x) @ w[m:]
     return out
 
 
-def _local(x: np.ndarray, v: np.ndarray, n: np.ndarray, q: np.ndarray, smoothing: float, neighbors: int) -> np.ndarray:
-    """A spline of its own for each point of q, over the nearest sites."""
-    out = np.full(len(q), np.nan)
-    for i in np.flatnonzero(np.isfinite(q).all(axis=1)):
-        near = np.argpartition(((x - q[i]) ** 2).sum(axis=1), neighbors - 1)[:neighbors]
-        out[i] = thin_plate(x[near], v[near], q[i : i + 1], smoothing, n[near])[0]
+def thin_plates(x: np.ndarray, v: np.ndarray, n: np.ndarray, q: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """Splines of several variants over the same sites: v and n have a row for each variant, n is 0 where it has no point; a row of values for each.
+
+    The kernel between sites and to q is made once, and the variant of most points is factorised once. Another one whose sites differ from that in
+    a minority of rows follows by an update of that size (a site without points is a diagonal without bound); others are solved on their own sites.
+    """
+    m, out = len(x), np.full((len(v), len(q)), np.nan)
+    k, plane = _kernel(x, x), _plane(x, x)
+    weights = np.zeros((len(v), m + 3))
+    base = int((n > 0).sum(axis=1).argmax())
+    own = np.flatnonzero(n[base] > 0)
+    inverse, kernel = None, k if len(own) == m else k[np.ix_(own, own)]
+    for i in range(len(v)):
+        s = np.flatnonzero(n[i] > 0)
+        if len(s) < 3:
+            if len(s):
+                out[i] = (v[i, s] * n[i, s]).sum() / n[i, s].sum()
+            continue
+        changed = np.flatnonzero(n[i, own] != n[base, own])
+        right = np.concatenate([v[i, s], np.zeros(3)])
+        a = None
+        if len(v) > 1 and len(changed) * 3 <= len(own) and np.isin(s, own).all():
+            if inverse is None:
+                try:
+                    inverse = np.linalg.inv(_system(kernel, plane[own], smoothing / n[base, own]))
+                except np.linalg.LinAlgError:
+                    inverse = False
+            if inverse is not False:
+                left = n[i, own] > 0
+                full = np.zeros(len(own) + 3)
+                full[: len(own)][left] = v[i, s]
+                step = 1.0 / (smoothing / n[i, own[changed]][left[changed]] - smoothing / n[base, own[changed]][left[changed]])
+                gain = np.zeros(len(changed))
+                gain[left[changed]] = step
+                core = inverse[np.ix_(changed, changed)] + np.diag(gain)
+                w = np.zeros(len(own) + 3)
+                diagonal = np.where(left, smoothing / np.maximum(n[i, own], 1e-300), 0.0)
+                for _ in range(2):  # the update, and what rounding has left
+                    rest = full - np.concatenate([kernel @ w[:-3] + diagonal * w[:-3] + plane[own] @ w[-3:], plane[own].T @ w[:-3]])
+                    rest[: len(own)][~left] = 0.0
+                    y = inverse @ rest
+                    if len(changed):
+                        y = y - inverse[:, changed] @ np.linalg.solve(core, y[changed])
+                    y[: len(own)][~left] = 0.0
+                    w += y
+                if np.isfinite(w).all():
+                    a = w
+                    weights[i, own], weights[i, m:] = a[:-3], a[-3:]
+        if a is None:
+            # the plane of the sites of all variants: the same space of planes
+            a = _solved(_system(k[np.ix_(s, s)], plane[s], smoothing / n[i, s]), right)
+            weights[i, s], weights[i, m:] = a[:-3], a[-3:]
+    fitted = np.flatnonzero((n > 0).sum(axis=1) >= 3)
+    for lo in range(0, len(q) if len(fitted) else 0, 1024):
+        p = q[lo : lo + 1024]
+        out[fitted, lo : lo + 1024] = weights[fitted] @ np.hstack([_kernel(p, x), _plane(p, x)]).T
     return out
 
 
-def reconstruct_rbf(df: DataFrame, by: Sequence[str] = ("date",), smoothing: float = SMOOTHING, out: str = "iv_pred", neighbors: int | None = None) -> DataFrame:
-    """Thin-plate spline of each date's observed points at all its points, within [1e-4, 10]; the mean under three points, 0.2 without any.
+def reconstruct_rbf(df: DataFrame, by: Sequence[str] = ("date",), smoothing: float = SMOOTHING, out: str = "iv_pred", variants: Sequence[str] = (), dense: int = MAX_SITES, patch: int = PATCH_SITES) -> DataFrame:
+    """Thin-plate spline of each surface's observed points at all its points, within [1e-4, 10]; the mean under three points, 0.2 without any.
 
-    One group is one solve over its distinct coordinates, MAX_SITES of them at most (the system is dense): more are an error unless
-    ``neighbors`` is given, with which each coordinate has a spline over so many nearest sites where a group has more than that.
+    ``variants`` are columns that tell further surfaces over the same places apart (draws, rungs of a ladder): those of one ``by`` share their kernel
+    and one factorisation. A surface of up to ``dense`` coordinates is one system. A larger one is cut into square cells of ``patch`` sites; each has
+    a spline over its own sites and the nearest ones around it, up to PATCH_MOST, and values are blended where cells meet. Against the one system
+    the median difference is below 1e-8, with up to some 1e-4 along the outer border. No task holds a large surface's places, or systems beyond these sizes.
     """
-
-    def fit(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        seen = pdf[(pdf["_n"] > 0) & pdf["_x"].notna() & pdf["_y"].notna()]
-        x, v, n = seen[["_x", "_y"]].to_numpy(float), seen["_mean"].to_numpy(float), seen["_n"].to_numpy(float)
-        q = pdf[["_x", "_y"]].to_numpy(float)
-        if n.sum() < 3:
-            return {out: np.full(len(pdf), (v * n).sum() / n.sum() if len(seen) else EMPTY)}
-        if neighbors is not None and len(x) > neighbors:
-            return {out: np.clip(_local(x, v, n, q, smoothing, neighbors), LOW, HIGH)}
-        if len(x) > MAX_SITES:
-            raise ValueError(f"{len(x)} coordinates in one group: give neighbors")
-        return {out: np.clip(thin_plate(x, v, q, smoothing, n), LOW, HIGH)}
-
-    return _by_site(df.drop(out), by, fit, f"`{out}` double")
+    by, own = list(by), [*by, *variants]
+    coords = staged(_sites(df, own).where(_finite()))
+    seen = coords.where("_n > 0").select(*own, "_x", "_y", F.col("_n").cast("double").alias("_n"), "_mean")
+    sites = seen.select(*by, "_x", "_y").distinct().groupBy(*by).agg(F.count("*").alias("_m"))
+    large = staged(sites.where(F.col("_m") > dense).drop("_m"))
+    split = not large.isEmpty()
+    few, many = (coords, None) if not split else (_of(coords, large, by, "left_anti"), _of(coords, large, by, "left_semi"))
+    places = few.select(*by, "_x", "_y").distinct() if variants else few.select(*by, "_x", "_y")
+    points = seen if not split else _of(seen, large, by, "left_anti")
+
+    def fit(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        q, each = p[["_x", "_y"]].to_numpy(float), []
+        if not len(s):
+            return pd.DataFrame({c: [] for c in [*own, "_x", "_y", "_v"]})
+        x, at = np.unique(s[["_x", "_y"]].to_numpy(float), axis=0, return_inverse=True)
+        names = s[list(variants)].drop_duplicates().reset_index(drop=True) if variants else pd.DataFrame(index=[0])
+        row = s[list(variants)].merge(names.reset_index(), on=list(variants), how="left")["index"].to_numpy() if variants else np.zeros(len(s), dtype=int)
+        v, n = np.zeros((len(names), len(x))), np.zeros((len(names), len(x)))
+        v[row, at.ravel()], n[row, at.ravel()] = s["_mean"].to_numpy(float), s["_n"].to_numpy(float)
+        got = thin_plates(x, v, n, q, smoothing)
+        few_points = n.sum(axis=1) < 3
+        got[few_points] = ((v * n).sum(axis=1) / np.maximum(n.sum(axis=1), 1))[few_points, None]
+        for i in range(len(names)):
+            part = p[[*by, "_x", "_y"]].assign(_v=got[i])
+            for c in variants:
+                part[c] = names[c].iloc[i]
+            each.append(part[[*own, "_x", "_y", "_v"]])
+        return pd.concat(each)
+
+    schema = f"{ddl(coords, own)}, _x double, _y double, _v double"
+    at = beside(places, points, by, PLACES, fit, schema)
+    if split:
+        at = at.unionByName(_patched(many, _of(seen, large, by, "left_semi"), own, smoothing, patch, schema))
+    done = _place(df.drop(out), at, own, ["_v"])
+    return done.withColumn(out, F.when(F.col("_v").isNotNull(), F.least(F.greatest("_v", F.lit(LOW)), F.lit(HIGH))).when(_coordinates(), F.lit(EMPTY))).drop("_v")
+
+
+def _coordinates() -> Column:
+    return finite(F.col("log_moneyness").cast("double")) & finite(F.col("tau").cast("double"))
+
+
+def _of(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    return df.alias("l").join(small(groups).alias("r"), same("l", "r", by), how)
+
+
+def _patched(coords: DataFrame, seen: DataFrame, by: Sequence[str], smoothing: float, patch: int, schema: str) -> DataFrame:
+    """Values of large surfaces at all their places, blended from splines of cells."""
+    cell = [*by, *grid.CELL]
+    placed = grid.cut(seen, by, patch)
+    found = staged(grid.cells(placed, by))
+    near = grid.around(seen, found, by, PATCH_MARGIN)
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy("_e", "_x", "_y"))).where(F.col("_r") <= PATCH_MOST)
+    sites = near.alias("l").join(seen.alias("r"), same("l", "r", [*by, "_x", "_y"])).select(*(F.col(f"l.{c}") for c in [*cell, "_x", "_y"]), "_n", "_mean")
+    pairs = staged(grid.blended(coords.select(*by, "_x", "_y"), found, by, PATCH_OVERLAP))
+
+    def fit(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        v = thin_plate(s[["_x", "_y"]].to_numpy(float), s["_mean"].to_numpy(float), p[["_x", "_y"]].to_numpy(float), smoothing, s["_n"].to_numpy(float))
+        return p[[*by, "_x", "_y"]].assign(_v=v * p["_w"].to_numpy(float))
+
+    each = beside(pairs, staged(sites), cell, PLACES, fit, schema)
+    return each.groupBy(*by, "_x", "_y").agg(F.sum("_v").alias("_v"))
 
 
 def add_prior(df: DataFrame, target: str = "iv_clean") -> DataFrame:
@@ -199,8 +340,6 @@ def coordinate_regression(df: DataFrame, target: str = "implied_volatility", out
 
 def mask_resample(df: DataFrame, draws: int, fraction: float, seed: int = 7) -> DataFrame:
     """``draws`` copies of the table, in each of which max(1, round(fraction * n)) of each date's n observed rows stay observed."""
-    from pyspark.sql import Window
-
     from ..functions.rng import key_uniform
 
     copies = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
@@ -214,7 +353,11 @@ def mask_resample(df: DataFrame, draws: int, fraction: float, seed: int = 7) ->
 Predictor = Callable[[DataFrame, Sequence[str]], DataFrame]
 #: A table and a column ``draw`` to the same rows with fewer of them observed.
 Masking = Callable[[DataFrame], DataFrame]
-PREDICTORS: dict[str, Predictor] = {"mean": reconstruct_mean, "nearest": reconstruct_nearest, "rbf": reconstruct_rbf}
+PREDICTORS: dict[str, Predictor] = {
+    "mean": reconstruct_mean,
+    "nearest": reconstruct_nearest,
+    "rbf": lambda df, by: reconstruct_rbf(df, by[:1], variants=by[1:]),  # what further columns tell apart shares its places
+}
 NEEDED = ("row_key", "log_moneyness", "tau", "observed", "implied_volatility")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import key_uniform
 from .reconstruct import Predictor, predicted
+from .stage import staged
 
 REGIMES = ("fewer_quotes", "thin_wings", "missing_maturities", "combined_quotes_wings")
 INTENSITIES = (0.0, 0.2, 0.4, 0.6, 0.8)
@@ -77,6 +78,16 @@ def reconstruct(swept: DataFrame, how: str | Predictor = "rbf") -> DataFrame:
     return rows.where("rung_index = 0").join(dense, "row_key").unionByName(sparse.select(*rows.columns, "iv_pred"))
 
 
+def compared(swept: DataFrame, model: str | Predictor, base: str | Predictor) -> DataFrame:
+    """The swept table with the predictions of both at each rung (mu_hybrid, rbf_pred), as ``infer.trajectory`` takes it.
+
+    The table is written by date once, so that both reconstructions and the comparison read that and not what made it.
+    """
+    table = staged(swept.repartition("date"))
+    a, b = reconstruct(table, model).withColumnRenamed("iv_pred", "mu_hybrid"), reconstruct(table, base).select("regime", "rung_index", "row_key", F.col("iv_pred").alias("rbf_pred"))
+    return a.join(b, ["regime", "rung_index", "row_key"])
+
+
 def accumulate(pred: DataFrame, target: str = "iv_clean") -> DataFrame:
     """Errors by regime and rung: sums skip predictions that are not finite, counts don't."""
     e = F.col("iv_pred") - F.col(target)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import MATURITY, MONEYNESS, WINGS, bucket, maturity, moneyness, sql_bucket
 from ..operators import audit, explore, surface as S
+from ..operators.stage import scratch
 from ..sources import files, payload
 from . import adapters as A
 from .registry import query
@@ -52,10 +53,26 @@ def _(s, d):
     return A.table(s, d, "events").select("event_id", payload.to_double(F.col("event_type")).alias("as_double"), payload.to_long(F.get_json_object("props", "$.k")).alias("as_long"))
 
 
-@query("chain_empty_payload")
+EMPTY_KINDS = ("empty list", "null list", "no list", "null body", "empty body", "broken")
+
+
+@query(
+    "chain_empty_payload",
+    f"""select kind, count(*) as n_payloads, count(*) filter (kind = 'full') as n_rows, {len(payload.CHAIN.split(", "))} as n_columns from (
+    select case when event_id % 10 = 0 or json_extract_string(props, '$.k') is null then 'refused or null' when event_id % 7 < 6 then (array[{", ".join(f"'{k}'" for k in EMPTY_KINDS)}])[cast(event_id % 7 + 1 as int)] else 'full' end as kind from events) group by 1""",
+    base=False,
+)
 def _(s, d):
-    empty = A.table(s, d, "events").select(F.concat(F.lit('{"data":[]}'), F.substring("props", 1, 0)).alias("body"))
-    return payload.chain_from_json(empty).agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(payload.empty_chain(s).columns)))
+    full = events(s, d)
+    odd = (F.lit('{"data":[]}'), F.lit('{"data":null}'), F.lit('{"endpoint":"chain"}'), F.lit(None).cast("string"), F.lit(""), F.lit('{"data":[{"contractID":"C'))
+    other = F.col("body").isNull() | (F.col("event_id") % 10 == 0)
+    at = (F.col("event_id") % 7 + 1).cast("int")
+    kind = F.when(other, "refused or null").when(at < 7, F.element_at(F.array(*map(F.lit, EMPTY_KINDS)), at)).otherwise("full")
+    mixed = full.select("event_id", kind.alias("kind"), F.when(other | (at == 7), F.col("body")).otherwise(F.element_at(F.array(*odd, F.lit("")), at)).alias("body"))
+    rows = payload.chain_from_json(mixed)
+    given = rows.where("contract_id is not null").groupBy(F.substring("contract_id", 2, 20).cast("bigint").alias("event_id")).agg(F.count("*").alias("rows"))
+    out = mixed.join(given, "event_id", "left").groupBy("kind").agg(F.count("*").alias("n_payloads"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"))
+    return out.withColumn("n_columns", F.lit(len(rows.columns)))
 
 
 @query("chain_error_payload", "select event_id % 10 = 0 as refused, count(*) as n from events group by 1", base=False)
@@ -92,12 +109,8 @@ def _(s, d):
 
 
 def _scratch(s: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: beside the checkpoints, or in the temp folder where no such is set (tests)."""
-    import tempfile
-    import uuid
-
-    top = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voltide-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return scratch(s, name)
 
 
 @query("scan_predictions_csv", "select row_key, iv_pred from predictions", "iv_pred")

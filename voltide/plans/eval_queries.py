@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.buckets import MATURITY, MONEYNESS, WINGS, maturity, moneyness, sql_bucket
 from ..functions.normal import sql_cdf, sql_priced
 from ..functions.rng import sql_normal, sql_uniform
-from ..operators import abstain, audit, benchmark as B, calibrate, decide, explore, infer, metrics as M, noarb, predictions as P, reconstruct as R, spectrum, surface as S, sweep as W
+from ..operators import abstain, audit, benchmark as B, calibrate, decide, diagnostics, explore, infer, metrics as M, noarb, predictions as P, reconstruct as R, spectrum, surface as S, sweep as W
 from . import adapters as A
 from .data_queries import _otm
 from .registry import query
@@ -486,7 +486,7 @@ def _(s, d):
 
 # ---- calibration and decisions
 
-Z = repr(M.gaussian_z(0.9)) + "E0"
+Z, Z80 = (repr(M.gaussian_z(a)) + "E0" for a in (0.9, 0.8))
 
 
 @query("gaussian_band", f"select row_key, iv_pred - {Z} * sigma as lower, iv_pred + {Z} * sigma as upper from predictions", "lower upper")
@@ -547,6 +547,12 @@ def _(s, d):
     return applied(s, d).select("row_key", "lower", "upper", "uncertainty", "confidence_score")
 
 
+@query("calibrator_alpha", f"{APPLIED.replace(Z, Z80).replace('9E-1 * n', '8E-1 * n')} select row_key, lower, upper, uncertainty from applied", "lower upper uncertainty")
+def _(s, d):
+    e = ensemble(s, d)
+    return calibrate.apply(e.drop("uncertainty"), calibrate.fit(e.where("split = 'val'"), alpha=0.8)).select("row_key", "lower", "upper", "uncertainty")
+
+
 def applied(s: SparkSession, d: str) -> DataFrame:
     e = ensemble(s, d)
     return calibrate.apply(e.drop("uncertainty"), calibrate.fit(e.where("split = 'val'")))
@@ -859,10 +865,29 @@ def _(s, d):
     return noarb.summary(preds(s, d), by=("split", "date")).select("split", "date", F.col("total_n_viol").alias("n_viol"))
 
 
-@query("diagnostics_rollup", f"{CAL} select split, avg(r) as mean_rate from (select date, count(*) filter (v) / nullif(cast(count(d) as double), 0E0) as r from calv group by 1) join split_map using (date) group by 1", "mean_rate")
+def _sql_rates(table: str, model: str) -> str:
+    """Mean rate over dates of the calendar check and of the monotonicity check on a table (row_key, date, split, tau, log_moneyness, spot, implied_volatility)."""
+    cal = CAL.replace("from surface", f"from {table}").replace("cal as", f"cal_{model} as", 1).replace("calv as", f"calv_{model} as").replace("from cal)", f"from cal_{model})")
+    mono = MONO.replace("surface", table).replace("mono as", f"mono_{model} as", 1).replace("monov as", f"monov_{model} as").replace("from mono)", f"from mono_{model})")
+    return cal + mono
+
+
+MODELS_SQL = f"""{NEARSENS}{SENS.removeprefix(DRAWS)}, near1 as (select q.row_key, min({DIST}) as distance, arg_min(o.implied_volatility, ({DIST}, o.row_key)) as nearest_iv from predictions q join predictions o on q.date = o.date and o.observed group by 1),
+m_mean as (select * replace ({MEANREC} as implied_volatility) from predictions window d as (partition by date)),
+mm as (select date, count(*) filter (observed) as n, coalesce(avg(implied_volatility) filter (observed), 2E-1) as mean from predictions group by 1),
+m_nearest as (select p.* replace (least(greatest(case when n < 3 then mean else nearest_iv end, 1E-4), 1E1) as implied_volatility) from predictions p left join near1 using (row_key) join mm on mm.date = p.date)
+{_sql_rates('m_mean', 'mean')}{_sql_rates('m_nearest', 'nearest')}"""
+
+
+def _sql_model(model: str, sens: str) -> str:
+    rate = lambda t, name: f"select split, '{name}' as metric, avg(r) as v from (select split, date, count(*) filter (v) / nullif(cast(count(d) as double), 0E0) as r from {t}_{model} group by 1, 2) group by 1"
+    return f"{rate('calv', 'calendar_rate')} union all {rate('monov', 'monotonicity_rate')} union all select split, 'instability', avg(std_pred) from {sens} join predictions using (row_key) group by 1"
+
+
+@query("diagnostics_rollup", f"{MODELS_SQL} select a.split, a.metric, a.v as mean, b.v as nearest from ({_sql_model('mean', 'sens')}) a join ({_sql_model('nearest', 'nsens')}) b using (split, metric)", "mean nearest")
 def _(s, d):
-    one = noarb.calendar_check(preds(s, d)).groupBy("split", "date").agg(F.try_divide(F.count_if("calendar_violation"), F.count_if("calendar_eval")).alias("r"))
-    return one.groupBy("split").agg(F.avg("r").alias("mean_rate"))
+    done = diagnostics.rollup(preds(s, d), {"mean": "mean", "nearest": "nearest"}, draws=4)
+    return done.where("metric <> 'convexity_rate'")
 
 
 # ---- inference
@@ -904,6 +929,21 @@ def _(s, d):
     return traj(s, d).select("regime", "rung_index", "intensity", "rbf_mae", "hybrid_mae", "rel_edge_pct", "rel_edge_pct_query", "n_rows", "ci_low", "ci_high", "significant")
 
 
+RUNGSQL = f"""{SWEEP.replace("select r.row_key, r.date,", "select r.row_key, r.date, r.log_moneyness, r.tau, r.implied_volatility,")}, ro as (select date, regime, rung_index, log_moneyness, tau, min(row_key) as k, arg_min(implied_volatility, row_key) as iv from swept where retained group by all),
+rq as (select distinct date, regime, rung_index, log_moneyness, tau from swept),
+rn as (select q.date, q.regime, q.rung_index, q.log_moneyness, q.tau, arg_min(o.iv, ({DIST}, o.k)) as iv from rq q join ro o on q.date = o.date and q.regime = o.regime and q.rung_index = o.rung_index group by all),
+rm as (select date, regime, rung_index, count(*) filter (retained) as n, coalesce(avg(implied_volatility) filter (retained), 2E-1) as mean from swept group by all),
+tr as (select s.regime, s.rung_index, s.date, s.intensity, s.observed, abs(m.mean - iv_clean) as er, abs(least(greatest(case when m.n < 3 then m.mean else coalesce(x.iv, m.mean) end, 1E-4), 1E1) - iv_clean) as eh
+  from swept s join rm m on m.date = s.date and m.regime = s.regime and m.rung_index = s.rung_index left join rn x on x.date = s.date and x.regime = s.regime and x.rung_index = s.rung_index and x.log_moneyness = s.log_moneyness and x.tau = s.tau),
+traj as (select regime, rung_index, avg(er) as base_mae, avg(eh) as model_mae, (avg(er) - avg(eh)) / avg(er) * 1E2 as rel_edge_pct, count(*) as n_rows from tr group by 1, 2)"""
+
+
+@query("trajectory_reconstructed", f"{RUNGSQL} select * from traj", "base_mae model_mae rel_edge_pct")
+def _(s, d):
+    t = infer.trajectory(W.compared(swept(s, d), "nearest", "mean"), n_boot=100)
+    return t.select("regime", "rung_index", F.col("rbf_mae").alias("base_mae"), F.col("hybrid_mae").alias("model_mae"), "rel_edge_pct", "n_rows")
+
+
 PER = "per as (select regime, arg_min(rel_edge_pct, rung_index) as dense, arg_max(rel_edge_pct, rung_index) as sparse, arg_max(significant, rung_index) as sig, max(rel_edge_pct) as top from {t} group by 1)"
 VERDICT = "select survives, retired, case when survives then 'true' when retired then 'false' else 'ambiguous' end as verdict from (select coalesce(bool_and(sparse - dense >= 1E0 and sig and sparse >= 5E0) filter (regime in ('thin_wings', 'combined_quotes_wings')), false) as survives, max(top) <= 2E0 as retired from per)"
 
@@ -995,10 +1035,37 @@ def _(s, d):
     top = _scratch(s, "stream")
     events(s, d).where("body is not null").select("body").repartition(4).write.json(f"{top}/landing")
     stream_chain_ingest(s, f"{top}/landing", f"{top}/out", f"{top}/checkpoint", max_files=2)
+    # a pull that is made again lands a part of its payloads twice
+    again = events(s, d).where("body is not null and event_id % 10 <> 0 and event_id % 3 = 0").select("body")
+    again.unionByName(again).repartition(2).write.mode("append").json(f"{top}/landing")
+    stream_chain_ingest(s, f"{top}/landing", f"{top}/out", f"{top}/checkpoint", max_files=2)
     rows = s.read.parquet(f"{top}/out").where("contract_id is not null").agg(F.count("*").alias("n_rows"))
     return rows.crossJoin(s.read.parquet(f"{top}/out_rejects").agg(F.count("*").alias("n_rejects")))  # one row each
 
 
+#: A twentieth of the rows comes when its date has been closed.
+LATE = f"{sql_uniform('late')} < 5E-2 and date < (select max(date) from surface_all)"
+LATE_OTM = _otm("").replace("spread_rows as (select *", f"spread_rows as (select * from (select *", 1).replace("as spread from surface)", f"as spread from surface) where not ({LATE.replace('surface_all', 'surface')}))", 1)
+
+
+@query("stream_late_rows", f"{LATE_OTM} select 'emitted' as kind, date, count(*) as n from built where date < (select max(date) from surface) group by 2 union all select 'late', date, count(*) from surface where {LATE.replace('surface_all', 'surface')} group by 2", base=False)
+def _(s, d):
+    from ..functions.rng import key_uniform
+    from ..streaming.jobs import stream_date_close
+    from .data_queries import _scratch
+
+    top = _scratch(s, "stream")
+    q = A.surface(s, d)
+    last = q.agg(F.max("date").alias("_last"))
+    rows = q.crossJoin(F.broadcast(last)).withColumn("_late", (key_uniform("row_key", "late") < 0.05) & (F.col("date") < F.col("_last")))  # one row
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema)
+    for late in (False, True):  # and the stream is started again in between
+        rows.where(F.col("_late") == late).select(*q.columns).coalesce(1).write.mode("append").parquet(f"{top}/landing")
+        stream_date_close(s, f"{top}/landing", schema, f"{top}/out", f"{top}/checkpoint", max_files=1)
+    count = lambda path, kind: s.read.parquet(path).groupBy("date").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "date", "n")
+    return count(f"{top}/out", "emitted").unionByName(count(f"{top}/out_late", "late"))
+
+
 @query("stream_date_close", _otm("select date, count(*) as n from built where date < (select max(date) from built) group by 1"), base=False)
 def _(s, d):
     from ..streaming.jobs import stream_date_close
