@@ -245,7 +245,8 @@ def frequencies(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARD
     key = F.col("key").cast("string")
     phrase = F.substring_index(key, "\n", -1)
     named = counts.select(key.alias("key"), phrase.alias("phrase"), k.alias("k"), F.col("v").alias("f")).selectExpr("substring(key, 1, length(key) - length(phrase) - 1) as lang", "phrase", "k", "f")
-    return named.where("k > 0"), named.where("k = 0").select("lang", F.col("f").alias("n"))
+    # longer phrases that are rare are still there if the scans ended before the fourth cycle did
+    return named.where((F.col("k") > 0) & (F.col("f") >= threshold)), named.where("k = 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, top: int = TOP, shards: int = SHARDS, bits: int = FILTER_BITS) -> DataFrame:
