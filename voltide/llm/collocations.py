@@ -48,9 +48,11 @@ class Filter:
             yield (h + U64(k) * step) & U64(bits - 1)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), dtype=bool)
-        for at in self.places(h, self.bits):
-            out &= (self.slots[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & _ODD).astype(bool)
+        left, out = np.arange(len(h)), np.zeros(len(h), dtype=bool)
+        for at in self.places(h, self.bits):  # after the first, only what may still be there
+            at = at[left]
+            left = left[(self.slots[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & _ODD).astype(bool)]
+        out[left] = True
         return out
 
     def add(self, slots: np.ndarray, bits: np.ndarray) -> None:
@@ -121,35 +123,35 @@ class Group:
             return
         h1 = word_hashes(words, lang, langs)
         known, new = every.holds(h1), recent.holds(h1)
-        # phrases of k words at their first word: their numbers, hashes, whether they have reached the threshold, and lately
-        here, code, h = np.arange(n), ids, h1[ids]
+        # phrases of k words at their first word: their hashes, whether they have reached the threshold, and lately
+        here, h = np.arange(n), h1[ids]
         reached, lately = known[ids], new[ids]
         piece = np.repeat(np.arange(len(self.lens)), self.lens)
-        parts = [np.arange(len(words))]
         for k in range(2, LONGEST + 1):
             ok, fresh = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
             ok[here[reached]], fresh[here[lately]] = True, True
             keep = reached & ok[here + 1] & (here + k - 1 < n)
             keep &= piece[here] == piece[np.minimum(here + k - 1, n - 1)]
-            here, code, h = here[keep], code[keep], h[keep]
+            here, h = here[keep], h[keep]
             if not len(here):
                 return
-            last = ids[here + k - 1]
-            count_it = fresh[here] | fresh[here + 1]
+            at = here[fresh[here] | fresh[here + 1]]
+            if len(at):
+                yield out(*_counted(ids, at, k, len(words)))
             if k < LONGEST:
-                h = longer(h, h1[last])
-                found, code, times = np.unique(code * len(words) + last, return_inverse=True, return_counts=True)
+                h = longer(h, h1[ids[here + k - 1]])
                 reached = every.holds(h)
-                lately = reached & recent.holds(h)
-                wanted = np.zeros(len(found), dtype=bool)
-                wanted[code[count_it]] = True
-                parts = [p[found // len(words)] for p in parts] + [found % len(words)]
-                if wanted.any():
-                    yield out(parts[0][wanted], [p[wanted] for p in parts[1:]], times[wanted])
-            elif count_it.any():
-                found, times = np.unique(code[count_it] * len(words) + last[count_it], return_counts=True)
-                parts = [p[found // len(words)] for p in parts] + [found % len(words)]
-                yield out(parts[0], parts[1:], times)
+                lately = np.zeros(len(h), dtype=bool)
+                lately[reached] = recent.holds(h[reached])
+
+
+def _counted(ids: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The distinct runs of k words that begin at ``at``: their first words, their further words, and how often each is there."""
+    code, parts = ids[at], []
+    for j in range(1, k):
+        found, code, times = np.unique(code * n_words + ids[at + j], return_inverse=True, return_counts=True)
+        parts = [p[found // n_words] for p in parts or [np.arange(n_words)]] + [found % n_words]
+    return parts[0], parts[1:], times
 
 
 def scanned(shard: DataFrame, words_too: bool, every, recent, group_bytes: int = GROUP_BYTES) -> DataFrame:
