@@ -77,9 +77,12 @@ def maturity_mask(region: str, short: float = 30 / 365, long: float = 1.0) -> Co
 def maturity_slice(df: DataFrame, seed: int = 42, bins: int = 10) -> DataFrame:
     """Adds ``observed``, false in one of ten equal slices of tau, which the seed picks."""
     edge = df.agg(F.min("tau").alias("_lo"), F.max("tau").alias("_hi"))
+    return df.crossJoin(F.broadcast(edge)).withColumn("observed", _outside_slice(seed, bins)).drop("_lo", "_hi")  # edge is one row
+
+
+def _outside_slice(seed: int, bins: int = 10) -> Column:
     slot = F.least(F.greatest(F.coalesce(F.floor((F.col("tau") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins), F.lit(0)), F.lit(0)), F.lit(bins - 1))
-    gone = F.floor(key_uniform(F.lit("slice"), str(seed)) * bins)
-    return df.crossJoin(F.broadcast(edge)).withColumn("observed", slot != gone).drop("_lo", "_hi")  # edge is one row
+    return slot != F.floor(key_uniform(F.lit("slice"), str(seed)) * bins)
 
 
 def moneyness_mask(region: str, wing: float = 0.3, atm: float = 0.05) -> Column:
@@ -90,14 +93,28 @@ def moneyness_mask(region: str, wing: float = 0.3, atm: float = 0.05) -> Column:
     return ~drops[region]
 
 
+REGIONS = {
+    "drop_wings": lambda: moneyness_mask("wings"),
+    "drop_atm": lambda: moneyness_mask("atm"),
+    "drop_short_maturity": lambda: maturity_mask("short"),
+    "drop_long_maturity": lambda: maturity_mask("long"),
+}
+
+
 def realistic_mask(df: DataFrame, keep_frac: float, seed: int = 42) -> DataFrame:
     """Adds ``observed``: likelier near the money and about sixty days, ``keep_frac`` on average."""
-    _fraction(keep_frac)
-    score = F.exp(-0.5 * F.pow(F.col("log_moneyness") / 0.2, 2.0)) * F.exp(-0.5 * F.pow((F.col("tau") * 365.0 - 60.0) / 90.0, 2.0))
-    scored = df.withColumn("_score", score)
+    scored = df.withColumn("_score", _score())
     mean = F.broadcast(scored.agg(F.avg("_score").alias("_mean")))  # one row
-    p = F.when(F.col("_mean") > 0, F.col("_score") / F.col("_mean") * keep_frac).otherwise(keep_frac)
-    return scored.crossJoin(mean).withColumn("observed", key_uniform("row_key", f"mask{seed}") < F.least(F.greatest(p, F.lit(0.02)), F.lit(1.0))).drop("_score", "_mean")
+    return scored.crossJoin(mean).withColumn("observed", key_uniform("row_key", f"mask{seed}") < _likely(keep_frac)).drop("_score", "_mean")
+
+
+def _score() -> Column:
+    return F.exp(-0.5 * F.pow(F.col("log_moneyness") / 0.2, 2.0)) * F.exp(-0.5 * F.pow((F.col("tau") * 365.0 - 60.0) / 90.0, 2.0))
+
+
+def _likely(keep_frac: float) -> Column:
+    p = F.when(F.col("_mean") > 0, F.col("_score") / F.col("_mean") * _fraction(keep_frac)).otherwise(keep_frac)
+    return F.least(F.greatest(p, F.lit(0.02)), F.lit(1.0))
 
 
 def apply_mask(df: DataFrame, strategy: str, keep_frac: float = 1.0, seed: int = 42) -> DataFrame:
@@ -108,15 +125,9 @@ def apply_mask(df: DataFrame, strategy: str, keep_frac: float = 1.0, seed: int =
         return realistic_mask(df, keep_frac, seed)
     if strategy == "random_slice":
         return maturity_slice(df, seed)
-    columns = {
-        "drop_wings": lambda: moneyness_mask("wings"),
-        "drop_atm": lambda: moneyness_mask("atm"),
-        "drop_short_maturity": lambda: maturity_mask("short"),
-        "drop_long_maturity": lambda: maturity_mask("long"),
-    }
-    if strategy not in columns:
+    if strategy not in REGIONS:
         raise ValueError(f"unknown strategy: {strategy}")
-    return df.withColumn("observed", columns[strategy]())
+    return df.withColumn("observed", REGIONS[strategy]())
 
 
 def paired(df: DataFrame, decimals: int = 10) -> DataFrame:
@@ -127,14 +138,19 @@ def paired(df: DataFrame, decimals: int = 10) -> DataFrame:
 
 
 def gaussian(iv: Column, sigma: float, seed: int = 42) -> Column:
-    return iv if sigma <= 0 else F.when(iv.isNotNull(), F.greatest(iv + F.lit(sigma) * key_normal("row_key", f"noise{seed}"), F.lit(1e-4)))
+    return iv if sigma <= 0 else _noisy(iv, F.lit(sigma), key_normal("row_key", f"noise{seed}"))
+
+
+def _noisy(iv: Column, scale: Column, normal: Column) -> Column:
+    return F.when(iv.isNotNull(), F.greatest(iv + scale * normal, F.lit(1e-4)))
+
+
+def _spread(sigma: float) -> Column:
+    return F.lit(sigma) * ((1.0 + 2.0 * F.abs("log_moneyness") / 0.3) * (1.0 + 0.5 / F.greatest(F.col("tau") * 365.0, F.lit(1.0))))
 
 
 def heteroscedastic(iv: Column, sigma: float, seed: int = 42) -> Column:
-    if sigma <= 0:
-        return iv
-    scale = (1.0 + 2.0 * F.abs("log_moneyness") / 0.3) * (1.0 + 0.5 / F.greatest(F.col("tau") * 365.0, F.lit(1.0)))
-    return F.when(iv.isNotNull(), F.greatest(iv + F.lit(sigma) * scale * key_normal("row_key", f"noise{seed}"), F.lit(1e-4)))
+    return iv if sigma <= 0 else _noisy(iv, _spread(sigma), key_normal("row_key", f"noise{seed}"))
 
 
 def inject_noise(df: DataFrame, regime: str, hetero: bool = False, seed: int = 42) -> DataFrame:
@@ -172,13 +188,24 @@ def build_benchmark(df: DataFrame, variant: Variant, split_map: DataFrame) -> Da
 
 
 def build_all(df: DataFrame, variants=VARIANTS) -> DataFrame:
-    """All variants as one table."""
-    split_map = date_split_map(df)
-    out = None
-    for v in variants:
-        one = build_benchmark(df, v, split_map)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All variants as one table, from one pass over ``df``: a row's random numbers and score are made once for each seed, what a mask needs of the
+    whole table is one row, and each row becomes one for each variant."""
+    whole = df.agg(F.avg(_score()).alias("_mean"), F.min("tau").alias("_lo"), F.max("tau").alias("_hi"))
+    seeds = {v.seed for v in variants}
+    drawn = {f"_u{s}": key_uniform("row_key", f"mask{s}") for s in seeds} | {f"_z{s}": key_normal("row_key", f"noise{s}") for s in seeds if any(NOISE[v.noise] > 0 and v.seed == s for v in variants)}
+    rows = time_split(df, date_split_map(df)).crossJoin(F.broadcast(whole)).withColumns({"_score": _score(), **drawn})  # one row
+    iv = F.col("implied_volatility")
+
+    def one(v: Variant) -> Column:
+        masks = {"random": lambda: F.col(f"_u{v.seed}") < _fraction(v.keep_frac), "realistic": lambda: F.col(f"_u{v.seed}") < _likely(v.keep_frac), "random_slice": lambda: _outside_slice(v.seed)} | REGIONS
+        if v.strategy not in masks:
+            raise ValueError(f"unknown strategy: {v.strategy}")
+        observed, sigma = masks[v.strategy](), NOISE[v.noise]
+        noisy = _noisy(iv, _spread(sigma) if v.heteroscedastic else F.lit(sigma), F.col(f"_z{v.seed}")) if sigma > 0 else iv
+        return F.struct(F.lit(v.name).alias("variant"), observed.alias("observed"), F.when(observed, noisy).otherwise(iv).alias("value"), F.lit(sigma).alias("noise_sigma"))
+
+    each = rows.select(*df.drop("observed", "iv_clean", "noise_sigma", "split", "variant").columns, "split", F.explode(F.array(*map(one, variants))).alias("_v"))
+    return each.withColumns({"iv_clean": iv, "implied_volatility": F.col("_v.value"), "observed": F.col("_v.observed"), "noise_sigma": F.col("_v.noise_sigma"), "variant": F.col("_v.variant")}).drop("_v")
 
 
 def manifest(benchmarks: DataFrame) -> DataFrame:

@@ -322,20 +322,45 @@ def query_unquoted(df: DataFrame, queries: DataFrame, how: str | Predictor = "ne
     return done.where("_q").select("date", "log_moneyness", "tau", "row_key", "iv_pred")
 
 
-def coordinate_regression(df: DataFrame, target: str = "implied_volatility", out: str = "iv_pred", n_freq: int = 4) -> DataFrame:
-    """A regression of the log of the target on Fourier features of the coordinates, fitted on observed training rows, for all rows.
-
-    The output is positive, as the target is fitted in logs.
+def coordinate_regression(
+    df: DataFrame, target: str = "implied_volatility", out: str = "iv_pred", n_freq: int = 4, mode: str = "absolute", learner: str = "ridge", seed: int = 0, prior: str | Predictor = "mean", folds: int = 4
+) -> DataFrame:
+    """A regression on Fourier features of the coordinates, fitted on observed training rows (all observed ones without a split), for all rows.
+
+    Modes: absolute (the log of the target, so that predictions are positive) and residual (the target less a prior predictor's value, which is added
+    again; within [1e-4, 10]). For the residual of a row that the prior may have seen, the prior is made once more with the row's fold hidden (one of
+    ``folds``, by its key and the seed), as it would be near the row's own value else; what is predicted is added to the prior over all observed rows.
+    Learners: ridge (linear) and trees (boosted, with the seed). Rows without coordinates get the prior, or null in absolute mode.
     """
     from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
 
+    from ..functions.rng import key_uniform
     from .surface import fourier_encode
 
-    rows = fourier_encode(df, n_freq=n_freq, max_freq=4.0).withColumns({"features": array_to_vector("encoded"), "label": F.ln(F.greatest(F.col(target), F.lit(LOW)))})
-    known = rows.where("observed and label is not null") if "split" not in df.columns else rows.where("observed and label is not null and split = 'train'")
-    model = LinearRegression(regParam=1e-4, maxIter=50, predictionCol="_p").fit(known.select("features", "label"))
-    return model.transform(rows).withColumn(out, F.exp("_p")).select(*df.drop(out).columns, out)
+    if mode not in ("absolute", "residual") or learner not in ("ridge", "trees"):
+        raise ValueError(f"unknown mode or learner: {mode}, {learner}")
+    base = df.drop(out)
+    train = F.col("observed") & F.col(target).isNotNull()
+    if "split" in df.columns:
+        train = train & (F.col("split") == "train")
+    if mode == "residual":
+        base = staged(base)
+        fold = F.floor(key_uniform("row_key", f"fold{seed}") * folds).cast("int")
+        hidden = base.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("observed", F.col("observed") & (fold != F.col("_fold")))
+        own = predicted(hidden, prior, ("date", "_fold")).where(F.col("_fold") == fold).select("row_key", F.col("iv_pred").alias("_unseen"))
+        rows = predicted(base, prior).withColumnRenamed("iv_pred", "_prior").join(own, "row_key")
+        label = F.col(target) - F.col("_unseen")
+    else:
+        rows, label = base, F.ln(F.greatest(F.col(target), F.lit(LOW)))
+    rows = fourier_encode(rows.withColumn("_ok", _coordinates()), n_freq=n_freq, max_freq=4.0).withColumn("label", label)
+    usable = rows.where("_ok").withColumn("features", array_to_vector("encoded"))
+    known = usable.where(train & finite(F.col("label"))).select("features", "label")
+    fit = LinearRegression(regParam=1e-4, maxIter=50, predictionCol="_p") if learner == "ridge" else GBTRegressor(maxDepth=5, maxIter=20, stepSize=0.2, seed=seed, predictionCol="_p")
+    done = fit.fit(known).transform(usable).drop("features")
+    both = done.unionByName(rows.where("not _ok").withColumn("_p", F.lit(None).cast("double")))
+    value = F.exp("_p") if mode == "absolute" else F.least(F.greatest(F.col("_prior") + F.coalesce("_p", F.lit(0.0)), F.lit(LOW)), F.lit(HIGH))
+    return both.withColumn(out, value).select(*base.columns, out)
 
 
 def mask_resample(df: DataFrame, draws: int, fraction: float, seed: int = 7) -> DataFrame:

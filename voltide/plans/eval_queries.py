@@ -717,6 +717,17 @@ def _(s, d):
     return R.coordinate_regression(preds(s, d)).select("row_key", "iv_pred")
 
 
+@query("coordinate_regression_residual")
+def _(s, d):
+    """Errors on hidden rows by split: of the date's mean, and of the regressions of what it leaves."""
+    out = None
+    for name, mode, learner in (("absolute", "absolute", "ridge"), ("residual", "residual", "ridge"), ("residual_trees", "residual", "trees")):
+        done = R.coordinate_regression(preds(s, d), "implied_volatility", mode=mode, learner=learner).where("not observed")
+        one = M.error_metrics(done, ["split"]).select(F.lit(name).alias("model"), "split", "mae", "rmse", "n")
+        out = one if out is None else out.unionByName(one)
+    return out.unionByName(M.error_metrics(R.reconstruct_mean(preds(s, d)).where("not observed"), ["split"]).select(F.lit("mean").alias("model"), "split", "mae", "rmse", "n"))
+
+
 @query("query_unquoted", f", q as (select distinct date, 0E0 as log_moneyness, 5E-1 as tau, cast(date as varchar) || '|q' as row_key from surface) select q.row_key, q.date, least(greatest(arg_min(o.implied_volatility, (sqrt((0E0 - o.log_moneyness) * (0E0 - o.log_moneyness) + (5E-1 - o.tau) * (5E-1 - o.tau)), o.row_key)), 1E-4), 1E1) as iv_pred from q join predictions o on o.date = q.date and o.observed group by 1, 2 having count(*) >= 3", "iv_pred")
 def _(s, d):
     p = preds(s, d)
