@@ -28,7 +28,9 @@ SHARDS = 2
 #: turns out to be rare; counts stay exact.
 FILTER_BITS = 1 << 26
 #: Bytes of text whose phrases are counted together in a task before they are rows.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
+#: Rows of a batch that a task gives back.
+OUT_ROWS = 1 << 16
 _MANY, _ODD = U64(0x9E3779B97F4A7C15), U64(1)
 #: A to Z become a to z; .,;:!? and \n to \r end a piece, space and tab a word.
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -95,7 +97,7 @@ class Group:
     def rows(self, words_too: bool, every: Filter | None, recent: Filter | None) -> Iterator[pa.RecordBatch]:
         """(key, v, meta): counts, meta is minus the number of words; 0 words stands for the number of all of a language's."""
         ids = np.concatenate(self.ids) if self.ids else np.empty(0, dtype=np.int64)
-        n = len(ids)
+        self.ids, n = [], len(ids)
         if not n:
             return
         langs = list(self.number)
@@ -106,7 +108,8 @@ class Group:
             lang[at] = k
             for w, i in d.items():
                 words[i] = w
-        texts, keyed = pa.array(words, pa.binary()), pa.array([_key(langs[k], w) for k, w in zip(lang.tolist(), words, strict=True)], pa.binary())
+        texts = pa.array(words, pa.binary())
+        keyed = pc.binary_join_element_wise(pa.array(langs, pa.binary()).take(pa.array(lang)), texts, b"\n")
 
         def out(first: np.ndarray, more: list[np.ndarray], times: np.ndarray) -> pa.RecordBatch:
             parts = [keyed.take(pa.array(first)), *(texts.take(pa.array(m)) for m in more)]
@@ -160,13 +163,18 @@ def scanned(shard: DataFrame, words_too: bool, every, recent, group_bytes: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = (every.value, recent.value) if every is not None else (None, None)
         group = Group()
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for rows in group.rows(words_too, *filters):
+                yield from (rows.slice(at, OUT_ROWS) for at in range(0, rows.num_rows, OUT_ROWS))
+
         for batch in blocks(batches):
             for lang, text in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 group.add(lang, text or b"")
             if group.bytes >= group_bytes:
-                yield from group.rows(words_too, *filters)
+                yield from given()
                 group = Group()
-        yield from group.rows(words_too, *filters)
+        yield from given()
 
     return shard.select("lang", "text").mapInArrow(run, "key binary, v bigint, meta bigint")
 
