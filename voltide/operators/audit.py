@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.buckets import MATURITY, WINGS, bucket
@@ -34,8 +34,13 @@ def duplicate_groups(df: DataFrame, decimals: Sequence[int] = DECIMALS) -> DataF
 
 
 def duplicate_summary(df: DataFrame, decimals: Sequence[int] = DECIMALS) -> DataFrame:
-    g, dup = duplicate_groups(df, decimals), F.col("size") >= 2
-    return g.groupBy("key_name").agg(
+    return summarised(duplicate_groups(df, decimals))
+
+
+def summarised(groups: DataFrame) -> DataFrame:
+    """``duplicate_summary`` of groups that are made already."""
+    dup = F.col("size") >= 2
+    return groups.groupBy("key_name").agg(
         F.sum("size").alias("total_rows"),
         F.sum(F.when(dup, F.col("size")).otherwise(0)).alias("rows_in_dup_groups"),
         F.count_if(dup).alias("n_dup_groups"),
@@ -49,8 +54,14 @@ def duplicate_summary(df: DataFrame, decimals: Sequence[int] = DECIMALS) -> Data
 
 def duplicate_dispersion(df: DataFrame, exact: bool = True) -> DataFrame:
     """Distribution of the volatility range within duplicate groups; ``exact`` False uses sketches."""
+    groups = duplicate_groups(df)
+    return dispersed(staged(groups) if exact else groups, exact)  # exact order statistics read the groups several times
+
+
+def dispersed(groups: DataFrame, exact: bool = True) -> DataFrame:
+    """``duplicate_dispersion`` of groups that are made already."""
     levels, by = (0.5, 0.9, 0.95, 0.99), ["key_name", "kind"]
-    groups = duplicate_groups(df).where("size >= 2").withColumn("kind", F.when(F.col("mixed"), "mixed").otherwise("same_type"))
+    groups = groups.where("size >= 2").withColumn("kind", F.when(F.col("mixed"), "mixed").otherwise("same_type"))
     sketch = [] if exact else [F.percentile_approx("iv_range", F.array(*map(F.lit, levels)), 100000).alias("p")]
     out = groups.groupBy(*by).agg(F.count("iv_range").alias("n"), F.avg("iv_range").alias("mean"), *sketch, F.max("iv_range").alias("max"))
     if exact:
@@ -67,12 +78,24 @@ def twins(df: DataFrame, decimals: int = 10) -> DataFrame:
 
 
 def leakage_table(df: DataFrame, decimals: Sequence[int] = (10,)) -> DataFrame:
-    out = None
-    for d in decimals:
-        t = twins(df, d).groupBy("split", audit_bucket().alias("cell")).agg(F.count("*").alias("n_hidden"), F.count_if(F.col("n_twins") > 0).alias("n_with_twin"), F.avg("twin_error").alias("twin_mae"), F.avg("iv_range").alias("iv_range_mean"))
-        t = t.withColumn("decimals", F.lit(d))
-        out = t if out is None else out.unionByName(t)
-    return out
+    """For each rounding, split and cell: hidden rows, those with an observed twin, the twin's mean error and the mean range of true values there.
+
+    All roundings come from one pass: a row goes to its key at each of them, and what a key's rows have in common stands beside each in the same shuffle.
+    """
+    r = lambda c, d: (F.round(c, d) + 0.0)
+    keys = F.explode(F.array(*(F.struct(F.lit(d).alias("decimals"), r("log_moneyness", d).alias("lm"), r("tau", d).alias("tau")) for d in decimals))).alias("k")
+    rows = df.select("date", "split", audit_bucket().alias("cell"), "observed", "implied_volatility", "iv_clean", keys)
+    w = Window.partitionBy("date", "k")
+    seen = F.when(F.col("observed"), F.col("implied_volatility"))
+    at = rows.withColumns({"twin": F.avg(seen).over(w), "n_twins": F.count_if("observed").over(w), "range": F.max("iv_clean").over(w) - F.min("iv_clean").over(w)}).where(~F.col("observed"))
+    out = at.groupBy("split", "cell", F.col("k.decimals").alias("decimals")).agg(F.count("*").alias("n_hidden"), F.count_if(F.col("n_twins") > 0).alias("n_with_twin"), F.avg(F.abs(F.col("twin") - F.col("iv_clean"))).alias("twin_mae"), F.avg("range").alias("iv_range_mean"))
+    return out.select("split", "cell", "n_hidden", "n_with_twin", "twin_mae", "iv_range_mean", "decimals")
+
+
+def strict(df: DataFrame, decimals: Sequence[int] = DECIMALS) -> DataFrame:
+    """The summary of duplicates and the distribution of their ranges, for groups of both types, side by side; groups are made once."""
+    groups = staged(duplicate_groups(df, decimals))
+    return summarised(groups).join(dispersed(groups).where("kind = 'mixed'").drop("kind"), "key_name", "left")
 
 
 def density_table(df: DataFrame) -> DataFrame:

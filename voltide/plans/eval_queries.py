@@ -651,11 +651,19 @@ def _(s, d):
 WCELL = f"{sql_bucket('log_moneyness', WINGS, chr(39) + 'unknown' + chr(39))} || '/' || {sql_bucket('tau', MATURITY, chr(39) + 'unknown' + chr(39))}"
 
 
-@query("leakage_table", f"{TWINS} select split, {WCELL} as cell, count(*) as n_hidden, count(*) filter (n_twins > 0) as n_with_twin, avg(twin_error) as twin_mae, avg(iv_range) as iv_range_mean, 10 as decimals from twins group by 1, 2", "twin_mae iv_range_mean")
+@query("leakage_table", f"{TWINS} select split, {WCELL} as cell, count(*) as n_hidden, count(*) filter (n_twins > 0) as n_with_twin, avg(twin_error) as twin_mae, avg(iv_range) as iv_range_mean, 10 as decimals from twins group by 1, 2", "twin_mae iv_range_mean", digits=9)
 def _(s, d):
     return audit.leakage_table(preds(s, d))
 
 
+LEAKS = " union all ".join(f"select split, {WCELL} as cell, {k} as decimals, count(*) as n_hidden, count(*) filter (n_twins > 0) as n_with_twin, avg(abs(twin_iv - iv_clean)) as twin_mae, avg(iv_range) as iv_range_mean from (select *, avg(implied_volatility) filter (observed) over g as twin_iv, count(*) filter (observed) over g as n_twins, max(iv_clean) over g - min(iv_clean) over g as iv_range from predictions window g as (partition by date, round(log_moneyness, {k}) + 0E0, round(tau, {k}) + 0E0)) where not observed group by 1, 2" for k in audit.DECIMALS)
+
+
+@query("leakage_decimals", LEAKS, "twin_mae iv_range_mean", digits=9)
+def _(s, d):
+    return audit.leakage_table(preds(s, d), audit.DECIMALS)
+
+
 NEAR = """, near as (select q.row_key, q.date, q.observed, q.iv_clean, min(sqrt((q.log_moneyness - o.log_moneyness) * (q.log_moneyness - o.log_moneyness) + (q.tau - o.tau) * (q.tau - o.tau))) as distance,
   arg_min(o.implied_volatility, (sqrt((q.log_moneyness - o.log_moneyness) * (q.log_moneyness - o.log_moneyness) + (q.tau - o.tau) * (q.tau - o.tau)), o.row_key)) as nearest_iv
   from predictions q join predictions o on q.date = o.date and o.observed group by 1, 2, 3, 4)"""
@@ -673,8 +681,7 @@ def _(s, d):
 
 @query("audit_strict", f"{KEYED} select s.key_name, n_dup, coalesce(p50, 0E0) as p50 from (select key_name, count(*) filter (size >= 2) as n_dup from groups group by 1) s left join (select key_name, quantile_cont(iv_range, 5E-1) as p50 from groups where size >= 2 and mixed group by 1) using (key_name)", "p50")
 def _(s, d):
-    a = audit.duplicate_summary(A.surface(s, d)).select("key_name", F.col("n_dup_groups").alias("n_dup"))
-    return a.join(audit.duplicate_dispersion(A.surface(s, d)).where("kind = 'mixed'").select("key_name", "p50"), "key_name", "left").select("key_name", "n_dup", F.coalesce("p50", F.lit(0.0)).alias("p50"))
+    return audit.strict(A.surface(s, d)).select("key_name", F.col("n_dup_groups").alias("n_dup"), F.coalesce("p50", F.lit(0.0)).alias("p50"))
 
 
 @query("audit_benchmark", f"{TWINS} select split, count(*) as n_hidden, count(*) filter (n_twins > 0) as n_with_twin from twins group by 1")
