@@ -157,8 +157,9 @@ def _counted(ids: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[np.
     return parts[0], parts[1:], times
 
 
-def scanned(shard: DataFrame, words_too: bool, every, recent, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def scanned(shard: DataFrame, words_too: bool, every, recent, group_bytes: int | None = None) -> DataFrame:
     """Counts of what is active in one shard, a row for each phrase and group of texts."""
+    limit = group_bytes or GROUP_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = (every.value, recent.value) if every is not None else (None, None)
@@ -171,7 +172,7 @@ def scanned(shard: DataFrame, words_too: bool, every, recent, group_bytes: int =
         for batch in blocks(batches):
             for lang, text in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 group.add(lang, text or b"")
-            if group.bytes >= group_bytes:
+            if group.bytes >= limit:
                 yield from given()
                 group = Group()
         yield from given()
