@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame
 
 from .common import U64, Rolling, blocks, mix, spread, texts
 
-#: Bytes from which a band holds, least and greatest ratio of plain to compressed size; texts outside are rejected.
-BANDS = ((0, 0.4, 4.0), (128, 0.8, 4.0), (512, 1.15, 4.5), (2048, 1.4, 5.0), (8192, 1.5, 5.5), (32768, 1.5, 6.0))
-#: The same for chunks of CHUNK bytes (the last one counts from CHUNK // 4 bytes): rejected if over half of them are outside.
-CHUNK, CHUNK_LOW, CHUNK_HIGH = 4096, 1.3, 6.0
+#: Bytes from which a band holds, least and greatest ratio of plain to compressed size; texts outside are rejected. Prose compresses the better the
+#: longer it is: the limits leave room beside what running text of several languages has at that length, while base64 (from 128 bytes), random
+#: letters, salads of a few words (1 KB) and hexadecimal digits (4 KB) are beyond them. Shorter such texts compress as prose does.
+BANDS = (
+    (0, 0.4, 2.0), (64, 0.7, 2.2), (128, 1.05, 2.4), (256, 1.25, 2.4), (512, 1.38, 2.8), (1024, 1.64, 3.0),
+    (2048, 1.8, 3.4), (4096, 2.0, 3.8), (8192, 2.1, 4.2), (16384, 2.15, 4.6),
+)
+#: Chunks of CHUNK bytes (the last one counts from CHUNK // 4 bytes) have the limits of their own length: rejected if over half of them are outside.
+CHUNK = 4096
 LEVEL = 3
 _SPACES, _SYMBOLS = bytes([32, *range(9, 14)]), b"#*$%&|<>"
 _ROLLING = Rolling()
@@ -51,6 +56,12 @@ def counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeated
 
 
+def within(size: int, ratio: float) -> bool:
+    """Whether a text of ``size`` bytes may compress that well."""
+    _, low, high = next(b for b in reversed(BANDS) if size >= b[0])
+    return low <= ratio <= high
+
+
 class Ratios:
     """Compression ratios of whole texts and of their chunks."""
 
@@ -65,12 +76,11 @@ class Ratios:
     def verdict(self, raw: bytes) -> tuple[float, float, bool]:
         """Ratio of the whole, share of chunks outside their limits, and whether both are acceptable."""
         whole = self.of(raw)
-        _, low, high = next(b for b in reversed(BANDS) if len(raw) >= b[0])
         parts = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
         parts = [p for p in parts if len(p) >= CHUNK // 4] if len(raw) > CHUNK else []
-        odd = sum(not CHUNK_LOW <= self.of(p) <= CHUNK_HIGH for p in parts)
+        odd = sum(not within(len(p), self.of(p)) for p in parts)
         share = odd / len(parts) if parts else 0.0
-        return whole, share, low <= whole <= high and share <= 0.5
+        return whole, share, within(len(raw), whole) and share <= 0.5
 
 
 def rules(docs: DataFrame) -> DataFrame:
