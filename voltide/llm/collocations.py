@@ -28,7 +28,7 @@ SHARDS = 2
 #: turns out to be rare; counts stay exact.
 FILTER_BITS = 1 << 26
 #: Bytes of text whose phrases are counted together in a task before they are rows.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 12 << 20
 #: Rows of a batch that a task gives back.
 OUT_ROWS = 1 << 16
 _MANY, _ODD = U64(0x9E3779B97F4A7C15), U64(1)
@@ -44,15 +44,14 @@ class Filter:
         self.slots = np.zeros(bits // 64, dtype=U64)
 
     @staticmethod
-    def places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-        step = (h >> U64(32)) | _ODD
-        for k in range(4):
-            yield (h + U64(k) * step) & U64(bits - 1)
+    def place(h: np.ndarray, bits: int, k: int) -> np.ndarray:
+        """The k-th of the four bits that stand for a hash."""
+        return (h + U64(k) * ((h >> U64(32)) | _ODD)) & U64(bits - 1)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         left, out = np.arange(len(h)), np.zeros(len(h), dtype=bool)
-        for at in self.places(h, self.bits):  # after the first, only what may still be there
-            at = at[left]
+        for k in range(4):  # after the first place, only what may still be there
+            at = self.place(h if k == 0 else h[left], self.bits, k)
             left = left[(self.slots[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & _ODD).astype(bool)]
         out[left] = True
         return out
@@ -197,7 +196,7 @@ def filter_bits(keys: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
             for k in range(1, int(size.max())):
                 at = np.flatnonzero(size > k)
                 h[at] = longer(h[at], word_hashes([split[i][k] for i in at], lang[at], langs))
-            places = np.concatenate(list(Filter.places(h, bits)))
+            places = np.concatenate([Filter.place(h, bits, k) for k in range(4)])
             slots, inverse = np.unique((places >> U64(6)).astype(np.int64), return_inverse=True)
             held = np.zeros(len(slots), dtype=U64)
             np.bitwise_or.at(held, inverse, _ODD << (places & U64(63)))
