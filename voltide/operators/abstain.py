@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import quantiles, sketch
+from .order import fixed, quantiles, sketch
 from .surface import finite
 
 
@@ -26,29 +26,43 @@ def ranked(df: DataFrame, by: Sequence[str] = (), error: str = "abs_error", conf
     each, each range is summed, and ranks and sums within a range start from those of the ranges above it. A confidence
     at which a range ends is a range of its own, which the first characters of the key cut further, as most rows may have it.
     """
+    return _ranked(df, by, error, confidence, key)[0]
+
+
+def _above() -> str:
+    """SQL of the number of cuts above c: of every eighth one, then of those of one eighth; they ascend."""
+    last = RANGES // 8 - 1
+    coarse = f"{last} - size(filter(coarse, x -> x > c))"
+    fine = f"transform(array({coarse}), e -> size(filter(slice(cuts, 8 * e + 1, 8), x -> x > c)) + greatest(0, {RANGES - 1} - 8 * (e + 1)))"
+    return f"{fine}[0]"
+
+
+def _ranked(df: DataFrame, by: Sequence[str], error: str = "abs_error", confidence: str = "confidence", key: str = "row_key") -> tuple[DataFrame, DataFrame]:
+    """The ranked rows, and a literal table (by, cuts, coarse, n). A sketch depends on the order in which its parts meet, so one that each use made
+    for itself would cut the rows in several ways."""
     rows = _known(df, error, confidence).select(*by, F.col(error).cast("double").alias("e"), F.col(confidence).cast("double").alias("c"), F.col(key).alias("key"))
-    cuts = rows.groupBy(*by).agg(sketch("c", [i / RANGES for i in range(1, RANGES)], 10000).alias("cuts"))
+    cuts = fixed(rows.groupBy(*by).agg(sketch("c", [i / RANGES for i in range(1, RANGES)], 10000).alias("cuts"), F.count("*").alias("n")).where("n > 0"))
+    cuts = cuts.withColumn("coarse", F.array(*(F.col("cuts")[8 * j + 7] for j in range(RANGES // 8 - 1))))
     joined = rows.join(F.broadcast(cuts), list(by)) if by else rows.crossJoin(F.broadcast(cuts))  # one row a group
-    at = F.array_contains("cuts", F.col("c"))
-    cell = F.size(F.filter("cuts", lambda x: x > F.col("c"))) * 2 + at.cast("int")
-    cut = joined.withColumns({"cell": cell, "sub": F.when(at, F.substring(F.col("key").cast("string"), 1, 2)).otherwise("")}).drop("cuts")
+    over = joined.withColumn("over", F.expr(_above()))
+    at = F.coalesce(F.try_element_at("cuts", F.nullif(F.lit(RANGES - 1) - F.col("over"), F.lit(0))) == F.col("c"), F.lit(False))
+    cut = over.withColumn("cell", F.col("over") * 2 + at.cast("int")).withColumn("sub", F.when(F.col("cell") % 2 == 1, F.substring(F.col("key").cast("string"), 1, 2)).otherwise("")).drop("cuts", "coarse", "over")
     cells = cut.groupBy(*by, "cell", "sub").agg(F.count("*").alias("m"), F.sum("e").alias("s"))
     above = Window.partitionBy(*by).orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    starts = cells.select(*by, "cell", "sub", F.coalesce(F.sum("m").over(above), F.lit(0)).alias("k0"), F.coalesce(F.sum("s").over(above), F.lit(0.0)).alias("s0"), F.sum("m").over(whole).alias("n"))
+    starts = cells.select(*by, "cell", "sub", F.coalesce(F.sum("m").over(above), F.lit(0)).alias("k0"), F.coalesce(F.sum("s").over(above), F.lit(0.0)).alias("s0"))
     inside = Window.partitionBy(*by, "cell", "sub").orderBy(F.col("c").desc(), F.col("key").cast("string")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = cut.withColumns({"r": F.count("*").over(inside), "t": F.sum("e").over(inside)}).join(starts, [*by, "cell", "sub"])
-    return out.select(*by, "key", "e", "c", (F.col("k0") + F.col("r")).alias("k"), "n", (F.col("s0") + F.col("t")).alias("cum_error"))
+    out = cut.withColumns({"r": F.count("*").over(inside), "t": F.sum("e").over(inside)}).join(F.broadcast(starts), [*by, "cell", "sub"])
+    return out.select(*by, "key", "e", "c", (F.col("k0") + F.col("r")).alias("k"), "n", (F.col("s0") + F.col("t")).alias("cum_error")), cuts
 
 
 def risk_coverage(df: DataFrame, by: Sequence[str] = (), n_points: int = 20, **names) -> DataFrame:
     """(by, n_retained, coverage, retained_mae) at up to ``n_points`` evenly spaced numbers of retained rows."""
     if n_points < 1:
         raise ValueError(f"a curve needs at least one point, not {n_points}")
-    r = ranked(df, by, **names)
+    r, sizes = _ranked(df, by, **names)
     # k is on the grid round(linspace(1, n, n_points)) if some i gives it; half to even.
     step = F.transform(F.sequence(F.lit(0), F.lit(n_points - 1)), lambda i: F.greatest(F.least(F.bround(F.lit(1.0) + i.cast("double") * (F.col("n") - 1).cast("double") / float(max(n_points - 1, 1))).cast("bigint"), F.col("n")), F.lit(1).cast("bigint")))
-    points = r.where(F.array_contains(step, F.col("k")))
+    points = r.join(F.broadcast(sizes.select(*by, F.explode(F.array_distinct(step)).alias("k"))), [*by, "k"])  # some points a group
     return points.select(*by, F.col("k").alias("n_retained"), (F.col("k") / F.col("n")).alias("coverage"), (F.col("cum_error") / F.col("k")).alias("retained_mae"))
 
 
