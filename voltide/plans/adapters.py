@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.rng import key_uniform
 from ..operators import surface as S
 from ..operators.benchmark import date_split_map, time_split
+from ..operators.stage import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,20 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def kept(view):
-    """Persists a view, once for each application and folder, as most queries start from it; what is lost is computed again."""
+def kept(hold):
+    """Holds a view by ``hold``, once for each application and folder, as most queries start from it."""
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, view.__name__)
-        if key not in _KEPT:
-            _KEPT[key] = view(spark, sf_dir).persist()
-        return _KEPT[key]
+    def of(view):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, sf_dir, view.__name__)
+            if key not in _KEPT:
+                _KEPT[key] = hold(view(spark, sf_dir))
+            return _KEPT[key]
 
-    return run
+        return run
+
+    return of
 
 
 def forget(spark: SparkSession) -> None:
-    """Lets go of all persisted views, so that the next query starts from the files."""
+    """Lets go of all held views, so that the next query starts from the files."""
     for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
         _KEPT.pop(key).unpersist(blocking=True)
 
@@ -43,14 +47,13 @@ def _month(c: str) -> Column:
     return F.to_date(F.date_trunc("month", F.col(c)))
 
 
-@kept
+@kept(DataFrame.persist)  # a row a month
 def underlying(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(_month("o_orderdate").alias("date"), F.round(F.col("o_totalprice") * 100.0).cast("bigint").alias("cents"))
     close = F.floor(F.sum("cents").cast("double") / F.count("*").cast("double") / 1e3) / 1e2
     return o.groupBy("date").agg(close.alias("close"))
 
 
-@kept
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes with the underlying's close already looked up for the strike; ``close`` is left out again."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax", "l_quantity", "l_discount", "l_linestatus", "l_returnflag")
@@ -80,16 +83,20 @@ def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@kept
-def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.strict_subset(S.hard_clean(S.derive(S.join_underlying(raw_quotes(spark, sf_dir), underlying(spark, sf_dir)))))
 
 
-@kept
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = surface(spark, sf_dir).withColumn("iv_clean", F.col("implied_volatility"))
+surface = kept(staged)(_surface)
+
+
+@kept(staged)
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with all columns that come from hashes: a query that filters by them would make them several times a row."""
+    known = (spark.sparkContext.applicationId, sf_dir, _surface.__name__) in _KEPT
+    s = (surface if known else _surface)(spark, sf_dir).withColumn("iv_clean", F.col("implied_volatility"))
     u = lambda name: key_uniform("row_key", name)
-    s = s.withColumns(
+    return s.withColumns(
         {
             "observed": u("mask") < 0.4,
             "iv_pred": F.col("iv_clean") + F.lit(0.02) * (u("p") - 0.5),
@@ -97,7 +104,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             **{f"member_{k}": F.col("iv_clean") + F.lit(0.02) * (u(f"m{k}") - 0.5) for k in range(5)},
         }
     )
-    return time_split(s, date_split_map(surface(spark, sf_dir).select("date")))
+
+
+@kept(DataFrame.persist)  # a row a date
+def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return date_split_map(_hashed(spark, sf_dir).select("date"))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return time_split(_hashed(spark, sf_dir), _splits(spark, sf_dir))
 
 
 def with_bands(p: DataFrame) -> DataFrame:
