@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import key_uniform
+from .stage import staged
 
 # The gate's thresholds and the regimes that it looks at.
 DENSE_BAND_PCT, SURVIVE_PCT, GROWTH_PP = 2.0, 5.0, 1.0
@@ -21,12 +22,17 @@ def bootstrap_delta(df: DataFrame, delta: Column, by: Sequence[str] = (), n_boot
     dates by hashing, at slots 0 to n_dates - 1. What is broadcast is a sum and a count for each date of each group.
     """
     dates = df.groupBy(*by, "date").agg(F.sum(delta).alias("s"), F.count(delta).alias("n"))
+    return _bootstrap(dates, by, n_boot, seed, level)
+
+
+def _bootstrap(dates: DataFrame, by: Sequence[str], n_boot: int, seed: int, level: float = 0.95) -> DataFrame:
+    """``bootstrap_delta`` from (by, date, s, n)."""
     w = Window.partitionBy(*by)
     slots = dates.withColumns({"slot": F.row_number().over(w.orderBy("date")) - 1, "n_groups": F.count("*").over(w)})
     # One row a group with its dates' sums in order of slot: thousands of dates at most.
     arrays = slots.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("slot", "s", "n"))).alias("d"), F.first("n_groups").alias("n_groups"), (F.sum("s") / F.sum("n")).alias("mean_delta"))
     # The draws are spread over the cluster; each task has the groups' arrays once, and sums a draw's picks in place.
-    spark = df.sparkSession
+    spark = dates.sparkSession
     draws = spark.range(0, n_boot, 1, max(1, min(n_boot // 16, 4 * spark.sparkContext.defaultParallelism))).withColumnRenamed("id", "b")
 
     def add(acc: Column, i: Column) -> Column:
@@ -45,12 +51,17 @@ def bootstrap_delta(df: DataFrame, delta: Column, by: Sequence[str] = (), n_boot
 def trajectory(df: DataFrame, model: str = "mu_hybrid", base: str = "rbf_pred", target: str = "iv_clean", n_boot: int = 200, seed: int = 0) -> DataFrame:
     """For each regime and rung: errors of both predictors, the relative edge in percent with its interval, and the same on fixed query points."""
     em, eb = F.abs(F.col(model) - F.col(target)), F.abs(F.col(base) - F.col(target))
-    q = F.col("is_query_fixed")
     by = ("regime", "rung_index")
-    main = df.groupBy(*by).agg(F.first("intensity").alias("intensity"), F.avg(eb).alias("rbf_mae"), F.avg(em).alias("hybrid_mae"), F.avg(F.when(q, eb)).alias("rbf_mae_query"), F.avg(F.when(q, em)).alias("hybrid_mae_query"), F.count("*").alias("n_rows"))
+    q = lambda e: F.when(F.col("is_query_fixed"), e)
+    parts = {"b": eb, "m": em, "bq": q(eb), "mq": q(em), "": em - eb}
+    sums = [x for k, e in parts.items() for x in (F.sum(e).alias(f"s{k}"), F.count(e).alias(f"n{k}"))]
+    # The rows are read once: what follows is from a row for each date, regime and rung.
+    dates = staged(df.groupBy(*by, "date").agg(*sums, F.first("intensity").alias("intensity"), F.count("*").alias("rows")))
+    mean = lambda k: F.try_divide(F.sum(f"s{k}"), F.sum(f"n{k}"))
+    main = dates.groupBy(*by).agg(F.first("intensity").alias("intensity"), mean("b").alias("rbf_mae"), mean("m").alias("hybrid_mae"), mean("bq").alias("rbf_mae_query"), mean("mq").alias("hybrid_mae_query"), F.sum("rows").alias("n_rows"))
     edge = lambda b, m: F.try_divide(F.col(b) - F.col(m), F.col(b)) * 100.0
     main = main.withColumns({"abs_delta": F.col("hybrid_mae") - F.col("rbf_mae"), "rel_edge_pct": edge("rbf_mae", "hybrid_mae"), "rel_edge_pct_query": edge("rbf_mae_query", "hybrid_mae_query")})
-    ci = bootstrap_delta(df, em - eb, by, n_boot, seed).select(*by, "ci_low", "ci_high", "significant", F.col("n_groups").alias("n_dates"))
+    ci = _bootstrap(dates, by, n_boot, seed).select(*by, "ci_low", "ci_high", "significant", F.col("n_groups").alias("n_dates"))
     return main.join(ci, list(by))
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import key_uniform
 from .reconstruct import Predictor, predicted
 from .stage import staged
+from .surface import small
 
 REGIMES = ("fewer_quotes", "thin_wings", "missing_maturities", "combined_quotes_wings")
 INTENSITIES = (0.0, 0.2, 0.4, 0.6, 0.8)
@@ -22,47 +23,50 @@ def _ladder(intensities: Sequence[float]) -> tuple[float, ...]:
     return out
 
 
-def _rungs(df: DataFrame, intensities: Sequence[float]) -> DataFrame:
-    rungs = F.array(*(F.struct(F.lit(i).alias("rung_index"), F.lit(x).alias("intensity")) for i, x in enumerate(_ladder(intensities))))
-    return df.withColumn("_g", F.explode(rungs)).select(*df.columns, "_g.rung_index", "_g.intensity")
+def _limits(df: DataFrame, steps: Sequence[float]) -> DataFrame:
+    """(date, _limit): for each rung the quantile 1 - intensity of the observed points' distance from the money.
 
-
-def _wings(rungs: DataFrame) -> DataFrame:
-    """Adds abs_lm_limit: the quantile 1 - intensity of the observed points' distance from the money, by date and rung."""
-    far = F.abs("log_moneyness")
-    sizes = Window.partitionBy("date", "rung_index").orderBy("_a", "row_key")
-    whole = Window.partitionBy("date", "rung_index")
-    obs = rungs.where("observed").select("date", "rung_index", "intensity", "row_key", far.alias("_a"))
-    at = (F.count("*").over(whole) - 1) * (1.0 - F.col("intensity"))
-    ranked = obs.withColumns({"_r": F.row_number().over(sizes) - 1, "_at": at})
-    low, high = F.floor("_at"), F.ceil("_at")
-    ends = ranked.groupBy("date", "rung_index").agg(F.max(F.when(F.col("_r") == low, F.col("_a"))).alias("a"), F.max(F.when(F.col("_r") == high, F.col("_a"))).alias("b"), F.first(F.col("_at") - low).alias("f"))
-    return rungs.join(ends.select("date", "rung_index", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("abs_lm_limit")), ["date", "rung_index"], "left")
-
-
-def _dropped_maturities(rungs: DataFrame, seed: int) -> DataFrame:
-    """(date, rung_index, tau) of maturities to drop: round(intensity * m) of m, in an order that the rungs share."""
-    m = rungs.where("observed").select("date", "rung_index", "intensity", "tau").distinct()
+    A date's distinct distances with their numbers of points are ranked, once for all rungs.
+    """
+    w = Window.partitionBy("date").orderBy("_a")
+    whole = Window.partitionBy("date")
+    held = df.where("observed").groupBy("date", F.abs("log_moneyness").alias("_a")).agg(F.count("*").alias("_m"))
+    upto = held.withColumns({"_upto": F.sum("_m").over(w), "_n": F.sum("_m").over(whole)})
+    at = [(F.col("_n") - 1) * (1.0 - x) for x in steps]
+    reach = lambda rank: F.min(F.when(F.col("_upto") > rank, F.struct(F.col("_upto"), F.col("_a"))))["_a"]
+    ends = upto.groupBy("date").agg(F.first("_n").alias("_n"), *(reach(F.floor(p)).alias(f"a{i}") for i, p in enumerate(at)), *(reach(F.ceil(p)).alias(f"b{i}") for i, p in enumerate(at)))
+    return ends.select("date", F.array(*(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (p - F.floor(p)) for i, p in enumerate(at))).alias("_limit"))
+
+
+def _dropped_maturities(df: DataFrame, steps: Sequence[float], seed: int) -> DataFrame:
+    """(date, tau, _gone): for each rung whether the maturity is dropped: round(intensity * m) of m, in an order that the rungs share."""
+    m = df.where("observed").select("date", "tau").distinct()
     u = key_uniform(F.concat_ws("|", F.col("date").cast("string"), F.round(F.col("tau") * 365.0).cast("int").cast("string")), f"maturity{seed}")
-    w = Window.partitionBy("date", "rung_index")
-    return m.withColumns({"_r": F.row_number().over(w.orderBy(u, "tau")), "_n": F.bround(F.col("intensity") * F.count("*").over(w))}).where("_r <= _n").select("date", "rung_index", "tau", F.lit(True).alias("_gone"))
+    w = Window.partitionBy("date")
+    ranked = m.withColumns({"_r": F.row_number().over(w.orderBy(u, "tau")), "_n": F.count("*").over(w)})
+    return ranked.select("date", "tau", F.array(*(F.col("_r") <= F.bround(F.lit(x) * F.col("_n")) for x in steps)).alias("_gone"))
 
 
-def sweep(df: DataFrame, intensities: Sequence[float] = INTENSITIES, seed: int = 11, regimes: Sequence[str] = REGIMES) -> DataFrame:
+def sweep(df: DataFrame, intensities: Sequence[float] = INTENSITIES, seed: int = 11, regimes: Sequence[str] = REGIMES, carry: Sequence[str] = ()) -> DataFrame:
     """(regime, rung_index, intensity, row, retained): the long table of all regimes; rungs are nested, as each row has one random number.
 
-    is_query_fixed marks the points that no rung observes: those not observed at the dense end.
+    is_query_fixed marks the points that no rung observes: those not observed at the dense end. What a row needs to know of its date is joined
+    before it becomes a row for each rung and regime, so that no shuffle holds these; ``carry`` are further columns to keep.
     """
-    cols = ["row_key", "date", "log_moneyness", "tau", "observed", "implied_volatility"] + [c for c in ("iv_clean",) if c in df.columns]
-    rungs = _wings(_rungs(df.select(*cols), intensities))
-    gone = _dropped_maturities(rungs, seed)
-    rows = rungs.join(gone, ["date", "rung_index", "tau"], "left")
-    quotes = key_uniform("row_key", f"quotes{seed}") < 1.0 - F.col("intensity")
-    wings = F.coalesce(F.abs("log_moneyness") <= F.col("abs_lm_limit"), F.lit(False))
-    keep = {"fewer_quotes": quotes, "thin_wings": wings, "missing_maturities": F.col("_gone").isNull(), "combined_quotes_wings": quotes & wings}
-    each = F.explode(F.array(*(F.struct(F.lit(r).alias("regime"), (F.col("observed") & keep[r]).alias("retained")) for r in regimes))).alias("_x")
-    out = rows.select(*cols, "rung_index", "intensity", each)
-    return out.select("_x.regime", "rung_index", "intensity", *cols, "_x.retained", (~F.col("observed")).alias("is_query_fixed"))
+    steps = _ladder(intensities)
+    cols = list(dict.fromkeys(["row_key", "date", "log_moneyness", "tau", "observed", "implied_volatility", *(c for c in ("iv_clean",) if c in df.columns), *carry]))
+    base = df.select(*cols)
+    rows = base.join(small(_limits(base, steps)), "date", "left").join(small(_dropped_maturities(base, steps, seed)), ["date", "tau"], "left")
+    rows = rows.select(*cols, "_limit", "_gone", key_uniform("row_key", f"quotes{seed}").alias("_u"))
+
+    def keep(i: int, x: float) -> dict[str, Column]:
+        quotes = F.col("_u") < 1.0 - x
+        wings = F.coalesce(F.abs("log_moneyness") <= F.col("_limit")[i], F.lit(False))
+        return {"fewer_quotes": quotes, "thin_wings": wings, "missing_maturities": ~F.coalesce(F.col("_gone")[i], F.lit(False)), "combined_quotes_wings": quotes & wings}
+
+    each = [F.struct(F.lit(r).alias("regime"), F.lit(i).alias("rung_index"), F.lit(x).alias("intensity"), (F.col("observed") & keep(i, x)[r]).alias("retained")) for i, x in enumerate(steps) for r in regimes]
+    out = rows.select(*cols, F.explode(F.array(*each)).alias("_x"))
+    return out.select("_x.regime", "_x.rung_index", "_x.intensity", *cols, "_x.retained", (~F.col("observed")).alias("is_query_fixed"))
 
 
 def manifest(swept: DataFrame) -> DataFrame:
@@ -70,8 +74,11 @@ def manifest(swept: DataFrame) -> DataFrame:
 
 
 def reconstruct(swept: DataFrame, how: str | Predictor = "rbf") -> DataFrame:
-    """Adds iv_pred for each date, regime and rung; the dense rung is the same in all regimes and is solved once."""
+    """Adds iv_pred for each date, regime and rung. For a predictor by name all rungs are surfaces of one pass, whose values return to the rows by
+    their coordinates; a function is given the dense rung once, as it is the same in all regimes."""
     rows = swept.withColumnRenamed("observed", "observed_base").withColumn("observed", F.col("retained"))
+    if isinstance(how, str):
+        return predicted(rows, how, ("date", "regime", "rung_index"))
     first = rows.agg(F.min("regime")).first()[0]  # a name
     dense = predicted(rows.where((F.col("rung_index") == 0) & (F.col("regime") == first)).select("date", "row_key", "log_moneyness", "tau", "observed", "implied_volatility"), how).select("row_key", "iv_pred")
     sparse = predicted(rows.where("rung_index > 0"), how, ("date", "regime", "rung_index"))
@@ -79,10 +86,11 @@ def reconstruct(swept: DataFrame, how: str | Predictor = "rbf") -> DataFrame:
 
 
 def compared(swept: DataFrame, model: str | Predictor, base: str | Predictor) -> DataFrame:
-    """The swept table with the predictions of both at each rung (mu_hybrid, rbf_pred), as ``infer.trajectory`` takes it.
-
-    The table is written by date once, so that both reconstructions and the comparison read that and not what made it.
-    """
+    """The swept table with the predictions of both at each rung (mu_hybrid, rbf_pred), as ``infer.trajectory`` takes it."""
+    if isinstance(model, str) and isinstance(base, str):  # both add a column to the rows
+        rows = swept.withColumnRenamed("observed", "observed_base").withColumn("observed", F.col("retained"))
+        by = ("date", "regime", "rung_index")
+        return predicted(predicted(rows, model, by).withColumnRenamed("iv_pred", "mu_hybrid"), base, by).withColumnRenamed("iv_pred", "rbf_pred")
     table = staged(swept.repartition("date"))
     a, b = reconstruct(table, model).withColumnRenamed("iv_pred", "mu_hybrid"), reconstruct(table, base).select("regime", "rung_index", "row_key", F.col("iv_pred").alias("rbf_pred"))
     return a.join(b, ["regime", "rung_index", "row_key"])

@@ -748,7 +748,7 @@ DRAWS = f", draws as (select p.*, draw, observed and row_number() over (partitio
 
 @query("mask_resample", f"{DRAWS} select draw, date, count(*) filter (kept) as n_kept, min(row_key) filter (kept) as first_key from draws group by 1, 2")
 def _(s, d):
-    r = R.mask_resample(preds(s, d), 4, 0.8)
+    r = R.mask_resample(preds(s, d).select("row_key", "date", "observed"), 4, 0.8)
     return r.groupBy(F.col("draw").cast("bigint").alias("draw"), "date").agg(F.count_if("observed").alias("n_kept"), F.min(F.when(F.col("observed"), F.col("row_key"))).alias("first_key"))
 
 
@@ -858,7 +858,7 @@ def _(s, d):
 
 @query("sweep_accumulate", f"{SWEEP} select regime, rung_index, avg(abs(iv_pred - iv_clean)) as mae, sqrt(avg(pow(iv_pred - iv_clean, 2E0))) as rmse, avg(abs(iv_pred - iv_clean)) filter (not observed) as mae_query, count(*) filter (retained) as n_retained, 0 as n_nonfinite, count(*) as n from swept group by 1, 2", "mae rmse mae_query")
 def _(s, d):
-    return W.accumulate(swept(s, d).join(preds(s, d).select("row_key", "iv_pred"), "row_key")).withColumn("n_nonfinite", F.col("n_nonfinite").cast("int"))
+    return W.accumulate(W.sweep(preds(s, d), carry=["iv_pred"])).withColumn("n_nonfinite", F.col("n_nonfinite").cast("int"))
 
 
 MONO_SQL = f"""{SWEEP}, sm as (select regime, rung_index, iv_clean, coalesce(avg(implied_volatility) filter (retained) over (partition by regime, rung_index, date), 2E-1) as pred from (select s.*, p.implied_volatility from swept s join predictions p using (row_key))),
@@ -937,7 +937,7 @@ TRAJ = SWEEP + ", tr as (select *, abs(case when retained then iv_clean + 9E-1 *
 
 def traj(s: SparkSession, d: str) -> DataFrame:
     c = F.col
-    t = swept(s, d).join(preds(s, d).select("row_key", "iv_pred"), "row_key").withColumn("rbf_pred", c("iv_pred"))
+    t = W.sweep(preds(s, d), carry=["iv_pred"]).withColumn("rbf_pred", c("iv_pred"))
     t = t.withColumn("mu_hybrid", F.when(c("retained"), c("iv_clean") + 0.9 * (c("iv_pred") - c("iv_clean"))).otherwise(c("iv_pred")))
     return infer.trajectory(t, n_boot=100)
 
