@@ -9,6 +9,7 @@ from ..functions.buckets import MATURITY, MONEYNESS, WINGS, maturity, moneyness,
 from ..functions.normal import sql_cdf, sql_priced
 from ..functions.rng import sql_normal, sql_uniform
 from ..operators import abstain, audit, benchmark as B, calibrate, decide, diagnostics, explore, infer, metrics as M, noarb, predictions as P, reconstruct as R, spectrum, surface as S, sweep as W
+from ..operators.stage import staged
 from . import adapters as A
 from .data_queries import _otm
 from .registry import query
@@ -1045,6 +1046,16 @@ def _(s, d):
 # ---- streams
 
 
+#: Rows of a landed file, where there are as many.
+LANDED_ROWS = 1_000_000
+
+
+def _files(rows: DataFrame, parts: str) -> int:
+    """Files to land each part as: the same number for all, so that a stream takes whole parts, and each of them has rows."""
+    least, most = rows.groupBy(parts).count().agg(F.min("count"), F.max("count")).first()
+    return max(1, min(least or 1, (most or 1) // LANDED_ROWS))
+
+
 @query("stream_chain_ingest", "select count(*) filter (event_id % 10 <> 0 and json_extract_string(props, '$.k') is not null) as n_rows, count(*) filter (event_id % 10 = 0) as n_rejects from events", base=False)
 def _(s, d):
     from ..streaming.jobs import stream_chain_ingest
@@ -1077,9 +1088,10 @@ def _(s, d):
     last = q.agg(F.max("date").alias("_last"))
     rows = q.crossJoin(F.broadcast(last)).withColumn("_late", (key_uniform("row_key", "late") < 0.05) & (F.col("date") < F.col("_last")))  # one row
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema)
+    n = _files(rows, "_late")
     for late in (False, True):  # and the stream is started again in between
-        rows.where(F.col("_late") == late).select(*q.columns).coalesce(1).write.mode("append").parquet(f"{top}/landing")
-        stream_date_close(s, f"{top}/landing", schema, f"{top}/out", f"{top}/checkpoint", max_files=1)
+        rows.where(F.col("_late") == late).select(*q.columns).repartition(n).write.mode("append").parquet(f"{top}/landing")
+        stream_date_close(s, f"{top}/landing", schema, f"{top}/out", f"{top}/checkpoint", max_files=n)
     count = lambda path, kind: s.read.parquet(path).groupBy("date").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "date", "n")
     return count(f"{top}/out", "emitted").unionByName(count(f"{top}/out_late", "late"))
 
@@ -1091,9 +1103,10 @@ def _(s, d):
 
     top = _scratch(s, "stream")
     q = A.surface(s, d)
-    days = q.select("date").distinct().select("date", F.ntile(6).over(Window.orderBy("date")).alias("part"))
+    days = staged(q.select("date").distinct().select("date", F.ntile(6).over(Window.orderBy("date")).alias("part")))
+    n = _files(q.join(F.broadcast(days), "date"), "part")
     for k in range(1, 7):  # files land one after another, as days do
-        q.join(F.broadcast(days.where(F.col("part") == k).select("date")), "date").select(*q.columns).coalesce(1).write.mode("append").parquet(f"{top}/landing")
+        q.join(F.broadcast(days.where(F.col("part") == k).select("date")), "date").select(*q.columns).repartition(n).write.mode("append").parquet(f"{top}/landing")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema)
-    stream_date_close(s, f"{top}/landing", schema, f"{top}/out", f"{top}/checkpoint", max_files=2)
+    stream_date_close(s, f"{top}/landing", schema, f"{top}/out", f"{top}/checkpoint", max_files=2 * n)
     return s.read.parquet(f"{top}/out").groupBy("date").agg(F.count("*").alias("n"))

@@ -67,7 +67,6 @@ def stream_date_close(spark: SparkSession, landing: str, schema: str, out: str,
         if batch_id > 0 and before.getFileSystem(conf).exists(before):
             held = spark.read.schema(f"{schema}, _seen date").parquet(f"{out}_open/batch={batch_id - 1}")
             seen = held.agg(F.max("_seen")).first()[0]
-        batch = batch.persist()
         latest = batch.agg(F.max(F.col("date").cast("date"))).first()[0]
         now = max((x for x in (latest, seen) if x is not None), default=None)
         closed = F.date_sub(F.lit(seen).cast("date"), keep_days)  # dates before it have been emitted
@@ -84,6 +83,5 @@ def stream_date_close(spark: SparkSession, landing: str, schema: str, out: str,
         still.write.mode("overwrite").parquet(f"{out}_open/batch={batch_id}")
         old = fs.Path(f"{out}_open/batch={batch_id - 2}")
         old.getFileSystem(conf).delete(old, True)
-        batch.unpersist()
 
     source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
