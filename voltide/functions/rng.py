@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +12,16 @@ from pyspark.sql import functions as F
 def key_uniform(key: str | Column, component: str) -> Column:
     """In [0, 1): the first 32 bits of md5(key|component)."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{component}"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return _uniform(F.concat(key.cast("string"), F.lit(f"|{component}")))
+
+
+def _uniform(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
+def key_uniforms(key: str, components: Sequence[str]) -> Column:
+    """``key_uniform`` of each component, as an array: one expression whatever their number, as many are more code than the JVM compiles."""
+    return F.transform(F.array(*map(F.lit, components)), lambda c: _uniform(F.concat(F.col(key).cast("string"), F.lit("|"), c)))
 
 
 def key_normal(key: str | Column, component: str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rng import key_uniform
+from ..functions.rng import key_uniforms
 from ..operators import surface as S
 from ..operators.benchmark import date_split_map, time_split
 from ..operators.stage import staged
@@ -95,15 +95,16 @@ def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table with all columns that come from hashes: a query that filters by them would make them several times a row."""
     known = (spark.sparkContext.applicationId, sf_dir, _surface.__name__) in _KEPT
     s = (surface if known else _surface)(spark, sf_dir).withColumn("iv_clean", F.col("implied_volatility"))
-    u = lambda name: key_uniform("row_key", name)
-    return s.withColumns(
+    names = ("mask", "p", "s", *(f"m{k}" for k in range(5)))
+    u = dict(zip(names, (F.col("_u")[k] for k in range(len(names))), strict=True))
+    return s.withColumn("_u", key_uniforms("row_key", names)).withColumns(
         {
-            "observed": u("mask") < 0.4,
-            "iv_pred": F.col("iv_clean") + F.lit(0.02) * (u("p") - 0.5),
-            "sigma": F.lit(0.002) + F.lit(0.01) * u("s"),
-            **{f"member_{k}": F.col("iv_clean") + F.lit(0.02) * (u(f"m{k}") - 0.5) for k in range(5)},
+            "observed": u["mask"] < 0.4,
+            "iv_pred": F.col("iv_clean") + F.lit(0.02) * (u["p"] - 0.5),
+            "sigma": F.lit(0.002) + F.lit(0.01) * u["s"],
+            **{f"member_{k}": F.col("iv_clean") + F.lit(0.02) * (u[f"m{k}"] - 0.5) for k in range(5)},
         }
-    )
+    ).drop("_u")
 
 
 @kept(DataFrame.persist)  # a row a date
