@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .metrics import correlations, coverage, gaussian_z, width
 from .order import fixed, order_statistics, quantiles
+from .stage import staged
 from .surface import finite
 
 VERSION = 2
@@ -61,7 +62,7 @@ def _median(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 def fit_confidence(df: DataFrame, u: str) -> DataFrame:
     """One row with ``centre`` and ``scale``: median and scaled median deviation (the deviation where that is 0)."""
-    rows = df.where(finite(F.col(u))).select(F.col(u).alias("u"))
+    rows = staged(df.where(finite(F.col(u))).select(F.col(u).alias("u")))
     first = fixed(rows.agg(F.stddev_pop("u").alias("_sd"), F.count("*").alias("_n")).crossJoin(_median(rows, F.col("u"), "centre")))
     far = first.crossJoin(_median(rows.crossJoin(F.broadcast(first)), F.abs(F.col("u") - F.col("centre")), "_mad"))  # one row each
     sd = F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
@@ -78,14 +79,15 @@ def confidence(u: Column, centre: Column, scale: Column) -> Column:
 def fit(df: DataFrame, alpha: float = 0.9, head: str = "gaussian", disagreement: str = "disagreement_std") -> DataFrame:
     """The calibrator as a one-row table, fitted on the rows given (with iv_pred, sigma or lower and upper, iv_clean, disagreement)."""
     z = gaussian_z(alpha)
+    if head not in ("gaussian", "quantile"):
+        raise ValueError(f"unknown head: {head}")
+    df = staged(df.select("iv_pred", "iv_clean", *(["sigma"] if head == "gaussian" else ["lower", "upper"]), disagreement))  # many passes follow
     if head == "gaussian":
         main = fit_temperature(df, alpha).select(F.col("temperature"), F.lit(0.0).alias("delta"), "n_fit")
         sigma = F.col("sigma") * F.col("temperature")
-    elif head == "quantile":
+    else:
         main = fit_conformal(df, alpha).select(F.lit(1.0).alias("temperature"), F.col("delta"), "n_fit")
         sigma = F.greatest((F.col("upper") - F.col("lower")) / 2.0 + F.col("delta"), F.lit(0.0)) / z
-    else:
-        raise ValueError(f"unknown head: {head}")
     rows = df.withColumn("abs_error", F.abs(F.col("iv_pred") - F.col("iv_clean")))
     params = fixed(main.crossJoin(fit_scaling(rows, disagreement)))
     fused = rows.crossJoin(F.broadcast(params)).withColumn("u", fuse(sigma, scaled(F.col(disagreement), F.col("slope"), F.col("intercept"))))
