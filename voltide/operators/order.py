@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import staged
+
 #: Steps of the grid of quantiles, and the sketch's accuracy: its error in rank is 1 / ACCURACY, far below a step.
 GRID, ACCURACY = 1024, 32768
 
@@ -37,6 +39,7 @@ def order_statistics(df: DataFrame, value: Column, ranks: Sequence[Column], by:
     names, by = list(by), [f"_by{k}" for k in range(len(by))]
     x = value.cast("double")
     rows = df.select(*(F.col(c).alias(b) for c, b in zip(names, by, strict=True)), F.when(~F.isnan(x), x).alias("v")).where("v is not null")
+    rows = staged(rows)  # three passes follow, over nothing but the values
     grid = sketch("v", [i / GRID for i in range(GRID + 1)], ACCURACY)
     one = rows.groupBy(*by).agg(F.count("*").alias("n"), grid.alias("g"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 0")
 
