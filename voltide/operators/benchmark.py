@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.rng import key_normal, key_uniform
-from .surface import rounded_key, small
+from .stage import same, staged
+from .surface import key_head, rounded_key, small
 
 # Standard deviations of the noise regimes, in volatility units, and their short names.
 NOISE = {"none": 0.0, "low": 0.01, "medium": 0.03, "high": 0.05}
@@ -133,8 +135,14 @@ def apply_mask(df: DataFrame, strategy: str, keep_frac: float = 1.0, seed: int =
 def paired(df: DataFrame, decimals: int = 10) -> DataFrame:
     """Gives all rows of one date and rounded coordinates the flag of the first."""
     lm, tau = rounded_key(decimals)
-    w = Window.partitionBy("date", lm, tau).orderBy("row_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn("observed", F.first("observed").over(w))
+    on, key = ["date", "_lm", "_tau"], F.col("row_key")
+    rows = df.withColumns({"_lm": lm, "_tau": tau})
+    head = F.coalesce(key_head(key), F.lit(-1).cast("bigint")) if isinstance(df.schema["row_key"].dataType, StringType) else key
+    seen = rows.select(*on, key, "observed", head.alias("_head"))
+    least = staged(seen.groupBy(*on).agg(F.min("_head").alias("_least")))
+    few = seen.alias("l").join(small(least).alias("r"), same("l", "r", on) & F.col("l._head").eqNullSafe(F.col("r._least"))).select("l.*")
+    first = few.groupBy(*on).agg(F.coalesce(F.first(F.when(key.isNull(), F.struct("observed")), True), F.struct(F.min_by("observed", "row_key").alias("observed"))).alias("_first"))
+    return rows.drop("observed").alias("l").join(small(staged(first)).alias("r"), same("l", "r", on)).select(*(F.col("r._first.observed").alias(c) if c == "observed" else F.col(f"l.{c}") for c in df.columns))
 
 
 def gaussian(iv: Column, sigma: float, seed: int = 42) -> Column:

@@ -143,6 +143,11 @@ def encode_coords(df: DataFrame, kind: str = "raw") -> DataFrame:
     raise ValueError(f"unknown encoding: {kind}")
 
 
+def key_head(key: Column) -> Column:
+    """The first seven bytes of a string as a number, in the strings' order. A least string would be found by sorting all rows, a least number is not."""
+    return F.conv(F.substring(F.rpad(F.hex(F.substring(key, 1, 7)), 14, "0"), 1, 14), 16, 10).cast("bigint")
+
+
 def rounded_key(decimals: int = KEY_DECIMALS) -> tuple[Column, Column]:
     """log_moneyness and tau rounded, with no negative zero."""
     return (F.round("log_moneyness", decimals) + 0.0).alias("lm_key"), (F.round("tau", decimals) + 0.0).alias("tau_key")
