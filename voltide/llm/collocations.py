@@ -4,19 +4,20 @@ The documents are dealt over shards, which are scanned in turn, again and again.
 longer one consists of (all words but its last, all but its first) have both reached the threshold, the longer one is active: the following scans
 count it, whatever the lengths counted beside it, until it has been counted in one full cycle. So lengths interleave, and what never becomes active is
 never counted. Whatever reaches the threshold has been active for a full cycle in the end, so its count is exact.
+
+Before the first cycle all words and pairs of words are counted by buckets of their hashes (Park, Chen and Yu). A bucket under the threshold holds nothing
+that reaches it, so of words and pairs only those of the other buckets are ever active; they are counted by their text.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import U64, blocks, drop_table, mix, spread, write_table
@@ -27,13 +28,20 @@ SHARDS = 2
 #: Bits of the filters that say in a task which phrases have reached the threshold. With more phrases than these have room for, more of what is counted
 #: turns out to be rare; counts stay exact.
 FILTER_BITS = 1 << 26
-#: Bytes of text whose phrases are counted together in a task before they are rows.
-GROUP_BYTES = 12 << 20
+#: Bytes of text whose phrases are counted together in a task; the counts of its groups are then added up.
+GROUP_BYTES = 4 << 20
+#: Rows and bytes of counts that a task holds before they are given back.
+HELD_ROWS, HELD_BYTES = 1 << 19, 48 << 20
+#: Powers of two: a bucket for every eight bytes of text, within these. With more text than the most have room for, more of what is counted turns out to
+#: be rare; counts stay exact.
+LEAST_BUCKETS, MOST_BUCKETS = 16, 27
+#: Buckets that are one row on their way to the driver.
+SLOT = 1 << 16
 #: Rows of a batch that a task gives back.
 OUT_ROWS = 1 << 16
 _MANY, _ODD = U64(0x9E3779B97F4A7C15), U64(1)
 #: A to Z become a to z; .,;:!? and \n to \r end a piece, space and tab a word.
-_TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 class Filter:
@@ -75,39 +83,75 @@ def _key(lang: bytes, phrase: bytes) -> bytes:
     return lang + b"\n" + phrase  # no phrase holds a line end
 
 
+class Buckets:
+    """One bit for each bucket of hashes: whether what it holds is there often enough, all together."""
+
+    def __init__(self, power: int, bits: np.ndarray) -> None:
+        self.power, self.bits = power, bits
+
+    @staticmethod
+    def place(h: np.ndarray, power: int) -> np.ndarray:
+        return (h >> U64(64 - power)).astype(np.int64)
+
+    def may(self, h: np.ndarray) -> np.ndarray:
+        at = self.place(h, self.power)
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 class Group:
     """The words of some texts, numbered, and the phrases among them that are to be counted."""
 
     def __init__(self) -> None:
-        self.number: dict[bytes, defaultdict] = {}
-        self.next = count()
-        self.ids: list[np.ndarray] = []
-        self.lens: list[int] = []
+        self.number: dict[bytes, int] = {}
+        self.lang: list[int] = []
+        self.texts: list[bytes] = []
         self.bytes = 0
 
     def add(self, lang: bytes, text: bytes) -> None:
-        if lang not in self.number:
-            self.number[lang] = defaultdict(self.next.__next__)
-        pieces = [p.split() for p in text.translate(_TABLE).split(b"\n")]
-        self.lens.extend(map(len, pieces))
-        self.ids.append(np.fromiter(map(self.number[lang].__getitem__, chain.from_iterable(pieces)), dtype=np.int64))
+        self.lang.append(self.number.setdefault(lang, len(self.number)))
+        self.texts.append(text.translate(_TABLE))
         self.bytes += len(text)
 
-    def rows(self, words_too: bool, every: Filter | None, recent: Filter | None) -> Iterator[pa.RecordBatch]:
+    def close(self) -> int:
+        """Splits and numbers the words; gives how many there are."""
+        text = b"\n".join([b"", *self.texts, b""])
+        raw = np.frombuffer(text, dtype=np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, self.texts), dtype=np.int64, count=len(self.texts)) + 1)
+        line = raw == 10
+        inside = ~(line | (raw == 32))
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        n = len(start)
+        # each word's line, and its text's language
+        self.piece = np.cumsum(line, dtype=np.int32)[start]
+        lang = np.repeat(np.array(self.lang, dtype=np.int64), np.diff(np.searchsorted(start, ends), prepend=0))
+        # the words' bytes one after another: Arrow finds the distinct ones
+        off = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(size)])
+        body = pa.py_buffer(text.translate(None, b" \n"))
+        self.texts = []
+        encoded = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(off), body]).dictionary_encode()
+        words, ids = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+        self.langs = list(self.number)
+        if len(self.langs) > 1:
+            found, ids = _numbered(lang * max(len(words), 1) + ids)
+            self.word_lang, words = found // max(len(words), 1), words.take(pa.array(found % max(len(words), 1)))
+        else:
+            self.word_lang = np.zeros(len(words), dtype=np.int64)
+        self.ids, self.words = ids, words.cast(pa.binary())
+        self.hash = word_hashes(_listed(self.words), self.word_lang, self.langs)
+        return n
+
+    def pairs(self) -> np.ndarray:
+        """Hashes of all runs of two words."""
+        at = np.flatnonzero(self.piece[1:] == self.piece[:-1])
+        return longer(self.hash[self.ids[at]], self.hash[self.ids[at + 1]])
+
+    def rows(self, words_too: bool, often: Buckets, every: Filter | None, recent: Filter | None) -> Iterator[pa.RecordBatch]:
         """(key, v, meta): counts, meta is minus the number of words; 0 words stands for the number of all of a language's."""
-        ids = np.concatenate(self.ids) if self.ids else np.empty(0, dtype=np.int64)
-        self.ids, n = [], len(ids)
+        n = self.close()
         if not n:
             return
-        langs = list(self.number)
-        words: list[bytes] = [b""] * sum(map(len, self.number.values()))
-        lang = np.zeros(len(words), dtype=np.int64)
-        for k, d in enumerate(self.number.values()):
-            at = np.fromiter(d.values(), dtype=np.int64, count=len(d))
-            lang[at] = k
-            for w, i in d.items():
-                words[i] = w
-        texts = pa.array(words, pa.binary())
+        ids, piece, lang, langs, texts, h1 = self.ids, self.piece, self.word_lang, self.langs, self.words, self.hash
         keyed = pc.binary_join_element_wise(pa.array(langs, pa.binary()).take(pa.array(lang)), texts, b"\n")
 
         def out(first: np.ndarray, more: list[np.ndarray], times: np.ndarray) -> pa.RecordBatch:
@@ -117,31 +161,32 @@ class Group:
             return pa.RecordBatch.from_arrays([key, pa.array(times.astype(np.int64)), meta], names=["key", "v", "meta"])
 
         if words_too:
-            times = np.bincount(ids, minlength=len(words))
-            yield out(np.arange(len(words)), [], times)
+            times = np.bincount(ids, minlength=len(texts))
+            may = np.flatnonzero(often.may(h1))
+            yield out(may, [], times[may])
             whole = np.bincount(lang, weights=times, minlength=len(langs)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([_key(x, b"") for x in langs], pa.binary()), pa.array(whole), pa.array(np.zeros(len(langs), dtype=np.int64))], names=["key", "v", "meta"])
         if every is None:
             return
-        h1 = word_hashes(words, lang, langs)
         known, new = every.holds(h1), recent.holds(h1)
         # phrases of k words at their first word: their hashes, whether they have reached the threshold, and lately
         here, h = np.arange(n), h1[ids]
         reached, lately = known[ids], new[ids]
-        piece = np.repeat(np.arange(len(self.lens)), self.lens)
         for k in range(2, LONGEST + 1):
             ok, fresh = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
             ok[here[reached]], fresh[here[lately]] = True, True
             keep = reached & ok[here + 1] & (here + k - 1 < n)
             keep &= piece[here] == piece[np.minimum(here + k - 1, n - 1)]
-            here, h = here[keep], h[keep]
+            here, h = here[keep], longer(h[keep], h1[ids[here[keep] + k - 1]])
+            if k == 2:
+                keep = often.may(h)
+                here, h = here[keep], h[keep]
             if not len(here):
                 return
             at = here[fresh[here] | fresh[here + 1]]
             if len(at):
-                yield out(*_counted(ids, at, k, len(words)))
+                yield out(*_counted(ids, at, k, len(texts)))
             if k < LONGEST:
-                h = longer(h, h1[ids[here + k - 1]])
                 reached = every.holds(h)
                 lately = np.zeros(len(h), dtype=bool)
                 lately[reached] = recent.holds(h[reached])
@@ -151,40 +196,133 @@ def _counted(ids: np.ndarray, at: np.ndarray, k: int, n_words: int) -> tuple[np.
     """The distinct runs of k words that begin at ``at``: their first words, their further words, and how often each is there."""
     code, parts = ids[at], []
     for j in range(1, k):
-        found, code, times = np.unique(code * n_words + ids[at + j], return_inverse=True, return_counts=True)
+        found, code = _numbered(code * n_words + ids[at + j])
         parts = [p[found // n_words] for p in parts or [np.arange(n_words)]] + [found % n_words]
-    return parts[0], parts[1:], times
+    return parts[0], parts[1:], np.bincount(code)
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values and each one's place among them, by Arrow's hash table instead of numpy's sort."""
+    got = pa.array(values).dictionary_encode()
+    return got.dictionary.to_numpy(), got.indices.to_numpy().astype(np.int64)
+
+
+def _listed(column: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls, far sooner than by to_pylist."""
+    if not len(column):
+        return []
+    _, off, body = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(off, dtype=kind)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = body.to_pybytes()
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Group]:
+    group = Group()
+    for batch in blocks(batches):
+        for lang, text in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            group.add(lang, text or b"")
+        if group.bytes >= limit:
+            yield group
+            group = Group()
+    yield group
 
 
-def scanned(shard: DataFrame, words_too: bool, every, recent, group_bytes: int | None = None) -> DataFrame:
-    """Counts of what is active in one shard, a row for each phrase and group of texts."""
+def _added(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Counts of several groups as one row for each key."""
+    sums = pa.Table.from_batches(held).group_by(["key", "meta"], use_threads=False).aggregate([("v", "sum")])
+    return sums.rename_columns({"v_sum": "v"}).select(["key", "v", "meta"]).combine_chunks().to_batches()[0]
+
+
+def scanned(shard: DataFrame, words_too: bool, often, every, recent, group_bytes: int | None = None) -> DataFrame:
+    """Counts of what is active in one shard, a row for each phrase and task; a task that holds too many gives them back on the way."""
     limit = group_bytes or GROUP_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = (every.value, recent.value) if every is not None else (None, None)
-        group = Group()
+        filters = (often.value, *((every.value, recent.value) if every is not None else (None, None)))
+        held: list[pa.RecordBatch] = []
+        size = (0, 0)
 
         def given() -> Iterator[pa.RecordBatch]:
-            for rows in group.rows(words_too, *filters):
-                yield from (rows.slice(at, OUT_ROWS) for at in range(0, rows.num_rows, OUT_ROWS))
-
-        for batch in blocks(batches):
-            for lang, text in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                group.add(lang, text or b"")
-            if group.bytes >= limit:
-                yield from given()
-                group = Group()
-        yield from given()
+            yield from (rows.slice(at, OUT_ROWS) for rows in held for at in range(0, rows.num_rows, OUT_ROWS))
+
+        for group in _groups(batches, limit):
+            more = list(group.rows(words_too, *filters))
+            held += more
+            size = (size[0] + sum(x.num_rows for x in more), size[1] + sum(x.nbytes for x in more))
+            if size[0] > HELD_ROWS or size[1] > HELD_BYTES:
+                held = [_added(held)]
+                size = (held[0].num_rows, held[0].nbytes)
+                if size[0] > HELD_ROWS // 2 or size[1] > HELD_BYTES // 2:
+                    yield from given()
+                    held, size = [], (0, 0)
+        if held:
+            held = [_added(held)]
+            yield from given()
 
     return shard.select("lang", "text").mapInArrow(run, "key binary, v bigint, meta bigint")
 
 
+def bucket_bits(docs: DataFrame, threshold: int, power: int, group_bytes: int | None = None) -> Buckets:
+    """The buckets of words and of pairs of words that hold ``threshold`` occurrences or more.
+
+    A task counts up to the threshold (255 at most) in a byte for each bucket; buckets travel as rows of SLOT, those with few counts as places and counts.
+    """
+    limit, most = group_bytes or GROUP_BYTES, min(threshold, 255)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << power, dtype=np.uint8)
+        for group in _groups(batches, limit):
+            if not group.close():
+                continue
+            at = np.sort(Buckets.place(np.concatenate([group.hash[group.ids], group.pairs()]), power))
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            times = np.diff(first, append=len(at))
+            counts[at[first]] = np.minimum(counts[at[first]] + times, most)
+        for slot in range(0, len(counts), SLOT):
+            some = counts[slot : slot + SLOT]
+            on = np.flatnonzero(some)
+            if len(on):
+                raw = some.tobytes() if len(on) * 3 >= len(some) else on.astype(np.uint16).tobytes() + some[on].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([slot // SLOT], pa.int32()), pa.array([raw], pa.binary())], names=["slot", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, sums = -1, np.zeros(SLOT, dtype=np.uint8)
+
+        def bits() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([np.packbits(sums >= most).tobytes()], pa.binary())], names=["slot", "bits"])
+
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if at != slot:
+                    if slot >= 0:
+                        yield bits()
+                    slot, sums = at, np.zeros(SLOT, dtype=np.uint8)
+                got = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
+                if len(got) == SLOT:
+                    sums = np.minimum(sums, most - np.minimum(got, most)) + got
+                else:
+                    n = len(got) // 3
+                    on, got = got[: 2 * n].view(np.uint16), got[2 * n :]
+                    sums[on] = np.minimum(sums[on], most - got) + got
+        if slot >= 0:
+            yield bits()
+
+    rows = docs.select("lang", "text").mapInArrow(run, "slot int, counts binary")
+    got = rows.repartition("slot").sortWithinPartitions("slot").mapInArrow(summed, "slot int, bits binary").toArrow()
+    out = np.zeros((1 << power) // 8, dtype=np.uint8)
+    for slot, raw in zip(got.column("slot").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[slot * SLOT // 8 : (slot + 1) * SLOT // 8] = np.frombuffer(raw, dtype=np.uint8)
+    return Buckets(power, out)
+
+
 def filter_bits(keys: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of a filter and their bits for the phrases of ``keys``; as many rows as the filter has slots at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [x.rpartition(b"\n") for x in batch.column(0).to_pylist()]
+            raw = [x.rpartition(b"\n") for x in _listed(batch.column(0))]
             if not raw:
                 continue
             langs = list(dict.fromkeys(x[0] for x in raw))
@@ -216,8 +354,12 @@ def frequencies(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARD
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = spread(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")))
-    dealt = write_table(rows.where("text is not null").withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), "shard")
+    size = Observation()
+    rows = rows.where("text is not null").observe(size, F.sum(F.octet_length("text")).alias("bytes"))
+    dealt = write_table(rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")), "shard")
     source = spark.read.schema("lang string, text string, shard int").parquet(dealt)
+    power = min(max(((size.get["bytes"] or 0) // 8).bit_length() - 1, LEAST_BUCKETS), MOST_BUCKETS)
+    often = sc.broadcast(bucket_bits(source, threshold, power))
     table, born, turn = None, {}, 0
     while turn < shards or any(b > turn - shards for b in born):
         shard, shared = turn % shards, []
@@ -227,7 +369,7 @@ def frequencies(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARD
                 if b >= least:
                     f.add(slots, held)
             shared.append(sc.broadcast(f))
-        fresh = scanned(source.where(F.col("shard") == shard), turn < shards, *(shared or (None, None)))
+        fresh = scanned(source.where(F.col("shard") == shard), turn < shards, often, *(shared or (None, None)))
         both = fresh if table is None else fresh.unionByName(spark.read.schema(fresh.schema).parquet(table))
         new, bit = F.col("meta") <= 0, 1 << shard
         sums = both.groupBy("key").agg(F.sum(F.when(new, F.col("v")).otherwise(0)).alias("fresh"), F.sum(F.when(new, 0).otherwise(F.col("v"))).alias("old"), F.max("meta").alias("meta"))
@@ -249,6 +391,7 @@ def frequencies(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARD
         slots, held = filter_bits(reached, bits)
         if len(slots):
             born[turn] = (slots, held)
+    often.destroy()
     drop_table(spark, dealt)
     counts = spark.read.schema("key binary, v bigint, meta bigint").parquet(table)
     k = F.shiftright("meta", 12).bitwiseAND(F.lit(7)).cast("int")
