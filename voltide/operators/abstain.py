@@ -46,7 +46,9 @@ def _ranked(df: DataFrame, by: Sequence[str], error: str = "abs_error", confiden
     joined = rows.join(F.broadcast(cuts), list(by)) if by else rows.crossJoin(F.broadcast(cuts))  # one row a group
     over = joined.withColumn("over", F.expr(_above()))
     at = F.coalesce(F.try_element_at("cuts", F.nullif(F.lit(RANGES - 1) - F.col("over"), F.lit(0))) == F.col("c"), F.lit(False))
-    cut = over.withColumn("cell", F.col("over") * 2 + at.cast("int")).withColumn("sub", F.when(F.col("cell") % 2 == 1, F.substring(F.col("key").cast("string"), 1, 2)).otherwise("")).drop("cuts", "coarse", "over")
+    # Neither is null: a join by them would else filter by what they come from, with the confidence's expression once for each use of it.
+    cell, sub = F.col("over") * 2 + at.cast("int"), F.when(F.col("cell") % 2 == 1, F.substring(F.col("key").cast("string"), 1, 2))
+    cut = over.withColumn("cell", F.coalesce(cell, F.lit(0))).withColumn("sub", F.coalesce(sub, F.lit(""))).drop("cuts", "coarse", "over")
     cells = cut.groupBy(*by, "cell", "sub").agg(F.count("*").alias("m"), F.sum("e").alias("s"))
     above = Window.partitionBy(*by).orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select(*by, "cell", "sub", F.coalesce(F.sum("m").over(above), F.lit(0)).alias("k0"), F.coalesce(F.sum("s").over(above), F.lit(0.0)).alias("s0"))

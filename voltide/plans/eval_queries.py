@@ -611,6 +611,7 @@ def _(s, d):
 @query("decision_full_fold", f"{APPLIED}, ff as (select a.*, p.member_0, row_number() over (order by confidence_score desc, a.row_key) as k, count(*) over () as n from applied a join predictions p using (row_key) where a.split = 'test') select count(*) as n, avg(abs_error) as mae_vs_iv_clean, avg(abs(ff.iv_pred - member_0)) as mae_vs_member, avg(cast(ff.iv_clean between lower and upper as int)) as coverage, avg(abs_error) filter (k <= greatest(1, cast(round_even(8E-1 * ff.n, 0) as bigint))) as high_conf_mae from ff", "mae_vs_iv_clean mae_vs_member coverage high_conf_mae")
 def _(s, d):
     t = applied(s, d).where("split = 'test'").withColumn("abs_error", F.abs(F.col("iv_pred") - F.col("iv_clean")))
+    t = staged(t.select("row_key", "abs_error", "iv_pred", "iv_clean", "member_0", "lower", "upper", "confidence_score"))  # four passes follow
     one = t.agg(F.count("*").alias("n"), F.avg("abs_error").alias("mae_vs_iv_clean"), F.avg(F.abs(F.col("iv_pred") - F.col("member_0"))).alias("mae_vs_member"), M.coverage().alias("coverage"))
     return one.crossJoin(abstain.high_confidence_mae(t, 0.8, confidence="confidence_score").select("high_conf_mae"))
 
