@@ -72,10 +72,23 @@ def point_flags(df: DataFrame, iv: str = "implied_volatility") -> DataFrame:
     return df.select("row_key", "date", "log_moneyness", "tau").join(found, "row_key", "left").select("row_key", "date", "log_moneyness", "tau", *(F.coalesce(f"{c}_violation", F.lit(False)).alias(f"{c}_violation") for c in CHECKS))
 
 
-def summary(df: DataFrame, iv: str = "implied_volatility", by: tuple[str, ...] = ("date",)) -> DataFrame:
-    """n_eval, n_viol, rate and severity of each check, and in total, for each date."""
+def places(df: DataFrame, iv: str, by: tuple[str, ...]) -> DataFrame:
+    """The usable rows of a table whose ``iv`` is the same for all rows of a place, as three rows a place at most, with ``weight`` and a row_key.
+
+    Of rows that stand at one place only the first meets the place before, and only the last the one behind; those between meet their likes. So the
+    first and the last count once and one between counts for the others, and ``summary`` by that weight is that of all rows.
+    """
+    n = _usable(df, iv).groupBy(*by, "log_moneyness", "tau").agg(F.first(iv).alias(iv), F.count("*").alias("_n"))
+    copies = n.withColumn("row_key", F.explode(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(3)).cast("int"))))
+    return copies.withColumn("weight", F.when(F.col("row_key") == 2, F.greatest(F.col("_n") - 2, F.lit(1))).otherwise(F.lit(1)).cast("bigint")).drop("_n")
+
+
+def summary(df: DataFrame, iv: str = "implied_volatility", by: tuple[str, ...] = ("date",), weight: str | None = None) -> DataFrame:
+    """n_eval, n_viol, rate and severity of each check, and in total, for each date; a row counts ``weight`` times, if that is given."""
     rows = all_checks(df, iv)
-    parts = [x for c in CHECKS for x in (F.count_if(f"{c}_eval").alias(f"{c}_n_eval"), F.count_if(f"{c}_violation").alias(f"{c}_n_viol"), F.sum(f"{c}_severity").alias(f"{c}_severity"))]
+    n = lambda c: F.count_if(c) if weight is None else F.coalesce(F.sum(F.when(F.col(c), F.col(weight))), F.lit(0))
+    total = lambda c: F.sum(c) if weight is None else F.sum(F.col(c) * F.col(weight))
+    parts = [x for c in CHECKS for x in (n(f"{c}_eval").alias(f"{c}_n_eval"), n(f"{c}_violation").alias(f"{c}_n_viol"), total(f"{c}_severity").alias(f"{c}_severity"))]
     out = rows.groupBy(*by).agg(*parts)
     total = lambda what: sum((F.col(f"{c}_{what}") for c in CHECKS[1:]), F.col(f"{CHECKS[0]}_{what}"))
     out = out.withColumns({f"{c}_rate": F.coalesce(F.try_divide(F.col(f"{c}_n_viol"), F.col(f"{c}_n_eval")), F.lit(0.0)) for c in CHECKS})
