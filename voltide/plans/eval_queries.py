@@ -729,9 +729,9 @@ def _(s, d):
 @query("coordinate_regression_residual")
 def _(s, d):
     """Errors on hidden rows by split: of the date's mean, and of the regressions of what it leaves."""
-    out = None
+    out, rows = None, preds(s, d).select("row_key", "date", "log_moneyness", "tau", "observed", "implied_volatility", "iv_clean", "split")
     for name, mode, learner in (("absolute", "absolute", "ridge"), ("residual", "residual", "ridge"), ("residual_trees", "residual", "trees")):
-        done = R.coordinate_regression(preds(s, d), "implied_volatility", mode=mode, learner=learner).where("not observed")
+        done = R.coordinate_regression(rows, "implied_volatility", mode=mode, learner=learner).where("not observed")
         one = M.error_metrics(done, ["split"]).select(F.lit(name).alias("model"), "split", "mae", "rmse", "n")
         out = one if out is None else out.unionByName(one)
     return out.unionByName(M.error_metrics(R.reconstruct_mean(preds(s, d)).where("not observed"), ["split"]).select(F.lit("mean").alias("model"), "split", "mae", "rmse", "n"))
