@@ -97,34 +97,3 @@ def within_reach(places: DataFrame, found: DataFrame, by: Sequence[str], others:
         return near <= bound[:, None] * (1 + 1e-9) + 1e-12, []
 
     return _pairs(places, found, by, choose)
-
-
-def blended(places: DataFrame, found: DataFrame, by: Sequence[str], overlap: float) -> DataFrame:
-    """The cells whose patches a place's value is blended from, with weights that sum to 1 and change smoothly with the place.
-
-    Distances from a cell count in its sides. The cell of the least one always has a weight, others up to ``overlap`` beyond that.
-    """
-
-    def choose(p: np.ndarray, c: pd.DataFrame):
-        e = _sides(p, c)
-        w = np.maximum(0.0, 1.0 - e / (e.min(axis=1) + overlap)[:, None]) ** 3
-        return w > 0, [w / w.sum(axis=1, keepdims=True)]
-
-    return _pairs(places, found, by, choose, "_w double")
-
-
-def around(places: DataFrame, found: DataFrame, by: Sequence[str], margin: float) -> DataFrame:
-    """The cells that a place is in or within ``margin`` sides of, with that distance (_e)."""
-
-    def choose(p: np.ndarray, c: pd.DataFrame):
-        e = _sides(p, c)
-        return e <= margin, [e]
-
-    return _pairs(places, found, by, choose, "_e double")
-
-
-def _sides(p: np.ndarray, c: pd.DataFrame) -> np.ndarray:
-    x, y, size = (c[k].to_numpy(float)[None, :] for k in ("_cl", "_ch", "_size"))
-    dx = np.maximum(np.maximum(x - p[:, :1], p[:, :1] - x - size), 0.0)
-    dy = np.maximum(np.maximum(y - p[:, 1:], p[:, 1:] - y - size), 0.0)
-    return np.hypot(dx, dy) / size

@@ -26,10 +26,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written and read again: what follows may use it several times, and a lost executor costs no more than the work since."""
+def staged(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
+    """``df`` written and read again: what follows may use it several times, and a lost executor costs no more than the work since.
+
+    Files have ``rows_a_file`` rows at most, if that is given: a reader takes in a whole row group, which counts rows and not their size when it is cut.
+    """
     path = scratch(df.sparkSession, "staged")
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
